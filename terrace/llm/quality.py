@@ -117,8 +117,8 @@ def thresholds(feats: DataFrame, p: QualityParams = QualityParams()) -> DataFram
         F.sum("_n").alias("_n"), *(F.kll_merge_agg_double(n, p.sketch_k).alias(n) for n in names)
     )
     by_lang = merged("lang").select(F.col("lang").alias("_lang"), F.col("_n").alias("_nl"), *(F.col(n).alias(f"_l_{n}") for n in names))
-    over_all = merged().select(*(F.col(n).alias(f"_a_{n}") for n in names))
-    joined = by_group.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(over_all, F.lit(True), "left")
+    over_all = merged(F.lit(1).alias("_one")).select("_one", *(F.col(n).alias(f"_a_{n}") for n in names))
+    joined = by_group.withColumn("_one", F.lit(1)).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(over_all, "_one", "left")
 
     def limit(n: str, floor: float) -> Column:
         pick = F.when(F.col("_n") >= p.least_group, F.col(n)).when(F.col("_nl") >= p.least_group, F.col(f"_l_{n}")).otherwise(F.col(f"_a_{n}"))
@@ -137,12 +137,29 @@ def judge(docs: DataFrame, *carry: str, params: QualityParams = QualityParams())
     columns may have any name.
     """
     carry = tuple(dict.fromkeys(("lang", "source", *carry)))
-    feats = features(docs, *carry).withColumn(
-        "base_failed",
-        (F.col("n_words") < params.min_words) | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words")),
-    )
-    feats = cut(feats)
-    limits = thresholds(feats, params)
+    feats = cut(_based(docs, carry, params))
+    return _verdict(feats, thresholds(feats, params), params)
+
+
+def kept_rows(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns.
+
+    The counts are made twice, once for the limits and once beside the row, so that no text is
+    shuffled or stored; the limits are shipped while they are few.
+    """
+    limits = cut(thresholds(_based(docs, ("lang", "source"), params), params))
+    if limits.count() <= 100_000:
+        limits = F.broadcast(limits)
+    columns = [c for c in docs.columns if c != "doc_id"]
+    return _verdict(_based(docs, columns, params), limits, params).filter("kept").select(docs.columns)
+
+
+def _based(docs: DataFrame, carry, params: QualityParams) -> DataFrame:
+    few = F.col("n_words") < params.min_words
+    return features(docs, *carry).withColumn("base_failed", few | (100 * F.col("n_repeat_words") > params.max_repeat_percent * F.col("n_words")))
+
+
+def _verdict(feats: DataFrame, limits: DataFrame, params: QualityParams) -> DataFrame:
     out = feats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = ~F.col("base_failed")
     for n, _ in params.floors:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import chat, fingerprints, langid, line_dedup, mixing, packing, pii, quality, url_filter
+from terrace.llm import chat, fingerprints, langid, line_dedup, mixing, ngram_join, packing, pii, quality, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(_read(spark, sf_dir, "documents"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return line_dedup.LineIndex.build(docs).apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -57,7 +61,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_mix, op4_pack, op6_lines, op7_language, op8_quality, op9_chat, op10_urls)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_mix, op4_pack, op5_ngram_join, op6_lines, op7_language, op8_quality, op9_chat, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
