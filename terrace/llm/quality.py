@@ -34,6 +34,8 @@ class QualityParams:
     least_group: int = 200
     sketch_k: int = 2048
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_noise", "n_upper", "n_repeat_words")
+
 
 def _removed(text: Column, chars: str) -> Column:
     """Code points of text that are not among chars."""
@@ -88,7 +90,10 @@ def features(docs: DataFrame, *carry: str) -> DataFrame:
             (i > 0 AND {same.format("i - 1")}) OR (i + 1 < size(_g) AND {same.format("i + 1")})),
             x -> array(x.at, x.at + 1, x.at + 2))))))"""),
     )
-    return d.drop("_w", "_bits", "_s", "_p", "_g")
+    # The generator is a fence: predicates on the counts stay above it, else the optimizer would
+    # repeat the array expressions inside every filter that reads a count.
+    counts = F.struct(*(F.col(c) for c in COUNTS))
+    return d.select("doc_id", *carry, F.explode(F.array(counts)).alias("_f")).select("doc_id", *carry, *(F.col(f"_f.{c}").alias(c) for c in COUNTS))
 
 
 def _ratios() -> dict[str, Column]:
