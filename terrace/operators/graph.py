@@ -24,7 +24,7 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list
 
 def closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) with a path of one edge or more."""
-    edges = edges.select("src", "dst").distinct()
+    edges = cut(edges.select("src", "dst").distinct())
     step = lambda new: new.select("src", F.col("dst").alias("_m")).join(edges.withColumnRenamed("src", "_m"), "_m").select("src", "dst")
     return fixpoint(edges, step, ["src", "dst"])
 

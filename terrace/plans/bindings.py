@@ -183,6 +183,7 @@ def node_nth_child(t: Catalog) -> DataFrame:
 @query
 def innermost_interval(t: Catalog) -> DataFrame:
     o = t["orders"]
+    o = o.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     spans = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("span"), F.col("o_orderdate").alias("lo"), F.expr("o_orderdate + make_dt_interval(cast(o_orderkey % 400 + 1 AS int))").alias("hi"))
     points = o.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("point"), F.col("o_orderdate").alias("at"))
     return nodes.innermost(points, spans, "k", "at", "lo", "hi", "span").select(F.col("k").alias("custkey"), "point", "innermost")
@@ -293,7 +294,7 @@ def connected_groups(t: Catalog) -> DataFrame:
 @query
 def dirty_targets(t: Catalog) -> DataFrame:
     p = t["part"]
-    start = p.filter(glob_match("p_type", "*brass*")).select(F.col("p_brand").alias("target")).distinct().orderBy("target").limit(3)
+    start = p.filter(glob_match("p_type", "*eco*")).select(F.col("p_brand").alias("target")).distinct().orderBy("target").limit(3)
     brands = p.select("p_brand").distinct()
     digits = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long")
     deps = brands.select(F.col("p_brand").alias("src"), digits.alias("k")).join(brands.select(F.col("p_brand").alias("dst"), (digits + 10).alias("k")), "k").select("src", "dst")
