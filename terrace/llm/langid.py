@@ -118,17 +118,20 @@ class Model:
                 grid[: lens[j], j] = rows[i]
             alive = len(rows) - np.searchsorted(lens[::-1], np.arange(lens[0]), "right")
             state = np.repeat(self.starts[:, None], len(rows), 1)
-            count = np.ones(state.shape, np.int32)
+            count = np.zeros(state.shape, np.int32)
             start = self.starts[:, None] * self.letters
             for t in range(lens[0]):
                 c = grid[t, : alive[t]]
                 now = self.moves[state[:, : alive[t]] * self.letters + c]
                 miss = now < 0
-                if miss.any():
+                if miss.any():  # a phrase ends before c, or c is in no text and a phrase of its own
                     fresh = np.maximum(self.moves[start + c], self.starts[:, None])
-                    now = np.where(miss, fresh, now)
+                    open_ = state[:, : alive[t]] != self.starts[:, None]
                     count[:, : alive[t]] += miss
+                    count[:, : alive[t]] += miss & open_ & (fresh == self.starts[:, None])
+                    now = np.where(miss, fresh, now)
                 state[:, : alive[t]] = now
+            count += state != self.starts[:, None]
             np.add.at(total, np.array(owner)[order], count.T)
             rows.clear(), owner.clear()
 

@@ -104,6 +104,8 @@ _d = rf"(?:\s{{0,3}}{_o}(?:{_dot_words}|\.){_c}\s{{0,3}}|\s{{1,3}}(?:{_dot_words
 _after = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{_d}[A-Za-z0-9-]+)+")
 _before = re.compile(rf"(?i)[A-Za-z0-9_%+-]+(?:{_d}[A-Za-z0-9_%+-]+)*\Z")
 _any_dot = re.compile(rf"(?i){_d}")
+#: Words that follow a spoken "at" in prose.
+_article = re.compile(r"(?i)(?:the|a|an|this|that|my|your|our|his|her|their|its)\b")
 #: Longest local part looked at before a disguised @ (the mail standards allow 64).
 LOCAL_LIMIT = 160
 
@@ -164,8 +166,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         if not before:
             continue
         dots = _any_dot.findall(after[0])
-        if mark.isalpha() and not any(x != "." for x in dots):
-            continue  # "at example.com" is prose, "at example dot com" is not
+        if mark.isalpha() and (all(x == "." for x in dots) or _article.match(after[0])):
+            continue  # "at example.com" and "at the dot" are prose, "at example dot com" is not
         if mark == "@" and m[0] == "@" and all(x == "." for x in dots + _any_dot.findall(before[0])):
             continue  # nothing disguised
         found.append((before.start(), 0, after.end()))

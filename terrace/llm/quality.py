@@ -20,14 +20,15 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class QualityParams:
-    """min_words, max_repeat_percent: the fixed base rules. spread: how many upper-half
-    spreads above its group's median a ratio may lie. floors: ratios at or below these never
+    """min_words, max_repeat_percent: the fixed base rules. spread, slack: a ratio may lie so many
+    upper-half spreads, and so much besides, above its group's median. floors: ratios at or below these never
     reject. least_group: smaller groups of language and source take the language's merged
     sketch, smaller languages the merged sketch of all. sketch_k: size of a KLL sketch."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     spread: float = 8.0
+    slack: float = 0.05
     floors: tuple[tuple[str, float], ...] = (
         ("noise", 0.06), ("upper", 0.10), ("dup_lines", 0.45), ("repeats", 0.15),
     )
@@ -111,7 +112,7 @@ def thresholds(feats: DataFrame, p: QualityParams = QualityParams()) -> DataFram
 
     A KLL sketch per language and source is built map-side and merged; the same sketches are
     merged again by language and over all, for groups too small to stand alone. A limit is
-    median + spread * (upper quartile - median), at least the floor, rounded up to 1/100.
+    median + spread * (upper quartile - median) + slack, at least the floor, rounded up to 1/100.
     """
     names = [n for n, _ in p.floors]
     by_group = feats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(
@@ -128,7 +129,7 @@ def thresholds(feats: DataFrame, p: QualityParams = QualityParams()) -> DataFram
     def limit(n: str, floor: float) -> Column:
         pick = F.when(F.col("_n") >= p.least_group, F.col(n)).when(F.col("_nl") >= p.least_group, F.col(f"_l_{n}")).otherwise(F.col(f"_a_{n}"))
         at = lambda q: F.kll_sketch_get_quantile_double(pick, F.lit(q))
-        return F.greatest(F.lit(floor), F.ceil((at(0.5) + p.spread * (at(0.75) - at(0.5))) * 100) / 100).alias(f"t_{n}")
+        return F.greatest(F.lit(floor), F.ceil((at(0.5) + p.spread * (at(0.75) - at(0.5)) + p.slack) * 100) / 100).alias(f"t_{n}")
 
     return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(limit(n, f) for n, f in p.floors))
 
@@ -150,13 +151,15 @@ def kept_rows(docs: DataFrame, params: QualityParams = QualityParams()) -> DataF
     """The rows of docs that judge() keeps, with their columns.
 
     The counts are made twice, once for the limits and once beside the row, so that no text is
-    shuffled or stored; the limits are shipped while they are few.
+    shuffled or stored; the limits are shipped while they are few. The row travels as one
+    struct, so its columns may have any names.
     """
     limits = cut(thresholds(_based(docs, ("lang", "source"), params), params))
     if limits.count() <= 100_000:
         limits = F.broadcast(limits)
-    columns = [c for c in docs.columns if c != "doc_id"]
-    return _verdict(_based(docs, columns, params), limits, params).filter("kept").select(docs.columns)
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    kept = _verdict(_based(rows, ("lang", "source", "_row"), params), limits, params).filter("kept")
+    return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def _based(docs: DataFrame, carry, params: QualityParams) -> DataFrame:

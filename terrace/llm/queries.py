@@ -64,5 +64,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_mix, op4_pack, op5_ngram_join, op6_lines, op7_language, op8_quality, op9_chat, op10_urls)}
 
 
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP5 = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split_regex(t, '[\\x20\\x09-\\x0D]+') END AS w
+  FROM (SELECT doc_id, trim({_LOWER.format("coalesce(text, '')")}, {_SPACE}) AS t FROM documents)
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), e AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)
+), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n"""
+
+_OP6 = f"""WITH l AS (
+  SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)
+), k AS (SELECT *, {_LOWER.format(f"trim(line, {_SPACE})")} AS key FROM l
+), d AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE d.key IS NOT NULL AND k.doc_id <> keeper) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE d.key IS NULL OR k.doc_id = keeper), '')) AS kept_sha256
+FROM k LEFT JOIN d ON k.key = d.key GROUP BY k.doc_id"""
+
+_ESCAPED = r"""regexp_replace(coalesce(text, ''), '([<\[])(\\*)(\|turn\|>|\|end\|>|s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|endoftext\|>)', '\1\2\\\3', 'g')"""
+_OP9 = f"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role NULLS FIRST, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role NULLS FIRST, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(16 + length(coalesce(role, '')) + length({_ESCAPED}))::BIGINT AS formatted_chars
+FROM c GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on tokenizers, sketches, learned models or a convex dual: tests hold them against brute force."""
+    return {"op5_ngram_join": _OP5, "op6_lines": _OP6, "op9_chat": _OP9}
