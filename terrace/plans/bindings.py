@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.catalog import TABLES, Catalog
 from terrace.functions.semantics import glob_match, tokens, upper_median
-from terrace.operators import code, folds, fulltext, gate, graph, lenses, nodes, overlap, routes, similar, snapshot
+from terrace.operators import code, folds, fulltext, gate, graph, lenses, links, nodes, overlap, routes, similar, snapshot
 
 Query = Callable[[Catalog], DataFrame]
 _registry: dict[str, Query] = {}
@@ -596,3 +596,144 @@ def doc_sections(t: Catalog) -> DataFrame:
 @query
 def sql_surface(t: Catalog) -> DataFrame:
     return t.sql("SELECT n_regionkey, count(*) AS nations, sum(count(*)) OVER (ORDER BY n_regionkey) AS running FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
+
+
+# --- links -------------------------------------------------------------------------------------
+
+
+@query
+def name_links(t: Catalog) -> DataFrame:
+    uses = t["lineitem"].filter("l_orderkey <= 400").join(t["part"], F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("src"), F.when(F.col("l_partkey") % 7 == 0, F.concat("p_name", F.lit("?"))).otherwise(F.col("p_name")).alias("name"))
+    return links.resolve(uses, t["part"].filter("p_partkey < 120").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("target")))
+
+
+@query
+def suffix_links(t: Catalog) -> DataFrame:
+    tail = F.regexp_extract("url", r"^[a-z]+://[^/]+/(.*)$", 1)
+    paths = t["pages"].select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return links.resolve_suffix(t["pages"].select(F.col("page_id").alias("src"), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("x"), tail)).otherwise(tail).alias("suffix")), paths)
+
+
+@query
+def dispatch_links(t: Catalog) -> DataFrame:
+    sends = t["events"].filter("event_id < 300").select(F.col("event_id").alias("site"), F.lit("event").alias("kind"), F.col("event_type").alias("message"))
+    handlers = t.spark.sql("SELECT * FROM VALUES ('event','error','Alert'),('event','view','Count'),('event','view','Log'),('other','click','No') AS v(kind, message, handler)")
+    return links.dispatch(sends, handlers)
+
+
+@query
+def doc_code_names(t: Catalog) -> DataFrame:
+    return links.both_sides(t["part"].filter("p_size < 20").select(F.col("p_name").alias("name")), t["part"].filter("p_size > 40").select(F.col("p_name").alias("name")))
+
+
+@query
+def dangling_refs(t: Catalog) -> DataFrame:
+    return links.dangling(t["lineitem"].select(F.col("l_partkey").alias("id")), t["part"].filter("p_size <= 45").select(F.col("p_partkey").alias("id")))
+
+
+@query
+def orphan_nodes(t: Catalog) -> DataFrame:
+    every = t["nation"].select(F.col("n_nationkey").cast("long").alias("node"))
+    return links.orphans(every, _cut_graph(t), every.filter("node < 2"))
+
+
+@query
+def route_tree(t: Catalog) -> DataFrame:
+    r = t["region"].select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), F.lit(None).cast("string").alias("parent"), F.lower("r_name").alias("name"))
+    n = t["nation"].select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"), F.concat(F.lit("r"), F.col("n_regionkey")).alias("parent"), F.lower("n_name").alias("name"))
+    s = t["supplier"].select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("node"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("parent"), F.lower("s_name").alias("name"))
+    return links.absolute_paths(graph.cut(r.unionByName(n).unionByName(s)))
+
+
+@query
+def alias_classes(t: Catalog) -> DataFrame:
+    pairs = t["nation"].filter("n_nationkey % 4 = 1").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") + 1).alias("b"))
+    sets = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).filter("c_custkey % 6 <> c_nationkey % 6").select(F.col("n_nationkey").alias("key"), F.substring("c_mktsegment", 1, 4).alias("member"))
+    return links.unify_aliases(pairs, sets)
+
+
+@query
+def key_builds(t: Catalog) -> DataFrame:
+    return links.key_builds(t["region"].select(F.concat(F.lower("r_name"), F.lit(".{}.label")).alias("template")), ["red", "green"])
+
+
+@query
+def package_prefix(t: Catalog) -> DataFrame:
+    path = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "^[a-z]+://", "")
+    paths = t["pages"].select(path.alias("path")).distinct()
+    return links.nearest_prefix(paths, paths.filter("path LIKE '%/en/%' OR path LIKE '%/de/%'").select(F.regexp_extract("path", "^([^/]+/[^/]+)/", 1).alias("prefix")))
+
+
+@query
+def carried_ids(t: Catalog) -> DataFrame:
+    n = t["nation"]
+    old = n.filter("n_nationkey < 15").select("n_name", "n_regionkey", F.concat(F.lit("o:"), F.col("n_nationkey").cast("string")).alias("id"))
+    new = n.filter("n_nationkey > 5").select("n_name", "n_regionkey", F.col("n_nationkey").alias("pos"))
+    return links.carry_ids(old, new, ["n_name", "n_regionkey"])
+
+
+@query
+def shape_groups(t: Catalog) -> DataFrame:
+    shapes = links.shape_hash(nodes.flatten(t["events"].filter("event_id < 400"), "event_id", "props"))
+    return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def gate_chain(t: Catalog) -> DataFrame:
+    return links.chain_above(trade_tree(t), _at(t, 3))
+
+
+@query
+def unclaimed_paths(t: Catalog) -> DataFrame:
+    path = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "^[a-z]+://[^/]+", "")
+    claimed = [glob_match("p", g) for g in ("/en/**", "/de/*.html", "/f?/*")]
+    return t["pages"].select("page_id", path.alias("p")).filter(~(claimed[0] | claimed[1] | claimed[2])).select("page_id", F.col("p").alias("path"))
+
+
+@query
+def reused_hashes(t: Catalog) -> DataFrame:
+    e = t["events"].filter("event_id < 500").select(F.col("event_id").alias("path"), (F.col("event_id") % 9).alias("size"), F.col("user_id").alias("mtime"))
+    s = e.filter("path % 3 <> 0").select("path", F.when(F.col("path") % 5 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", F.md5(F.col("path").cast("string")).alias("hash"), F.lit(60).cast("long").alias("created"))
+    return snapshot.reuse_hash(e, s)
+
+
+@query
+def file_table_counts(t: Catalog) -> DataFrame:
+    tagged = [t[n].select(F.col(c).cast("long").alias("file"), F.lit(n).alias("tbl")) for n, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]
+    return lenses.union_all(tagged).groupBy("file", "tbl").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def id_lookup(t: Catalog) -> DataFrame:
+    row = t["orders"].filter("o_orderkey = 7")
+    pairs = ", ".join(f"'{c}', string({c})" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    return row.select(F.expr(f"stack(4, {pairs}) AS (column_name, cell)")).filter("cell IS NOT NULL AND cell <> ''")
+
+
+@query
+def rebased_baseline(t: Catalog) -> DataFrame:
+    return gate.rebased(t["documents"].groupBy(F.concat_ws("/", "source", "lang").alias("item")).agg(F.count(F.lit(1)).alias("n")), 20)
+
+
+@query
+def run_totals(t: Catalog) -> DataFrame:
+    return t["documents"].join(t["labels"], "doc_id", "left").agg(F.count(F.lit(1)).alias("files"), F.count("quality").alias("mapped"), F.count_if(F.col("quality").isNull()).alias("unmapped"), F.coalesce(F.max(F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("exit_code"))
+
+
+@query
+def freshness(t: Catalog) -> DataFrame:
+    return state_diff(t).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+
+
+@query
+def dependents_reread(t: Catalog) -> DataFrame:
+    g = trade_graph(t)
+    return g.filter("dst IN (1, 2, 3)").select(F.col("src").alias("node")).union(t["nation"].filter("n_nationkey IN (1, 2, 3)").select(F.col("n_nationkey").cast("long"))).distinct()
+
+
+@query
+def disjunction(t: Catalog) -> DataFrame:
+    """Either side's restriction; where one side says nothing, nothing is restricted."""
+    side = lambda k: t["orders"].filter(f"o_custkey <= 80 AND o_orderkey % 3 = {k}").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias(f"s{k}"))
+    both = side(0).join(side(1), "o_custkey")
+    return both.select("o_custkey", F.array_join(F.sort_array(F.array_union("s0", "s1")), ",").alias("members"))

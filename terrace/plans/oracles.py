@@ -257,4 +257,42 @@ def oracle_sql() -> dict[str, str]:
           j AS (SELECT p.fn, param, count(c.fn) AS calls, coalesce(bool_or(n_args > position OR names = param), FALSE) AS passed, coalesce(bool_or(splat = 1), FALSE) OR max(launched) = 1 OR max(wild) = 1 AS unseen FROM p LEFT JOIN c ON p.fn = c.fn GROUP BY 1, 2)
           SELECT fn, param, CASE WHEN passed THEN 'passed' WHEN unseen THEN 'cannot tell' WHEN calls = 0 THEN 'no caller' ELSE 'never passed' END AS verdict FROM j""",
     }
-    return {**lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
+    path = "regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '')"
+    bound = "CASE WHEN m = 1 THEN 'bound' WHEN m > 1 THEN 'ambiguous' ELSE 'missing' END"
+    links = {
+        "name_links": f"""WITH u AS (SELECT DISTINCT l_orderkey AS src, CASE WHEN l_partkey % 7 = 0 THEN p_name || '?' ELSE p_name END AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 400),
+          j AS (SELECT src, u.name, count(DISTINCT p_partkey) AS m, min(p_partkey) AS t FROM u LEFT JOIN part ON u.name = p_name AND p_partkey < 120 GROUP BY 1, 2)
+          SELECT src, name, CASE WHEN m = 1 THEN t END AS target, m AS matches, {bound} AS status FROM j""",
+        "suffix_links": f"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
+          u AS (SELECT page_id AS src, CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END || regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS suffix FROM pages),
+          j AS (SELECT src, suffix, count(path) AS m FROM u LEFT JOIN p ON path = suffix OR ends_with(path, '/' || suffix) GROUP BY 1, 2)
+          SELECT src, suffix, m AS matches, {bound} AS status FROM j""",
+        "dispatch_links": """SELECT event_id AS site, 'event' AS kind, event_type AS message, handler FROM events LEFT JOIN (VALUES ('error', 'Alert'), ('view', 'Count'), ('view', 'Log')) v(message, handler) ON message = event_type WHERE event_id < 300""",
+        "doc_code_names": """WITH d AS (SELECT DISTINCT p_name FROM part WHERE p_size < 20), c AS (SELECT DISTINCT p_name FROM part WHERE p_size > 40)
+          SELECT coalesce(d.p_name, c.p_name) AS name, CASE WHEN c.p_name IS NULL THEN 'missing in code' WHEN d.p_name IS NULL THEN 'missing in doc' ELSE 'bound' END AS status FROM d FULL JOIN c ON d.p_name = c.p_name""",
+        "dangling_refs": "SELECT l_partkey AS id, count(*) AS uses FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) GROUP BY 1",
+        "orphan_nodes": f"WITH RECURSIVE {_GRAPH}, w AS (SELECT n_nationkey::BIGINT AS node FROM nation WHERE n_nationkey < 2 UNION SELECT dst FROM w JOIN g ON node = src) SELECT n_nationkey::BIGINT AS node FROM nation WHERE n_nationkey NOT IN (SELECT node FROM w)",
+        "route_tree": """WITH r AS (SELECT 'r' || r_regionkey AS node, '/' || lower(r_name) AS path FROM region), n AS (SELECT 'n' || n_nationkey AS node, path || '/' || lower(n_name) AS path FROM nation JOIN r ON r.node = 'r' || n_regionkey)
+          SELECT * FROM r UNION ALL SELECT * FROM n UNION ALL SELECT 's' || s_suppkey, path || '/' || lower(s_name) FROM supplier JOIN n ON n.node = 'n' || s_nationkey""",
+        "alias_classes": """WITH s AS (SELECT DISTINCT n_nationkey AS key, CASE WHEN n_nationkey % 4 = 2 THEN n_nationkey - 1 ELSE n_nationkey END AS cls, substr(c_mktsegment, 1, 4) AS member FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 6 <> c_nationkey % 6),
+          n AS (SELECT cls, count(DISTINCT key) AS n FROM s GROUP BY 1), h AS (SELECT cls, member, count(*) AS k FROM s GROUP BY 1, 2)
+          SELECT cls, coalesce(string_agg(member, ',' ORDER BY member) FILTER (WHERE k = n), '') AS members FROM h JOIN n USING (cls) GROUP BY cls""",
+        "key_builds": "SELECT lower(r_name) || '.{}.label' AS template, lower(r_name) || '.' || m || '.label' AS key FROM region, (VALUES ('red'), ('green')) v(m)",
+        "package_prefix": f"""WITH p AS (SELECT DISTINCT {path} AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS prefix FROM p WHERE path LIKE '%/en/%' OR path LIKE '%/de/%')
+          SELECT path, max(prefix) AS prefix FROM p JOIN x ON path = prefix OR starts_with(path, prefix || '/') GROUP BY path""",
+        "carried_ids": "SELECT n_name, n_regionkey, n_nationkey AS pos, CASE WHEN n_nationkey < 15 THEN 'o:' || n_nationkey ELSE 'n:' || substr(md5(n_name || '|' || n_regionkey || '|1'), 1, 8) END AS id FROM nation WHERE n_nationkey > 5",
+        "shape_groups": "SELECT sha256('0:object:;1:number:k') AS shape, count(*) AS n FROM events WHERE event_id < 400",
+        "gate_chain": f"WITH {_TREE} SELECT t.owner, 3::BIGINT AS n, string_agg(t.value, ' > ' ORDER BY t.n) AS chain FROM tree t WHERE t.n < 3 AND t.last >= 3 GROUP BY t.owner",
+        "unclaimed_paths": """SELECT page_id, path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://[^/]+', '') AS path FROM pages)
+          WHERE NOT regexp_matches(lower(path), '^/en/.*$') AND NOT regexp_matches(lower(path), '^/de/[^/]*\\.html$') AND NOT regexp_matches(lower(path), '^/f[^/]/[^/]*$')""",
+        "reused_hashes": "SELECT event_id AS path, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 AND user_id < 60 THEN md5(event_id::VARCHAR) END AS hash FROM events WHERE event_id < 500",
+        "file_table_counts": "SELECT file, tbl, count(*) AS n FROM (SELECT c_nationkey::BIGINT AS file, 'customer' AS tbl FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier UNION ALL SELECT n_nationkey, 'nation' FROM nation) GROUP BY 1, 2",
+        "id_lookup": " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS cell FROM orders WHERE o_orderkey = 7 AND {c}::VARCHAR <> ''" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
+        "rebased_baseline": "SELECT source || '/' || lang AS item, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 18",
+        "run_totals": "SELECT count(*) AS files, count(quality) AS mapped, count(*) FILTER (quality IS NULL) AS unmapped, coalesce(max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END), 0)::BIGINT AS exit_code FROM documents LEFT JOIN labels USING (doc_id)",
+        "dependents_reread": f"WITH {_GRAPH} SELECT src AS node FROM g WHERE dst IN (1, 2, 3) UNION SELECT n_nationkey FROM nation WHERE n_nationkey IN (1, 2, 3)",
+        "disjunction": """WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority AS p, o_orderkey % 3 AS k FROM orders WHERE o_custkey <= 80 AND o_orderkey % 3 < 2), b AS (SELECT o_custkey FROM a GROUP BY 1 HAVING count(DISTINCT k) = 2)
+          SELECT o_custkey, string_agg(DISTINCT p, ',' ORDER BY p) AS members FROM a WHERE o_custkey IN (SELECT o_custkey FROM b) GROUP BY 1""",
+    }
+    links["freshness"] = f"SELECT state, count(*) AS n, min(path) AS first FROM ({states['state_diff']}) GROUP BY 1"
+    return {**links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
