@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrace.catalog import TABLES, Catalog
 from terrace.functions.semantics import glob_match, tokens, upper_median
-from terrace.operators import code, folds, fulltext, gate, graph, lenses, links, nodes, overlap, routes, similar, snapshot
+from terrace.operators import code, folds, fulltext, gate, graph, indexes, lenses, links, nodes, overlap, routes, similar, snapshot
 
 Query = Callable[[Catalog], DataFrame]
 _registry: dict[str, Query] = {}
@@ -737,3 +737,58 @@ def disjunction(t: Catalog) -> DataFrame:
     side = lambda k: t["orders"].filter(f"o_custkey <= 80 AND o_orderkey % 3 = {k}").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias(f"s{k}"))
     both = side(0).join(side(1), "o_custkey")
     return both.select("o_custkey", F.array_join(F.sort_array(F.array_union("s0", "s1")), ",").alias("members"))
+
+
+# --- indexes -----------------------------------------------------------------------------------
+
+
+@query
+def magic_numbers(t: Catalog) -> DataFrame:
+    use = F.when(F.col("l_linenumber") == 1, "declared").when(F.col("l_linenumber") == 2, "format").otherwise("compare")
+    return indexes.magic_numbers(t["lineitem"].select(F.col("l_quantity").cast("long").alias("v"), use.alias("u")), "v", "u")
+
+
+@query
+def list_readers(t: Catalog) -> DataFrame:
+    o = t["orders"].filter("o_custkey <= 200").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("items"))
+    p = t["part"].filter("p_partkey < 200").select("p_partkey", F.split("p_name", " ").alias("items"))
+    return indexes.readers([("orders", o, "o_custkey", "items"), ("part", p, "p_partkey", "items")], "UR")
+
+
+@query
+def key_sections(t: Catalog) -> DataFrame:
+    rows = t["events"].filter("event_id < 200").select(
+        F.col("event_id").alias("place"), F.concat(F.lit("n"), F.col("user_id") % 7).alias("name"),
+        F.when(F.col("event_id") % 4 == 0, F.col("event_type")).when(F.col("event_id") % 4 == 1, F.concat("event_type", F.lit(".x"))).alias("value"),
+        F.when(F.col("event_id") % 4 == 2, F.concat(F.lit("n"), F.col("user_id") % 9)).alias("reads"),
+    )
+    return indexes.key_sections(rows, "view")
+
+
+@query
+def inverted_index(t: Catalog) -> DataFrame:
+    return indexes.inverted(t["part"].filter("p_partkey < 300"), "p_name", "p_brand")
+
+
+@query
+def topological_levels(t: Catalog) -> DataFrame:
+    return indexes.topological_level(_cut_graph(t))
+
+
+@query
+def atlas(t: Catalog) -> DataFrame:
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    rows = t["pages"].select(F.substring_index(host, ".", -2).alias("project"), F.regexp_extract("url", "^[a-z]+://[^/]+(/[^/]*)", 1).alias("route"), host.alias("boundary"))
+    return indexes.atlas(rows, "project", "route", "boundary")
+
+
+@query
+def longest_sections(t: Catalog) -> DataFrame:
+    rows = t["documents"].groupBy("source", "lang").agg(F.sum("n_chars").alias("chars"))
+    return indexes.longest_sections(rows, "source", "lang", "chars", 2)
+
+
+@query
+def inherited_properties(t: Catalog) -> DataFrame:
+    base = t["supplier"].filter("s_suppkey < 40").select(F.col("s_nationkey").cast("long").alias("node"), F.concat(F.lit("p"), F.col("s_suppkey") % 5).alias("property"))
+    return indexes.spread(base, _cut_graph(t))

@@ -294,5 +294,23 @@ def oracle_sql() -> dict[str, str]:
         "disjunction": """WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority AS p, o_orderkey % 3 AS k FROM orders WHERE o_custkey <= 80 AND o_orderkey % 3 < 2), b AS (SELECT o_custkey FROM a GROUP BY 1 HAVING count(DISTINCT k) = 2)
           SELECT o_custkey, string_agg(DISTINCT p, ',' ORDER BY p) AS members FROM a WHERE o_custkey IN (SELECT o_custkey FROM b) GROUP BY 1""",
     }
+    indexes = {
+        "magic_numbers": """SELECT l_quantity::BIGINT AS number, count(*) AS uses FROM lineitem WHERE l_quantity::BIGINT NOT IN (0, 1, -1, 2) AND l_linenumber NOT IN (1, 2) GROUP BY 1""",
+        "list_readers": """SELECT DISTINCT 'orders' AS table_name, o_custkey::VARCHAR AS row_key FROM orders WHERE o_custkey <= 200 AND o_orderpriority ILIKE '%UR%'
+          UNION ALL SELECT 'part', p_partkey::VARCHAR FROM part WHERE p_partkey < 200 AND len(list_filter(string_split(p_name, ' '), lambda x: x ILIKE '%UR%')) > 0""",
+        "key_sections": """WITH r AS (SELECT event_id AS place, 'n' || (user_id % 7) AS name, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN event_type || '.x' END AS value, CASE WHEN event_id % 4 = 2 THEN 'n' || (user_id % 9) END AS reads FROM events WHERE event_id < 200),
+          a AS (SELECT 'spelled' AS section, place, name FROM r WHERE value = 'view' UNION ALL SELECT 'built', place, name FROM r WHERE starts_with(value, 'view.'))
+          SELECT * FROM a UNION ALL SELECT 'read', place, reads FROM r WHERE reads IN (SELECT name FROM a)""",
+        "inverted_index": "SELECT p_name, count(*) AS n, string_agg(p_brand, ',' ORDER BY p_brand) AS holders FROM (SELECT DISTINCT p_name, p_brand FROM part WHERE p_partkey < 300) GROUP BY 1",
+        "topological_levels": f"""{_CLOSURE}, nodes AS (SELECT src AS node FROM g UNION SELECT dst FROM g),
+          comp AS (SELECT node, coalesce((SELECT min(a.dst) FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node) AS c FROM nodes),
+          between_ AS (SELECT DISTINCT p.c AS a, q.c AS b FROM g JOIN comp p ON p.node = src JOIN comp q ON q.node = dst WHERE p.c <> q.c),
+          lv AS (SELECT DISTINCT c AS comp, 0 AS level FROM comp UNION SELECT a, level + 1 FROM lv JOIN between_ ON comp = b)
+          SELECT node, max(level)::BIGINT AS level FROM comp JOIN lv ON lv.comp = comp.c GROUP BY node""",
+        "atlas": r"""WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS boundary, regexp_extract(url, '^[a-z]+://[^/]+(/[^/]*)', 1) AS route FROM pages)
+          SELECT regexp_extract(boundary, '([^.]*\.[^.]*)$', 1) AS project, count(*) AS rows, count(DISTINCT route) AS routes, count(DISTINCT boundary) AS boundaries FROM r GROUP BY 1""".replace("\\\\", "\\"),
+        "longest_sections": "SELECT source, lang, chars, rank FROM (SELECT source, lang, sum(n_chars)::BIGINT AS chars, row_number() OVER (PARTITION BY source ORDER BY sum(n_chars) DESC, lang) AS rank FROM documents GROUP BY 1, 2) WHERE rank <= 2",
+        "inherited_properties": f"{_CLOSURE}, base AS (SELECT s_nationkey AS node, 'p' || (s_suppkey % 5) AS property FROM supplier WHERE s_suppkey < 40) SELECT node, property FROM base UNION SELECT src, property FROM reach JOIN base ON dst = node",
+    }
     links["freshness"] = f"SELECT state, count(*) AS n, min(path) AS first FROM ({states['state_diff']}) GROUP BY 1"
-    return {**links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
+    return {**indexes, **links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
