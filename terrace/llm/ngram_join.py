@@ -10,9 +10,9 @@ N >= n, which keeps full - k large; chosen subsets of partitions are single part
 
 That surplus also makes hot signatures harmless. A signature that many sets share is put
 aside; a set that has fewer of those than its surplus still meets each partner in an
-ordinary signature. Only sets made mostly of hot signatures (large families of near copies) go
-through the hot groups, and there against one leader at a time: the triangle inequality of the
-Jaccard distance then settles all members that are not near the leader's border.
+ordinary signature. Only sets made mostly of hot signatures (large families of edited copies) go
+through the hot groups. There each member is laid over one leader, and what two members have
+in common follows from the shingles of the leader that both keep; no text meets every other.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.components import connected_components
-from terrace.session import cut, shuffle_partitions
+from terrace.session import cut, shuffle_partitions, stored
 
 #: Odd multipliers of the rolling and the finishing hash.
 _BASE = 0x9E3779B97F4A7C15
@@ -115,9 +115,8 @@ def profiles(docs: DataFrame, p: JoinParams) -> DataFrame:
 
 
 def _pack(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, sig: np.ndarray) -> bytes:
-    """Signatures of one bucket by document: five bytes each, ids as differences, all little-endian."""
-    five = sig.view(np.uint8).reshape(-1, 8)[:, :5]
-    return np.int64(len(ids)).tobytes() + np.diff(ids, prepend=0).tobytes() + sizes.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + five.tobytes()
+    """Low halves of one bucket's signatures by document, ids as differences, all little-endian."""
+    return np.int64(len(ids)).tobytes() + np.diff(ids, prepend=0).tobytes() + sizes.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + sig.astype("<u4").tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,17 +124,15 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = np.cumsum(np.frombuffer(raw, "<i8", n, 8))
     sizes = np.frombuffer(raw, "<u4", n, 8 + 8 * n)
     counts = np.frombuffer(raw, "<u4", n, 8 + 12 * n)
-    five = np.frombuffer(raw, np.uint8, -1, 8 + 16 * n).reshape(-1, 5)
-    sig = np.zeros((len(five), 8), np.uint8)
-    sig[:, :5] = five
-    return np.repeat(ids, counts), np.repeat(sizes, counts).astype(np.int64), sig.view("<u8").ravel()
+    sig = np.frombuffer(raw, "<u4", -1, 8 + 16 * n).astype(np.uint64)
+    return np.repeat(ids, counts), np.repeat(sizes, counts).astype(np.int64), sig
 
 
 _MEET = "kind int, a long, b long, n long"
 
 
 def _dealt(docs: DataFrame, buckets: int, p: JoinParams) -> DataFrame:
-    """bucket, blob: the signatures of many documents, by bucket; or a hot membership (blob null, sig, doc).
+    """bucket, blob: the signatures of many documents, by bucket; or hot members (blob null, sig, docs).
 
     What is hot within a batch already is cut to hot + 1 members in the blob, which keeps it hot
     where the bucket is gathered, and the rest goes on as rows: a signature that a third of all
@@ -153,13 +150,14 @@ def _dealt(docs: DataFrame, buckets: int, p: JoinParams) -> DataFrame:
         run_at = np.flatnonzero(np.r_[True, sig[by][1:] != sig[by][:-1]])
         rank = np.arange(len(by)) - np.repeat(run_at, np.diff(np.r_[run_at, len(by)]))
         spare = by[rank > p.hot]
-        low = sig & np.uint64((1 << 40) - 1)
-        bucket = ((sig >> np.uint64(40)) % parts_of).astype(np.int64)
-        side = [pa.array(bucket[spare]), pa.nulls(len(spare), pa.binary()), pa.array(((bucket[spare] << 40) | low[spare].astype(np.int64))), pa.array(idv[doc[spare]])]
-        names = ["bucket", "blob", "sig", "doc"]
-        if len(spare):
-            side[0] = pa.array(idv[doc[spare]] % int(parts_of))
-            yield pa.RecordBatch.from_arrays(side, names=names)
+        low = sig & np.uint64(0xFFFFFFFF)
+        bucket = ((sig >> np.uint64(32)) % parts_of).astype(np.int64)
+        names = ["bucket", "blob", "sig", "docs"]
+        if len(spare):  # in signature order already
+            full = (bucket[spare] << 32) | low[spare].astype(np.int64)
+            at = np.flatnonzero(np.r_[True, full[1:] != full[:-1]])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(full)], pa.int32()), pa.array(idv[doc[spare]]))
+            yield pa.RecordBatch.from_arrays([pa.array(full[at] % int(parts_of)), pa.nulls(len(at), pa.binary()), pa.array(full[at]), lists], names=names)
         stay = np.ones(len(sig), bool)
         stay[spare] = False
         sig, doc, low, bucket = sig[stay], doc[stay], low[stay], bucket[stay]
@@ -170,8 +168,8 @@ def _dealt(docs: DataFrame, buckets: int, p: JoinParams) -> DataFrame:
         for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
             have, counts = np.unique(doc[a:b], return_counts=True)
             blobs.append(_pack(idv[have], size[have], counts, low[a:b]))
-        none = pa.nulls(len(blobs), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blobs, pa.binary()), none, none], names=names)
+        none = [pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blobs, pa.binary()), *none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -192,7 +190,7 @@ def _dealt(docs: DataFrame, buckets: int, p: JoinParams) -> DataFrame:
         if ids:
             yield from flush(ids, sets, sigs)
 
-    return docs.mapInArrow(run, "bucket long, blob binary, sig long, doc long")
+    return docs.mapInArrow(run, "bucket long, blob binary, sig long, docs array<long>")
 
 
 def _met(dealt: DataFrame, partitions: int, p: JoinParams) -> DataFrame:
@@ -210,7 +208,7 @@ def _met(dealt: DataFrame, partitions: int, p: JoinParams) -> DataFrame:
         names = ["kind", "a", "b", "n"]
         if hot.any():
             k = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sig[hot].astype(np.int64) | (bucket << 40)), pa.array(doc[hot]), pa.array(each[hot])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sig[hot].astype(np.int64) | (bucket << 32)), pa.array(doc[hot]), pa.array(each[hot])], names=names)
         keep = (each > 1) & ~hot
         doc, size, sig = doc[keep], size[keep], sig[keep]
         pairs = []
@@ -231,8 +229,10 @@ def _met(dealt: DataFrame, partitions: int, p: JoinParams) -> DataFrame:
         for batch in batches:
             side = batch.filter(batch.column(1).is_null())
             if side.num_rows:
-                n = side.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), side.column(2), side.column(3), pa.array(np.full(n, p.hot + 1))], names=["kind", "a", "b", "n"])
+                docs = side.column(3)
+                each = np.asarray(docs.value_lengths())
+                doc, sig = docs.flatten(), np.repeat(side.column(2).to_numpy(), each)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(sig), doc, pa.array(np.full(len(doc), p.hot + 1))], names=["kind", "a", "b", "n"])
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not blob.is_valid:
                     continue
@@ -247,19 +247,28 @@ def _met(dealt: DataFrame, partitions: int, p: JoinParams) -> DataFrame:
     return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MEET)
 
 
+def _short(ids: DataFrame, p: JoinParams) -> DataFrame:
+    """ids, to be shipped whole while they are few enough; a shuffle join otherwise."""
+    return F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
+
+
 def _only(docs: DataFrame, ids: DataFrame, how: str, p: JoinParams) -> DataFrame:
     """Rows whose doc_id is (left_semi) or is not (left_anti) among ids; shipped while the list is short."""
     ids = ids.select(F.col(ids.columns[0]).alias("_id"))
-    side = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
-    return docs.join(side, F.col("doc_id") == F.col("_id"), how)
+    return docs.join(_short(ids, p), F.col("doc_id") == F.col("_id"), how)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """a, b, common, n_union: exact set overlap of each pair of documents, whole texts compared."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+def _texts(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
+    """a, b, ta, tb: the pairs once each, with both texts."""
+    pairs = stored(pairs.select("a", "b").distinct())
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = _only(_rows(docs), ids, "left_semi", p)
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    return joined.select("a", "b", "ta", "tb")
+
+
+def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+    """a, b, common, n_union: exact set overlap of each pair of documents, whole texts compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, str, np.ndarray] | None = None
@@ -274,41 +283,126 @@ def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams = JoinParams()) -> D
                 union.append(len(last[2]) + len(y) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "n_union"])
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, n_union long")
+    return _texts(pairs, docs, p).mapInArrow(run, "a long, b long, common long, n_union long")
 
 
 _LINKED = "100 * common >= 75 * n_union"
 
 
-def _hot_links(members: DataFrame, links: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
-    """Links found in hot groups; members: g, doc, n, rare (whether the set needs its hot groups).
+def _against(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
+    """lead, doc, n, ln, common, mask, extra: each document laid over its leader.
+
+    mask has a bit per shingle of the leader that the document shares; extra are the hashes of
+    its other shingles. Both are null below a similarity of 1/4.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int, np.ndarray] | None = None
+        for batch in batches:
+            n, ln, common, masks, extras = [], [], [], [], []
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if last is None or last[0] != a:
+                    last = (a, shingles(ta.as_py(), p.words))
+                x, y = last[1], shingles(tb.as_py(), p.words)
+                shared = np.isin(x, y, assume_unique=True)
+                k = int(shared.sum())
+                close = 4 * k >= len(x) + len(y) - k
+                n.append(len(y)), ln.append(len(x)), common.append(k)
+                masks.append(np.packbits(shared).tobytes() if close else None)
+                extras.append(np.setdiff1d(y, x, assume_unique=True).astype("<i8").tolist() if close else None)
+            numbers = [pa.array(v, pa.int64()) for v in (n, ln, common)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(masks, pa.binary()), pa.array(extras, pa.list_(pa.int64()))], names=["lead", "doc", "n", "ln", "common", "mask", "extra"])
+
+    return _texts(pairs, docs, p).mapInArrow(run, "lead long, doc long, n long, ln long, common long, mask binary, extra array<long>")
+
+
+_FAMILY_BLOCK = 512
+
+
+def _within(family: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links among the documents laid over one leader, and pairs that only their texts can settle.
+
+    common(x, y) = common bits of the masks + common extras, and the latter are at most
+    min(w) where w counts a document's extras that any other one of the family has. Documents
+    that cannot reach 3/4 with anyone by that bound are left out, the rest meet in blocks; a
+    block pair reports a forest of its sure links, not the pairs.
+    """
+    held = family.select("lead", "doc", F.explode("extra").alias("h")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("lead", "h")))
+    w = held.filter("k > 1").groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("w"))
+    rows = family.drop("extra").join(w, ["lead", "doc"], "left").fillna(0, ["w"]).filter("4 * (common + w) >= 3 * n")
+    many = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / _FAMILY_BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(many, "lead").withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
+    dealt = rows.withColumn("b", F.explode(meet)).select("lead", "b.i", "b.j", "at", "doc", "n", "w", "mask")
+
+    def meeting(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("doc")
+        bits_ = np.unpackbits(np.stack([np.frombuffer(m, np.uint8) for m in pdf["mask"]]), axis=1)
+        n, w, doc = pdf["n"].to_numpy(), pdf["w"].to_numpy(), pdf["doc"].to_numpy()
+        common = np.zeros((len(doc), len(doc)), np.float32)
+        for c in range(0, bits_.shape[1], 2048):
+            part = bits_[:, c : c + 2048].astype(np.float32)
+            common += part @ part.T
+        need = 75 * (n[:, None] + n[None, :])
+        sure = 175 * common >= need
+        label = np.arange(len(doc))
+        while True:
+            new = np.where(sure, label[None, :], len(doc)).min(1)
+            new = np.minimum(new, label)[np.minimum(new, label)]
+            if (new == label).all():
+                break
+            label = new
+        forest = np.flatnonzero(label != np.arange(len(doc)))
+        open_ = (175 * (common + np.minimum(w[:, None], w[None, :])) >= need) & (label[:, None] != label[None, :])
+        x, y = np.nonzero(np.triu(open_, 1))
+        return pd.DataFrame({"a": np.r_[doc[label[forest]], doc[x]], "b": np.r_[doc[forest], doc[y]], "known": np.r_[np.ones(len(forest), bool), np.zeros(len(x), bool)]})
+
+    found = stored(dealt.groupBy("lead", "i", "j").applyInPandas(meeting, "a long, b long, known boolean").distinct())
+    return found.filter("known").select("a", "b"), found.filter("NOT known").select("a", "b")
+
+
+def _hot_links(members: DataFrame, links: DataFrame, docs: DataFrame, few: int, p: JoinParams) -> DataFrame:
+    """Links found in hot groups; members: g, doc, n, loss, rare (whether the set counts on this group).
 
-    Per round each group's leader, from its least frequent component, is compared with all
-    members of compatible size and leaves. Members linked to it (distance <= 1/4) can only link
-    to others at distance <= 1/2 from it, so a group splits into those within 1/2 and those
-    beyond 1/4. Groups end when one component or no set that needs them is left.
+    Per round each group's leader is the set that counts on it and shares the largest part
+    of itself, as the original of a family of edited copies does. All members it can compare
+    with are laid over it, and those at distance <= 3/4 settle all their links among each other
+    there. A member at distance <= 1/2 can link to no other, so only members beyond 1/2 stay.
+    Groups end when no set that counts on them is left, or once at most `few` pairs are left in
+    all groups together.
     """
-    members = cut(members.withColumn("g", F.col("g").cast("string")))
     while True:
-        comps = connected_components(links)
-        with_comp = members.join(comps, F.col("doc") == F.col("node"), "left").select("g", "doc", "n", "rare", F.coalesce("component", "doc").alias("c"))
-        live = with_comp.groupBy("g").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.max("rare").alias("z")).filter("x <> y AND z").select(F.col("g").alias("_g"))
-        now = cut(with_comp.join(live, F.col("g") == F.col("_g"), "left_semi"))
-        if now.isEmpty():
-            return links
-        sizes = now.groupBy(F.col("g").alias("_g"), F.col("c").alias("_c")).agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct(~F.col("rare"), "doc", "n")).alias("_d"))
-        lead = cut(sizes.groupBy("_g").agg(F.min(F.struct("_m", "_d", "_c")).alias("_l")).select("_g", F.col("_l._d.doc").alias("lead"), F.col("_l._d.n").alias("ln"), F.col("_l._c").alias("lc")))
-        faced = now.join(lead, F.col("g") == F.col("_g")).filter("doc <> lead").drop("_g")
-        compatible = 4 * F.least("n", "ln") >= 3 * F.greatest("n", "ln")
-        faced = cut(faced.withColumn("fits", compatible))
-        tested = cut(verify(faced.filter("fits").select(F.col("lead").alias("a"), F.col("doc").alias("b")), docs, p))
-        links = cut(links.unionByName(tested.filter(_LINKED).select("a", "b")))
-        best = tested.groupBy("a", "b").agg(F.max(F.col("common") / F.col("n_union")).alias("_j"))
-        far = F.lit(1.0) - F.coalesce("_j", F.least("n", "ln") / F.greatest("n", "ln"))
-        known = faced.join(best, (F.col("lead") == F.col("a")) & (F.col("doc") == F.col("b")), "left").withColumn("_far", F.when(F.col("fits"), far).otherwise(F.greatest(far, F.lit(0.2500001))))
-        near = known.filter("_far <= 0.5000001").withColumn("_side", F.lit("n"))
-        beyond = known.filter("_far > 0.2499999").withColumn("_side", F.lit("f"))
-        members = cut(near.unionByName(beyond).select(F.md5(F.concat("g", F.lit(":"), "_side", F.lit(":"), F.col("lead").cast("string"))).alias("g"), "doc", "n", "rare"))
+        size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.count_if("rare").alias("r")).agg(F.sum(F.col("m") * F.col("r"))).first()[0] or 0
+        if size <= few:  # no more pairs than a few per document are left: compare them as they are
+            other = members.select(F.col("g").alias("_g"), F.col("doc").alias("_d"), F.col("n").alias("_n"))
+            met = members.filter("rare").join(other, (F.col("g") == F.col("_g")) & (F.col("doc") != F.col("_d"))).filter("4 * least(n, _n) >= 3 * greatest(n, _n)")
+            rest = verify(met.select(F.least("doc", "_d").alias("a"), F.greatest("doc", "_d").alias("b")), docs, p)
+            return links.unionByName(rest.filter(_LINKED).select("a", "b"))
+        lead = members.filter("rare").groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("loss", "doc", "n")).alias("_l")).select("_g", F.col("_l.doc").alias("lead"), F.col("_l.n").alias("ln"))
+        faced = stored(members.join(lead, F.col("g") == F.col("_g")).drop("_g").withColumn("fits", 4 * F.least("n", "ln") >= F.greatest("n", "ln")))
+        laid = stored(_against(faced.filter("fits").select(F.col("lead").alias("a"), F.col("doc").alias("b")), docs, p))
+        sure, open_ = _within(laid.filter("mask IS NOT NULL"))
+        proved = verify(open_, docs, p).filter(_LINKED).select("a", "b")
+        links = stored(links.unionByName(sure).unionByName(proved).distinct())
+        settled = laid.filter("2 * common >= n + ln - common").select(F.col("lead").alias("_a"), F.col("doc").alias("_b"))
+        away = (F.col("lead") == F.col("_a")) & (F.col("doc") == F.col("_b"))
+        others = faced.filter("doc <> lead")
+        # the few that count on their group first: most groups end here
+        live = stored(others.filter("rare").join(settled, away, "left_anti").select(F.col("g").alias("_g")).distinct())
+        rest = others.join(live, F.col("g") == F.col("_g"), "left_semi").join(settled, away, "left_anti")
+        members = _once(rest.select("g", "doc", "n", "loss", "rare"))
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """Groups with the same members as one: a family of copies shares hundreds of signatures."""
+    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("doc").cast("decimal(38,0)")), F.sum(F.xxhash64("doc", F.lit(1)).cast("decimal(38,0)")))
+    groups = members.groupBy("g").agg(mark.alias("_mark"))
+    reps = groups.groupBy("_mark").agg(F.min("g").alias("_rep"))
+    same = groups.join(reps, "_mark").select(F.col("g").alias("_g"), "_rep")
+    one = members.join(same, F.col("g") == F.col("_g"))
+    return stored(one.groupBy(F.col("_rep").alias("g"), "doc", "n", "loss").agg(F.max("rare").alias("rare")))
 
 
 def components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -329,8 +423,8 @@ def components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     alone = _only(docs.filter("doc_id IS NOT NULL"), cut(others), "left_anti", p)
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), -(-total // (4 * p.bucket_signatures)))
-    met = cut(_met(_dealt(alone, max(4 * parts, -(-total // p.bucket_signatures)), p), parts, p))
-    links = cut(links_of(met, classes, alone, p))
+    met = stored(_met(_dealt(alone, 2 * parts, p), parts, p))
+    links = stored(links_of(met, classes, alone, p))
     comps = connected_components(links)
     placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
     same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") == F.col("_n"))
@@ -340,16 +434,26 @@ def components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
 def links_of(met: DataFrame, classes: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
     """a, b: verified links between class representatives."""
     size = classes.select(F.col("rep").alias("doc"), F.col("n"), F.col("filled"))
-    hot = met.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc")).distinct()
+    hot = met.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc"))
     heat = hot.groupBy("doc").agg(F.count(F.lit(1)).alias("hot"))
-    known = cut(size.join(heat, "doc", "left").fillna(0, ["hot"]))
+    known = stored(size.join(heat, "doc", "left").fillna(0, ["hot"]))
     pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
     of = lambda side: known.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("filled").alias(f"f_{side}"), F.col("hot").alias(f"h_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     need = F.when(F.col("n_a") >= F.col("n_b"), F.col("f_a") - F.col("h_a")).otherwise(F.col("f_b") - F.col("h_b")) - F.floor((F.col("n_a") + F.col("n_b")) / 7)
     found = verify(both.filter(F.col("shared") >= need).select("a", "b"), docs, p).filter(_LINKED).select("a", "b")
-    links = cut(found)
-    needy = known.withColumn("rare", F.col("hot") >= F.col("filled") - F.floor(2 * F.col("n") / 7)).select(F.col("doc").alias("_doc"), "n", "rare")
-    members = hot.join(needy, F.col("doc") == F.col("_doc")).drop("_doc")
-    asked = members.filter("rare").select(F.col("g").alias("_g")).distinct()
-    return _hot_links(members.join(asked, F.col("g") == F.col("_g"), "left_semi"), links, docs, p)
+    links = stored(found)
+    # Any k + 1 signatures of a set meet every partner; the ordinary ones count, the rest are its least hot ones.
+    take = F.col("hot") - F.col("filled") + F.floor(2 * F.col("n") / 7) + 1
+    needy = stored(known.select(F.col("doc").alias("_doc"), take.alias("take")).filter("take > 0"))
+    own = stored(hot.join(_short(needy, p), F.col("doc") == F.col("_doc")).drop("_doc"))
+    touched = stored(own.select(F.col("g").alias("_g")).distinct())
+    sizes = hot.join(_short(touched, p), F.col("g") == F.col("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("m"))
+    turn = F.row_number().over(Window.partitionBy("doc").orderBy("m", "g"))
+    asked = stored(own.join(sizes, F.col("g") == F.col("_g")).withColumn("_r", turn).filter("_r <= take").select("g", "doc"))
+    groups = stored(asked.select(F.col("g").alias("_g")).distinct())
+    flags = asked.select(F.col("g").alias("_g"), F.col("doc").alias("_d"), F.lit(True).alias("rare"))
+    met_in = hot.join(_short(groups, p), F.col("g") == F.col("_g"), "left_semi").join(flags, (F.col("g") == F.col("_g")) & (F.col("doc") == F.col("_d")), "left").drop("_g", "_d")
+    loss = ((F.col("filled") - F.col("hot")) / F.col("filled")).alias("loss")
+    members = met_in.join(known.select(F.col("doc").alias("_doc"), "n", loss), F.col("doc") == F.col("_doc"))
+    return _hot_links(_once(members.select("g", "doc", "n", "loss", F.coalesce("rare", F.lit(False)).alias("rare"))), links, docs, 3 * classes.count(), p)
