@@ -14,27 +14,29 @@ def identical(df: DataFrame, key: str, text: str) -> DataFrame:
     ).filter("n >= 2").select("digest", "n", "size", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("places"))
 
 
-def shingle_rows(df: DataFrame, key: str, text: str, words: int = 5) -> DataFrame:
-    """key and each distinct window of words of the lower-cased text, split at single spaces."""
-    w = df.select(F.col(key).alias("doc"), F.split(F.lower(text), " ").alias("w"))
-    n = F.size("w") - (words - 1)
-    windows = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice("w", i, F.lit(words)), " "))
-    return w.filter(n >= 1).select("doc", F.explode(F.array_distinct(windows)).alias("shingle"))
+def shingle_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, hs: the distinct five-word windows of the lower-cased text, split at single spaces, as 64-bit hashes."""
+    words = df.select(F.col(key).alias("doc"), F.split(F.lower(text), " ").alias("w"))
+    hashed = F.expr("CASE WHEN size(w) < 5 THEN array() ELSE transform(sequence(0, size(w) - 5), i -> xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4])) END")
+    return words.select("doc", F.array_distinct(hashed).alias("hs"))
 
 
 def near_copies(df: DataFrame, key: str, text: str, least_shared: int = 3, percent: int = 75, most_owners: int = 50) -> DataFrame:
     """a, b, shared, score: pairs that share shingles with 2 to most_owners owners.
 
     Shingles with more owners count as vocabulary: they stay in the set sizes but link
-    nothing. Windows travel as 64-bit hashes, the owners' limit is applied by an aggregate before the join,
-    so a pair comes from at most most_owners rows of a shingle.
+    nothing. The owners' limit is applied by an aggregate (partial before its shuffle) ahead of the join,
+    so a row of the self-join meets at most most_owners others.
     """
-    rows = shingle_rows(df, key, text).select("doc", F.xxhash64("shingle").alias("h"))
-    sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
+    sets = shingle_sets(df, key, text)
+    # the outer form: the inner one adds a filter on size(hs) that would repeat the windows' expression below it
+    rows = sets.select("doc", F.explode_outer("hs").alias("h")).filter("h IS NOT NULL")
     usable = rows.groupBy("h").agg(F.count(F.lit(1)).alias("owners")).filter(F.col("owners").between(2, most_owners)).select("h")
     left = rows.join(usable, "h")
     pairs = left.select("h", F.col("doc").alias("a")).join(left.select("h", F.col("doc").alias("b")), "h").filter("a < b")
     shared = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= least_shared)
+    # sizes are counted from the rows: a filter on size(hs) would be pushed down and repeat the windows' expression
+    sizes = rows.groupBy("doc").agg(F.count(F.lit(1)).alias("size"))
     digests = df.select(F.col(key).alias("doc"), F.md5(text).alias("digest")).join(sizes, "doc")
     of = lambda s: digests.select(F.col("doc").alias(s), F.col("digest").alias(f"d_{s}"), F.col("size").alias(f"s_{s}"))
     both = shared.join(of("a"), "a").join(of("b"), "b").filter("d_a <> d_b")
