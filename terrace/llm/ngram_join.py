@@ -12,7 +12,8 @@ That surplus also makes hot signatures harmless. A signature that many sets shar
 aside; a set that has fewer of those than its surplus still meets each partner in an
 ordinary signature. Only sets made mostly of hot signatures (large families of edited copies) go
 through the hot groups. There each member is laid over one leader, and what two members have
-in common follows from the shingles of the leader that both keep; no text meets every other.
+in common follows from the leader's shingles that both keep and their few common others; no text
+meets every other.
 """
 
 from __future__ import annotations
@@ -319,48 +320,55 @@ def _against(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
 _FAMILY_BLOCK = 512
 
 
-def _within(family: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links among the documents laid over one leader, and pairs that only their texts can settle.
+def _within(family: DataFrame) -> DataFrame:
+    """a, b: links among the documents laid over one leader, a forest of them per pair of blocks.
 
-    common(x, y) = common bits of the masks + common extras, and the latter are at most
-    min(w) where w counts a document's extras that any other one of the family has. Documents
-    that cannot reach 3/4 with anyone by that bound are left out, the rest meet in blocks; a
-    block pair reports a forest of its sure links, not the pairs.
+    What two of them have in common are the bits that both masks hold and the extras that both
+    have; extras that only one document of the family has do not matter and stay behind.
+    Documents that cannot reach 3/4 with anyone by these numbers are left out, the rest
+    meet in blocks of bounded size.
     """
     held = family.select("lead", "doc", F.explode("extra").alias("h")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("lead", "h")))
-    w = held.filter("k > 1").groupBy("lead", "doc").agg(F.count(F.lit(1)).alias("w"))
-    rows = family.drop("extra").join(w, ["lead", "doc"], "left").fillna(0, ["w"]).filter("4 * (common + w) >= 3 * n")
+    shared = held.filter("k > 1").groupBy("lead", "doc").agg(F.collect_list("h").alias("x"))  # at most the document's own shingles
+    rows = family.drop("extra").join(shared, ["lead", "doc"], "left").filter("4 * (common + coalesce(size(x), 0)) >= 3 * n")
     many = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / _FAMILY_BLOCK).cast("int").alias("blocks"))
     rows = rows.join(many, "lead").withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
-    dealt = rows.withColumn("b", F.explode(meet)).select("lead", "b.i", "b.j", "at", "doc", "n", "w", "mask")
+    dealt = rows.withColumn("b", F.explode(meet)).select("lead", "b.i", "b.j", "doc", "n", "mask", "x")
 
     def meeting(pdf):
         import pandas as pd
 
         pdf = pdf.sort_values("doc")
-        bits_ = np.unpackbits(np.stack([np.frombuffer(m, np.uint8) for m in pdf["mask"]]), axis=1)
-        n, w, doc = pdf["n"].to_numpy(), pdf["w"].to_numpy(), pdf["doc"].to_numpy()
+        n, doc = pdf["n"].to_numpy(), pdf["doc"].to_numpy()
         common = np.zeros((len(doc), len(doc)), np.float32)
-        for c in range(0, bits_.shape[1], 2048):
-            part = bits_[:, c : c + 2048].astype(np.float32)
-            common += part @ part.T
-        need = 75 * (n[:, None] + n[None, :])
-        sure = 175 * common >= need
+
+        def add(rows: np.ndarray, columns: np.ndarray) -> None:
+            by = np.argsort(columns, kind="stable")
+            rows, columns = rows[by], columns[by]
+            for c in range(0, int(columns[-1]) + 1 if len(columns) else 0, 2048):
+                lo, hi = np.searchsorted(columns, (c, c + 2048))
+                part = np.zeros((len(doc), 2048), np.float32)
+                part[rows[lo:hi], columns[lo:hi] - c] = 1
+                common[:] += part @ part.T
+
+        add(*np.nonzero(np.unpackbits(np.stack([np.frombuffer(m, np.uint8) for m in pdf["mask"]]), axis=1)))
+        lists = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in pdf["x"]]
+        owner = np.repeat(np.arange(len(doc)), [len(x) for x in lists])
+        if len(owner):
+            add(owner, np.unique(np.concatenate(lists), return_inverse=True)[1])
+        linked = 175 * common >= 75 * (n[:, None] + n[None, :])
         label = np.arange(len(doc))
         while True:
-            new = np.where(sure, label[None, :], len(doc)).min(1)
-            new = np.minimum(new, label)[np.minimum(new, label)]
+            new = np.minimum(label, np.where(linked, label[None, :], len(doc)).min(1))
+            new = new[new]
             if (new == label).all():
                 break
             label = new
         forest = np.flatnonzero(label != np.arange(len(doc)))
-        open_ = (175 * (common + np.minimum(w[:, None], w[None, :])) >= need) & (label[:, None] != label[None, :])
-        x, y = np.nonzero(np.triu(open_, 1))
-        return pd.DataFrame({"a": np.r_[doc[label[forest]], doc[x]], "b": np.r_[doc[forest], doc[y]], "known": np.r_[np.ones(len(forest), bool), np.zeros(len(x), bool)]})
+        return pd.DataFrame({"a": doc[label[forest]], "b": doc[forest]})
 
-    found = stored(dealt.groupBy("lead", "i", "j").applyInPandas(meeting, "a long, b long, known boolean").distinct())
-    return found.filter("known").select("a", "b"), found.filter("NOT known").select("a", "b")
+    return dealt.groupBy("lead", "i", "j").applyInPandas(meeting, "a long, b long")
 
 
 def _hot_links(members: DataFrame, links: DataFrame, docs: DataFrame, few: int, p: JoinParams) -> DataFrame:
@@ -383,9 +391,7 @@ def _hot_links(members: DataFrame, links: DataFrame, docs: DataFrame, few: int,
         lead = members.filter("rare").groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("loss", "doc", "n")).alias("_l")).select("_g", F.col("_l.doc").alias("lead"), F.col("_l.n").alias("ln"))
         faced = stored(members.join(lead, F.col("g") == F.col("_g")).drop("_g").withColumn("fits", 4 * F.least("n", "ln") >= F.greatest("n", "ln")))
         laid = stored(_against(faced.filter("fits").select(F.col("lead").alias("a"), F.col("doc").alias("b")), docs, p))
-        sure, open_ = _within(laid.filter("mask IS NOT NULL"))
-        proved = verify(open_, docs, p).filter(_LINKED).select("a", "b")
-        links = stored(links.unionByName(sure).unionByName(proved).distinct())
+        links = stored(links.unionByName(_within(laid.filter("mask IS NOT NULL"))).distinct())
         settled = laid.filter("2 * common >= n + ln - common").select(F.col("lead").alias("_a"), F.col("doc").alias("_b"))
         away = (F.col("lead") == F.col("_a")) & (F.col("doc") == F.col("_b"))
         others = faced.filter("doc <> lead")
