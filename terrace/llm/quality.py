@@ -20,18 +20,18 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class QualityParams:
-    """min_words, max_repeat_percent: the fixed base rules. spread, slack: a ratio may lie so many
-    upper-half spreads, and so much besides, above its group's median. floors: ratios at or below these never
-    reject. least_group: smaller groups of language and source take the language's merged
-    sketch, smaller languages the merged sketch of all. sketch_k: size of a KLL sketch."""
+    """min_words, max_repeat_percent: the fixed base rules. limits: ratio, quantile, spread; a ratio may lie
+    spread times as far above its group's median as that quantile does. step: limits are rounded
+    up to it, and lie between one step and one step below 1. least_group: smaller groups of language and
+    source take the language's merged sketch, smaller languages the merged sketch of all.
+    sketch_k: size of a KLL sketch."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    spread: float = 8.0
-    slack: float = 0.05
-    floors: tuple[tuple[str, float], ...] = (
-        ("noise", 0.06), ("upper", 0.10), ("dup_lines", 0.45), ("repeats", 0.15),
+    limits: tuple[tuple[str, float, float], ...] = (
+        ("noise", 0.75, 8.0), ("upper", 0.75, 12.0), ("dup_lines", 0.99, 2.0), ("repeats", 0.95, 6.0),
     )
+    step: float = 0.01
     least_group: int = 200
     sketch_k: int = 2048
 
@@ -112,9 +112,9 @@ def thresholds(feats: DataFrame, p: QualityParams = QualityParams()) -> DataFram
 
     A KLL sketch per language and source is built map-side and merged; the same sketches are
     merged again by language and over all, for groups too small to stand alone. A limit is
-    median + spread * (upper quartile - median) + slack, at least the floor, rounded up to 1/100.
+    median + spread * (quantile - median), rounded up to a step; no fixed value but the step bounds it.
     """
-    names = [n for n, _ in p.floors]
+    names = [n for n, _, _ in p.limits]
     by_group = feats.filter(~F.col("base_failed")).groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("_n"), *(F.kll_sketch_agg_double(_ratios()[n], p.sketch_k).alias(n) for n in names)
     )
@@ -126,12 +126,13 @@ def thresholds(feats: DataFrame, p: QualityParams = QualityParams()) -> DataFram
     over_all = merged(F.lit(1).alias("_one")).select("_one", *(F.col(n).alias(f"_a_{n}") for n in names))
     joined = by_group.withColumn("_one", F.lit(1)).join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").join(over_all, "_one", "left")
 
-    def limit(n: str, floor: float) -> Column:
+    def limit(n: str, high: float, spread: float) -> Column:
         pick = F.when(F.col("_n") >= p.least_group, F.col(n)).when(F.col("_nl") >= p.least_group, F.col(f"_l_{n}")).otherwise(F.col(f"_a_{n}"))
         at = lambda q: F.kll_sketch_get_quantile_double(pick, F.lit(q))
-        return F.greatest(F.lit(floor), F.ceil((at(0.5) + p.spread * (at(0.75) - at(0.5)) + p.slack) * 100) / 100).alias(f"t_{n}")
+        steps = F.ceil((at(0.5) + spread * (at(high) - at(0.5))) / p.step - 1e-9)
+        return F.greatest(F.lit(p.step), F.least(F.lit(1 - p.step), steps * p.step)).alias(f"t_{n}")
 
-    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(limit(n, f) for n, f in p.floors))
+    return joined.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *(limit(*x) for x in p.limits))
 
 
 def judge(docs: DataFrame, *carry: str, params: QualityParams = QualityParams()) -> DataFrame:
@@ -170,6 +171,6 @@ def _based(docs: DataFrame, carry, params: QualityParams) -> DataFrame:
 def _verdict(feats: DataFrame, limits: DataFrame, params: QualityParams) -> DataFrame:
     out = feats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     fine = ~F.col("base_failed")
-    for n, _ in params.floors:
+    for n, _, _ in params.limits:
         fine = fine & (_ratios()[n] <= F.coalesce(F.col(f"t_{n}"), F.lit(float("inf"))))
-    return out.withColumn("kept", fine).drop("_lang", "_source", *(f"t_{n}" for n, _ in params.floors))
+    return out.withColumn("kept", fine).drop("_lang", "_source", *(f"t_{n}" for n, _, _ in params.limits))

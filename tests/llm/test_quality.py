@@ -58,6 +58,20 @@ def test_thresholds_adapt_to_the_group(spark):
     assert kept[0] and kept[1000] and not kept[5000]
 
 
+def test_group_quantiles_set_the_limits(spark):
+    """Nothing fixed lets an outlier of its group through, and no group's limit reaches 1."""
+    noisy = lambda i, n: clean(i) + "§" * n
+    calm = [(i, noisy(i, 0), "en", "calm", "") for i in range(300)]
+    loud = [(1000 + i, noisy(i, i % 60), "en", "loud", "") for i in range(300)]
+    odd = [(5000, noisy(1, 25), "en", "calm", ""), (5001, noisy(1, 25), "en", "loud", "")]
+    docs = spark.createDataFrame(calm + loud + odd, SCHEMA)
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    assert all(kept[i] for i in range(300)) and not kept[5000] and kept[5001]
+    p = quality.QualityParams()
+    limits = {r["_source"]: r for r in quality.thresholds(quality._based(docs, ("lang", "source"), p), p).collect()}
+    assert limits["calm"]["t_noise"] < limits["loud"]["t_noise"] and all(r[f"t_{n}"] < 1 for r in limits.values() for n, _, _ in p.limits)
+
+
 def test_kept_rows_agree_with_judge(spark, judged):
     rows, kept = judged
     got = quality.kept_rows(spark.createDataFrame(rows, SCHEMA))
