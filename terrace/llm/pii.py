@@ -92,22 +92,26 @@ _word_digit = {w: str(d) for d, ws in enumerate(DIGIT_WORDS) for w in ws.split()
 _dot_words = "dot|point|punkt|punto"
 _at_words = "at|arroba"
 _token = "|".join(sorted(_word_digit, key=len, reverse=True))
-_spelled = re.compile(
-    rf"(?i)(?:\bplus\s+|\+\s*)?(?<![^\W_])(?:{_token}|[0-9]+)(?:[\s,.()-]{{1,4}}(?:(?:{_dot_words})\s+)?(?:{_token}|[0-9]+)(?![^\W_]))+"
-)
-_spelled_hint = re.compile(rf"(?i)(?<![^\W_])(?:{_token})[\s,.()-]+(?:(?:{_dot_words})\s+)?(?:{_token}|[0-9])")
+_o, _c = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
+_boxed = rf"\s{{0,3}}{_o}(?:{_dot_words}|\.){_c}\s{{0,3}}"
+_between = rf"(?:{_boxed}|[\s,.()-]{{1,4}}(?:(?:{_dot_words})\s+)?)"
+_spelled = re.compile(rf"(?i)(?:\bplus\s+|\+\s*)?(?<![^\W_])(?:{_token}|[0-9]+)(?:{_between}(?:{_token}|[0-9]+)(?![^\W_]))+")
+# Every run with a spelled digit has one before or after another digit, else a dot is a word or in brackets.
+_spelled_hint = re.compile(rf"(?i)(?<![^\W_])(?:{_token}){_between}(?:{_token}|[0-9])")
+_number_hint = re.compile(rf"(?i)[0-9](?:{_between}(?:{_token})(?![^\W_])|(?:{_boxed}|[\s,.()-]{{1,4}}(?:{_dot_words})\s+)[0-9])")
+_disguised_dot = re.compile(rf"(?i)\b(?:{_dot_words})\b|{_o}\.{_c}")
 _piece = re.compile(rf"(?i)(\bplus\b|\+)|({_token})|([0-9]+)|(\b(?:{_dot_words})\b|\.)")
 
-_o, _c = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _at_hint = re.compile(rf"(?i)\s{{0,3}}{_o}(?:{_at_words}|@){_c}\s{{0,3}}|\s{{1,3}}(?:{_at_words})\s{{1,3}}|\s{{1,3}}@\s{{0,3}}|@\s{{1,3}}|@")
 _d = rf"(?:\s{{0,3}}{_o}(?:{_dot_words}|\.){_c}\s{{0,3}}|\s{{1,3}}(?:{_dot_words})\s{{1,3}}|\.)"
 _after = re.compile(rf"(?i)[A-Za-z0-9-]+(?:{_d}[A-Za-z0-9-]+)+")
-_before = re.compile(rf"(?i)[A-Za-z0-9_%+-]+(?:{_d}[A-Za-z0-9_%+-]+)*\Z")
+_local_chars = frozenset(c for c in map(chr, range(0x2200)) if re.match(r"(?i)[A-Za-z0-9_%+-]", c))
+_dot_before, _dot_width = re.compile(rf"(?i){_d}\Z"), 19  # the widest disguised dot
 _any_dot = re.compile(rf"(?i){_d}")
 #: Words that follow a spoken "at" in prose.
 _article = re.compile(r"(?i)(?:the|a|an|this|that|my|your|our|his|her|their|its)\b")
-#: Longest local part looked at before a disguised @ (the mail standards allow 64).
-LOCAL_LIMIT = 160
+# A number complete in itself and one word like "one" or "ein" after it: prose, not a further digit.
+_last_word = re.compile(rf"(?i)[\s,.()-]{{1,4}}(?:{_token})\Z")
 
 
 def _visible(text: str) -> tuple[str, list[int] | None]:
@@ -146,31 +150,48 @@ def _digits(run: str) -> tuple[str, list[tuple[int, int]], bool]:
     return "".join(out), spans, spelled
 
 
+def _local_start(view: str, end: int) -> int:
+    """Where the local part that ends at end starts; end if there is none. Walked backwards, so linear in its length."""
+    start = at = end
+    while True:
+        here = at
+        while at > 0 and view[at - 1] in _local_chars:
+            at -= 1
+        if at == here:  # nothing before the dot
+            return start
+        start = at
+        if not (dot := _dot_before.search(view, max(0, start - _dot_width), start)):
+            return start
+        at = dot.start()
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What only the normalised view shows, in source offsets, apart from spans inside a base span of the kind."""
     found: list[Span] = []
     view, kept = (text, None) if text.isascii() or not _odd.search(text) else _visible(text)
+    plain = base
     if view is not text:
-        found += base_spans(view)
-    if _spelled_hint.search(view):
+        found += (plain := base_spans(view))
+    if _number_hint.search(view) or _spelled_hint.search(view):
         for m in _spelled.finditer(view):
             run, spans, spelled = _digits(m[0])
-            if spelled:
-                found += [(m.start() + spans[a][0], k, m.start() + spans[b - 1][1]) for a, k, b in base_spans(run) if k]
+            if spelled or _disguised_dot.search(m[0]):
+                hits = [(m.start() + spans[a][0], k, m.start() + spans[b - 1][1]) for a, k, b in base_spans(run) if k]
+                found += [x for x in hits if not any(b[:2] == x[:2] and _last_word.fullmatch(view, b[2], x[2]) for b in plain)]
     for m in _at_hint.finditer(view):
         mark = m[0].strip()
         after = _after.match(view, m.end())
         if not after:
             continue
-        before = _before.search(view, max(0, m.start() - LOCAL_LIMIT), m.start())
-        if not before:
+        start = _local_start(view, m.start())
+        if start == m.start():
             continue
         dots = _any_dot.findall(after[0])
         if mark.isalpha() and (all(x == "." for x in dots) or _article.match(after[0])):
             continue  # "at example.com" and "at the dot" are prose, "at example dot com" is not
-        if mark == "@" and m[0] == "@" and all(x == "." for x in dots + _any_dot.findall(before[0])):
+        if mark == "@" and m[0] == "@" and all(x == "." for x in dots + _any_dot.findall(view, start, m.start())):
             continue  # nothing disguised
-        found.append((before.start(), 0, after.end()))
+        found.append((start, 0, after.end()))
     if kept is not None:
         found = [(kept[a], k, kept[b - 1] + 1) for a, k, b in found]
     new = {s for s in found if not any(b[1] == s[1] and b[0] <= s[0] and s[2] <= b[2] for b in base)}

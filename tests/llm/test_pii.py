@@ -51,6 +51,36 @@ def test_disguises_map_back():
         assert span in found, (text, found)
 
 
+def test_disguised_dots_and_last_digits_of_numbers():
+    for kind, text in (
+        ("ip", "192 dot 168 dot 10 dot 5"), ("ip", "192[.]168[.]10[.]5"), ("ip", "192(dot)168 [punkt] 10{.}5"), ("ip", "192 dot 168 dot 10 dot five"),
+        ("card", "4111 1111 1111 111 one"), ("ip", "one(dot)two(dot)three(dot)4"), ("email", "a" * 400 + ".b at example dot com"),
+    ):
+        whole = f"see {text}, then"
+        assert pii.joined(pii.added_spans(whole, pii.base_spans(whole))) == f"{kind}:4:{4 + len(text)}", text
+    for text in ("call +1 (621) 555-4974 ein Tag", "+1 (848) 555-1373 Un an", "1 dot 2 dot 3", "use a.b[.]c", "10 point 5 and 300 dot 1 dot 2 dot 3"):
+        assert pii.added_spans(text, pii.base_spans(text)) == [], text
+
+
+PIECES = ["one", "Five", "ein", "dot", "punkt", "plus", "at", "192", "10", "5", "4111", "1", " ", "  ", "[.]", "(dot)", " [ dot ] ", ".", "-", "+", "x", ", "]
+
+
+class Always:
+    search = staticmethod(lambda view: True)
+
+
+@given(st.lists(st.sampled_from(PIECES), max_size=24).map("".join))
+@settings(max_examples=1500, deadline=None)
+def test_hints_drop_nothing(text):
+    base = pii.base_spans(text)
+    got, hint = pii.added_spans(text, base), pii._number_hint
+    try:
+        pii._number_hint = Always
+        assert got == pii.added_spans(text, base)
+    finally:
+        pii._number_hint = hint
+
+
 def test_prose_is_left_alone():
     for text in ("meet us at example.com today", "one two three go", "look at the dot com", "plain@example.com", "ein 25.63.122.242 und", "at dot at dot"):
         assert pii.added_spans(text, pii.base_spans(text)) == []
