@@ -24,53 +24,85 @@ _letter = re.compile(r"[^\W\d_]")
 class LangParams:
     """sample_docs, sample_chars: training text of a language is the first sample_chars / sample_docs * 2
     characters of at most sample_docs documents spread by hash over the whole table, cut at
-    sample_chars in all. most_languages: further labels, the rarest, are not learned. alphabet:
-    distinct characters kept apart; all others are one. segment: texts are parsed in
-    segments of so many characters, each starting a phrase, for every language alike."""
+    sample_chars in all. segment: texts are parsed in segments of so many characters, each
+    starting a phrase, for every language alike."""
 
     sample_docs: int = 64
     sample_chars: int = 24_000
-    most_languages: int = 64
-    alphabet: int = 96
     segment: int = 1024
     rows: int = 2048
 
 
-def automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a code sequence: state x letter -> state, -1 where none.
+class Moves:
+    """Transitions of an automaton, state and letter to state, in space that follows their number.
+
+    The transitions of a state lie at its base plus the letter, in cells that hold their state, so that
+    the rows of all states interlock; codes are below letters.
+    """
+
+    def __init__(self, edges: list[dict[int, int]], letters: int):
+        total = sum(map(len, edges))
+        taken = bytearray(2 * letters + 2 * total)  # the first cells stay empty, so that no base is negative
+        self.base = np.zeros(len(edges), np.int32)
+        at = letters
+        for state in sorted((s for s, e in enumerate(edges) if len(e) > 1), key=lambda s: -len(edges[s])):
+            codes = sorted(edges[state])
+            slot, tries = taken.find(0, at), 0
+            while any(taken[slot - codes[0] + c] for c in codes):
+                slot, tries = taken.find(0, slot + 1), tries + 1
+            if tries > 32:  # crowded: what is left free here goes to states with one transition
+                at = slot
+            self.base[state] = slot - codes[0]
+            for c in codes:
+                taken[slot - codes[0] + c] = 1
+            if slot + 2 * letters + total > len(taken):
+                taken.extend(bytes(2 * letters + total))
+        single = [s for s, e in enumerate(edges) if len(e) == 1]
+        free = letters + np.flatnonzero(np.frombuffer(taken, np.uint8)[letters:] == 0)[: len(single)]
+        self.base[single] = free - np.array([next(iter(edges[s])) for s in single], np.int64)
+        state = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+        cell = self.base[state] + np.array([c for e in edges for c in e], np.int64)
+        size = letters + int(max(self.base, default=0)) + 1
+        self.owner, self.to = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+        self.owner[cell] = state
+        self.to[cell] = [x for e in edges for x in e.values()]
+
+    def __getitem__(self, at: tuple[int, int]) -> int:
+        state, c = at
+        cell = self.base[state] + c
+        return int(self.to[cell]) if self.owner[cell] == state else -1
+
+
+def automaton(codes: np.ndarray, letters: int) -> Moves:
+    """Transitions of the suffix automaton of a code sequence: state, letter -> state, -1 where none.
 
     State 0 is the start; every state is accepting for parsing, as any path spells a substring.
     """
-    size = 2 * max(1, len(codes))
-    moves = np.full((size, letters), -1, np.int32)
-    link, length = [-1] * size, [0] * size
-    last, used = 0, 1
+    moves: list[dict[int, int]] = [{}]
+    link, length = [-1], [0]
+    last = 0
     for c in codes.tolist():
-        new = used
-        used += 1
-        length[new] = length[last] + 1
+        new = len(moves)
+        moves.append({}), link.append(-1), length.append(length[last] + 1)
         p = last
-        while p != -1 and moves[p, c] < 0:
-            moves[p, c] = new
+        while p != -1 and c not in moves[p]:
+            moves[p][c] = new
             p = link[p]
         if p == -1:
             link[new] = 0
         else:
-            q = int(moves[p, c])
+            q = moves[p][c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                twin = used
-                used += 1
-                length[twin] = length[p] + 1
-                moves[twin] = moves[q]
-                link[twin] = link[q]
-                while p != -1 and moves[p, c] == q:
-                    moves[p, c] = twin
+                twin = len(moves)
+                moves.append(dict(moves[q])), link.append(link[q]), length.append(length[p] + 1)
+                while p != -1 and moves[p].get(c) == q:
+                    moves[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return moves[:used]
+    return Moves(moves, letters)
 
 
 class Model:
@@ -78,21 +110,19 @@ class Model:
 
     def __init__(self, samples: dict[str, str], p: LangParams):
         self.langs = sorted(samples)
-        seen: dict[str, int] = {}
-        for text in samples.values():
-            for c in text.lower():
-                seen[c] = seen.get(c, 0) + 1
-        chars = sorted(sorted(seen), key=lambda c: -seen[c])[: p.alphabet - 2]
-        points = np.array(sorted(map(ord, chars)), np.uint32)
+        points = np.array(sorted({ord(c) for text in samples.values() for c in text.lower()}), np.uint32)
         self.points, self.p = points, p
-        self.letters = len(points) + 2  # 0: beyond the text, 1: any other character
-        tables, starts, at = [], [], 0
+        letters = len(points) + 2  # 0: beyond the text, 1: a character of no sample
+        base, owner, to, starts, at, cells = [], [], [], [], 0, 0
         for lang in self.langs:
-            moves = automaton(self.codes(samples[lang]), self.letters)
+            m = automaton(self.codes(samples[lang]), letters)
             starts.append(at)
-            tables.append(np.where(moves >= 0, moves + at, -1).astype(np.int32))
-            at += len(moves)
-        self.moves = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
+            base.append(m.base + np.int32(cells))
+            owner.append(np.where(m.owner >= 0, m.owner + at, -1))
+            to.append(np.where(m.to >= 0, m.to + at, -1))
+            at, cells = at + len(m.base), cells + len(m.to)
+        flat = lambda parts: np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        self.base, self.owner, self.moves = flat(base), flat(owner), flat(to)
         self.starts = np.array(starts, np.int32)
         # a phrase costs about the logarithm of the text it is looked up in
         self.cost = np.array([np.log2(2 + len(samples[x])) for x in self.langs])
@@ -119,14 +149,15 @@ class Model:
             alive = len(rows) - np.searchsorted(lens[::-1], np.arange(lens[0]), "right")
             state = np.repeat(self.starts[:, None], len(rows), 1)
             count = np.zeros(state.shape, np.int32)
-            start = self.starts[:, None] * self.letters
             for t in range(lens[0]):
                 c = grid[t, : alive[t]]
-                now = self.moves[state[:, : alive[t]] * self.letters + c]
-                miss = now < 0
+                here = state[:, : alive[t]]
+                cell = self.base[here] + c
+                now, miss = self.moves[cell], self.owner[cell] != here
                 if miss.any():  # a phrase ends before c, or c is in no text and a phrase of its own
-                    fresh = np.maximum(self.moves[start + c], self.starts[:, None])
-                    open_ = state[:, : alive[t]] != self.starts[:, None]
+                    first = self.base[self.starts][:, None] + c
+                    fresh = np.where(self.owner[first] == self.starts[:, None], self.moves[first], self.starts[:, None])
+                    open_ = here != self.starts[:, None]
                     count[:, : alive[t]] += miss
                     count[:, : alive[t]] += miss & open_ & (fresh == self.starts[:, None])
                     now = np.where(miss, fresh, now)
@@ -174,16 +205,15 @@ def fit(docs: DataFrame, params: LangParams = LangParams()) -> Model:
     """
     p = params
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(p.most_languages).collect()
-    if not sizes:
-        return Model({}, p)
     h = F.xxhash64("doc_id")
     ids = (
-        labelled.filter(F.col("lang").isin([r["lang"] for r in sizes])).groupBy("lang", F.pmod(h, F.lit(p.sample_docs)).alias("b"))
+        labelled.groupBy("lang", F.pmod(h, F.lit(p.sample_docs)).alias("b"))
         .agg(F.min_by("doc_id", h).alias("_id")).select(F.col("lang").alias("_lang"), "_id")
     )
     share = max(1, 2 * p.sample_chars // p.sample_docs)
-    ids = ids.collect()  # at most most_languages * sample_docs
+    ids = ids.collect()  # at most sample_docs a label
+    if not ids:
+        return Model({}, p)
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "_lang string, _id long")
     texts = labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "doc_id", F.substring("text", 1, share).alias("t")).distinct()
     samples: dict[str, list[str]] = {}
@@ -198,7 +228,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Prediction reads the text alone. `und` and score 0 where the text is null or has no
     letter, or where nothing was learned. Whole texts are parsed, long ones segment by segment.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by most_languages, sample_chars and alphabet
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # follows the number of labels, at most about 3 * sample_chars transitions each
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

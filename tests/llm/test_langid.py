@@ -73,3 +73,20 @@ def test_labels_of_held_out_rows_are_not_read(spark):
     wrong = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, x) for i, t, lang, x in base]
     a, b = (langid.fit(spark.createDataFrame(r, SCHEMA)) for r in (base, wrong))
     assert a.langs == b.langs and np.array_equal(a.moves, b.moves)
+
+
+def test_large_scripts_are_kept_apart():
+    """Characters of every script are told apart, however many come before them in frequency."""
+    dice = random.Random(5)
+    script = lambda first, n: "".join(chr(first + dice.randrange(n)) for _ in range(3000))
+    samples = {"la": script(0xC0, 0x180), "ru": script(0x430, 32), "zh": script(0x4E00, 2000), "ja": script(0x5A00, 2000), "ko": script(0xAC00, 2000)}
+    m = langid.Model(samples, langid.LangParams())
+    got = m.predict([text[i : i + 60] for text in samples.values() for i in (0, 500, 2000)])[0]
+    assert got == [lang for lang in samples for _ in range(3)]
+    assert m.phrases([samples["ko"][:60]])[0, m.langs.index("zh")] == 60  # each a phrase of its own
+
+
+def test_every_label_is_learned(spark):
+    docs = [(i, f"{chr(0x4E00 + i % 90)}{chr(0x5000 + i % 90)} " * 5, f"l{i % 90:02}", "") for i in range(90 * 12)]
+    m = langid.fit(spark.createDataFrame(docs, SCHEMA))
+    assert len(m.langs) == 90 and m.predict([t for _, t, _, _ in docs[:90]])[0] == [x for _, _, x, _ in docs[:90]]
