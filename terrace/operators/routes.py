@@ -14,11 +14,19 @@ def routes_in_text(df: DataFrame, text: str) -> DataFrame:
     return hrefs.select(F.regexp_extract("h", "^[^?#]*", 0).alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def variants(pattern: str, most: int = 64) -> list[list[str]]:
-    """Segment lists of an endpoint: each optional segment present or absent, at most `most` variants."""
+def variants(pattern: str) -> list[list[str]]:
+    """Segment lists of an endpoint: each optional segment present or absent, every distinct list once.
+
+    Optional segments side by side are alike, so a run of m of them gives m + 1 lists, and an
+    endpoint the product over its runs.
+    """
     segments = [("{}?" if s.endswith("?}") else "{}") if "{" in s else s for s in pattern.lower().split("/") if s]
-    choices = [(("{}",), ()) if s == "{}?" else ((s,),) for s in segments]
-    return [[x for part in c for x in part] for c in itertools.islice(itertools.product(*choices), most)]
+    choices = []
+    for optional, run in itertools.groupby(segments, lambda s: s == "{}?"):
+        run = tuple(run)
+        choices.append([("{}",) * k for k in range(len(run), -1, -1)] if optional else [run])
+    lists = (tuple(x for part in c for x in part) for c in itertools.product(*choices))
+    return [list(x) for x in dict.fromkeys(lists)]
 
 
 def match(calls: DataFrame, endpoints: list[tuple[str, str, str]]) -> DataFrame:

@@ -91,6 +91,15 @@ def test_routes(spark):
     assert routes.variants("/a/{b?}/C") == [["a", "{}", "c"], ["a", "c"]]
 
 
+def test_no_form_of_an_endpoint_is_lost(spark):
+    assert routes.variants("/x" + "/{o?}" * 8) == [["x"] + ["{}"] * k for k in range(8, -1, -1)]
+    apart = "".join(f"/s{i}/{{o{i}?}}" for i in range(7))
+    assert len(routes.variants(apart)) == 128
+    calls = spark.createDataFrame([(1, "GET", ["x"]), (2, "GET", [f"s{i}" for i in range(7)])], "call_id int, verb string, segs array<string>")
+    got = {(r["call_id"], r["endpoint"]) for r in routes.match(calls, [("run", "GET", "/x" + "/{o?}" * 8), ("apart", "GET", apart)]).collect()}
+    assert got == {(1, "run"), (2, "apart")}
+
+
 def test_fulltext_queries(spark):
     df = spark.createDataFrame([(1, "the quick fox"), (2, "Quick the brown"), (3, None)], "id int, t string")
     p = fulltext.postings(df, "id", "t")
