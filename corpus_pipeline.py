@@ -40,10 +40,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; ids are unique here but for null ones, equal ones of which share their copies evenly."""
+    """Each document as often as the mix takes it; ids are unique here but for null ones, whose equal texts are told apart by rank within their source."""
     keyed = docs.withColumn("_key", F.xxhash64("text"))
-    copies = mixing.mix(keyed, "_key").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.floor(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0")
-    taken = keyed.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")))
+    mixed = mixing.mix(keyed, "_key")
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.floor(F.avg("copies")).cast("int").alias("_copies")).filter("_copies > 0 AND _id IS NOT NULL")
+    taken = keyed.join(copies, (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_k"))).select(*docs.columns, "_copies")
+    unnamed = keyed.filter("doc_id IS NULL")
+    if not unnamed.isEmpty():
+        equal = Window.partitionBy("source", "_key")
+        rows = unnamed.withColumn("_rank", F.row_number().over(equal.orderBy("lang", "n_chars")))
+        ranked = mixed.filter("doc_id IS NULL").withColumn("_r", F.row_number().over(equal.orderBy(F.desc("copies"))))
+        given = ranked.select(F.col("source").alias("_s"), F.col("_key").alias("_k"), "_r", F.col("copies").cast("int").alias("_copies")).filter("_copies > 0")
+        same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("_key") == F.col("_k")) & (F.col("_rank") == F.col("_r"))
+        taken = taken.unionByName(rows.join(given, same).select(*docs.columns, "_copies"))
     return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), "_copies"))).select(docs.columns)
 
 

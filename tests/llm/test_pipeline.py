@@ -10,7 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 import corpus_pipeline as cp  # noqa: E402
-from terrace.llm import quality  # noqa: E402
+from terrace.llm import mixing, quality  # noqa: E402
 from test_line_dedup import brute as brute_lines  # noqa: E402
 from test_ngram_join import brute as brute_join  # noqa: E402
 
@@ -75,6 +75,16 @@ def test_mix_stage(stages):
     assert abs(taken - total) < 0.02 * total
 
 
+def test_null_ids_get_all_copies_of_the_mix(spark):
+    same = [(None, "one two three four five", "en", source, 23) for source in ("a", "b", "c", None) for _ in range(5)]
+    docs = spark.createDataFrame(same + [(i, f"w{i} x", "en", "a", 4) for i in range(40)] + [(None, None, "en", "a", 0)], SCHEMA).coalesce(1)
+    plan = Counter()
+    for r in mixing.mix(docs, "text").collect():
+        plan[r["doc_id"], r["source"], r["text"]] += r["copies"]
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in cp.mix_sources(spark, docs, "").collect())
+    assert got == +plan and any(0 < plan[None, s, same[0][1]] % 5 for s in ("a", "b", "c", None))
+
+
 def test_packing_stage(stages):
     _, before, after = stages[4]
     assert Counter(r["doc_id"] for r in before.collect()) == Counter(r["doc_id"] for r in after.filter("piece = 0").collect())
