@@ -45,9 +45,33 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Scratch:
+    """Tables written by stored() that are deleted together when the block ends.
+
+    What leaves the block must not read them any more: cut() it, or store it outside.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._folder = spark, f"{_shared_dir(spark)}/terrace-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="terrace-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 
