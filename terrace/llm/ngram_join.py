@@ -1,54 +1,60 @@
 """Exact Jaccard self-join on word shingles by PartEnum signatures.
 
-A set of size n belongs to the band of sizes that share a number of partitions N(n) of the
-shingle domain. Two sets with Jaccard similarity >= 3/4 differ in at most
-k = floor((n + m) / 7) shingles, so at least N - k of the N partitions hold equal subsets.
-Each set gives one signature per partition that holds any of its shingles, for its own band
-and for the next band where a larger partner may lie there. With `full` such partitions in the
-larger set, a linked pair shares at least full - k > 0 signatures. Bands are so narrow that
-N >= n, which keeps full - k large; chosen subsets of partitions are single partitions.
-
-That surplus also makes hot signatures harmless. A signature that many sets share is put
-aside; a set that has fewer of those than its surplus still meets each partner in an
-ordinary signature. Only sets made mostly of hot signatures (large families of edited copies) go
-through the hot groups. There each member is laid over one leader, and what two members have
-in common follows from the leader's shingles that both keep and their few common others; no text
-meets every other.
+A set of size n lies in the band of sizes up to a power of two. Two sets with Jaccard similarity
+>= 3/4 and sizes n, m differ in at most K = floor((n + m) / 7) shingles. The shingle domain of a
+band is partitioned twice: into first-level partitions, and each of these into three parts. In
+every partition the subsets of two of its three parts are enumerated, and what the set holds in a
+subset is one signature. A difference lies in one part and so in two of three subsets: it changes
+at most two signatures of its partition, a second one there at most one more. Of t signatures a
+linked pair therefore shares at least t - min(2 K, partitions + K). A set gives the signatures of
+its own band, and those of the next band where a larger partner may lie there.
+
+Signatures that more than a few sets share are hot: they are counted, not paired. A set with
+h hot ones still meets each partner in an ordinary one while t - h exceeds what K differences can
+change, and so does the partner if only its own count does. Pairs that may be missed are those
+between two sets that both fall short, in the main families of edited copies and texts made of
+common passages. These sets, and no others, are joined among each other by their rarest quarter of
+shingles; where even these are common, all that share one meet in blocks of bounded size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.operators.components import connected_components
-from terrace.session import cut, shuffle_partitions, stored
+from terrace.session import Scratch, cut, shuffle_partitions
 
 #: Odd multipliers of the rolling and the finishing hash.
 _BASE = 0x9E3779B97F4A7C15
+_BAND_ENDS = 1 << np.arange(2, 62)  # largest sizes of the bands from band 2 on
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 @dataclass(frozen=True)
 class JoinParams:
-    """words: shingle length. tiny: sets up to this size give one signature a shingle. least_bits:
-    log2 of the fewest partitions. hot: larger signature groups are hot. bucket_signatures:
-    signatures a bucket, about. batch_signatures: signatures gathered before they are dealt.
-    broadcast_ids: longest list of ids that is shipped instead of joined by a shuffle."""
+    """words: shingle length. surplus: first-level partitions, as a multiple of the least number that
+    keeps one signature unchanged. hot: larger signature groups are hot. bucket_signatures: signatures
+    a bucket, about. batch_signatures: signatures gathered before they are dealt. broadcast_ids: longest
+    list of ids that is shipped instead of joined by a shuffle. block_sets, block_shingles: most sets
+    and shingles, about, that one task compares with each other at once."""
 
     words: int = 5
-    tiny: int = 12
-    least_bits: int = 9
+    surplus: float = 1.5
     hot: int = 12
     bucket_signatures: int = 400_000
     batch_signatures: int = 600_000
     broadcast_ids: int = 1_000_000
+    block_sets: int = 1024
+    block_shingles: int = 1_500_000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -70,28 +76,41 @@ def shingles(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def bits(n: int, p: JoinParams) -> int:
-    """log2 of the partitions of a set of size n; 0 stands for a signature per shingle."""
-    return 0 if n <= p.tiny else max(p.least_bits, (n - 1).bit_length())
+def band(n: int) -> int:
+    """The band of a size: log2 of the largest size in it."""
+    return max(2, (n - 1).bit_length())
 
 
-def levels(n: int, p: JoinParams) -> tuple[int, ...]:
+def bands(n: int) -> tuple[int, ...]:
     """Bands in which a set of size n meets partners at least as large."""
-    return tuple(dict.fromkeys((bits(n, p), bits(4 * n // 3, p))))
+    return tuple(dict.fromkeys((band(n), band(4 * n // 3))))
 
 
-def signatures(s: np.ndarray, level: int) -> np.ndarray:
-    """One signature for each partition that holds a shingle of the set."""
-    salt = np.uint64(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)
-    if level == 0:
-        return _mix(s ^ salt ^ np.uint64(0x1F123BB5))
-    part = s >> np.uint64(64 - level)
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    return _mix(np.add.reduceat(_mix(s ^ salt), starts) + part[starts] * np.uint64(_BASE))
+def partitions_of(level: int, p: JoinParams) -> int:
+    """First-level partitions of a band: K = 2 * largest / 7 differences leave some with at most one."""
+    return math.ceil(p.surplus * ((1 << level) // 7 + 1))
 
 
-def filled(s: np.ndarray, level: int) -> int:
-    return len(s) if level == 0 else int(len(np.unique(s >> np.uint64(64 - level))))
+@cache
+def _edges(parts: int) -> np.ndarray:
+    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+
+
+def signatures(s: np.ndarray, level: int, p: JoinParams = JoinParams()) -> np.ndarray:
+    """One signature for each two of three parts of a partition that hold any shingle; the last bit is the band's."""
+    parts = 3 * partitions_of(level, p)
+    at = np.r_[0, np.searchsorted(s, _edges(parts)), len(s)]
+    held = np.diff(at).reshape(-1, 3)
+    sums = np.diff(np.r_[np.uint64(0), np.cumsum(_mix(s ^ np.uint64(level * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)))][at]).reshape(-1, 3)
+    place = np.arange(1, parts + 1, dtype=np.uint64).reshape(-1, 3) * np.uint64(_BASE)
+    subsets = _mix(sums[:, [0, 0, 1]] + sums[:, [1, 2, 2]] + place)
+    found = subsets[held[:, [0, 0, 1]] + held[:, [1, 2, 2]] > 0]
+    return (found & ~np.uint64(1)) | np.uint64(level & 1)
+
+
+def changed(differences: int, parts: int) -> int:
+    """Most signatures that so many differing shingles change."""
+    return min(2 * differences, parts + differences)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -99,20 +118,31 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def profiles(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """doc_id, n, s1, s2, filled: size and 128-bit hash of each row's set, partitions filled in its own band."""
+    """doc_id, n, s1, s2, spare0, spare1: size and 128-bit hash of each row's set, and for its two bands
+    the signatures that are left when its farthest partner there has changed all it can.
+
+    spare0 belongs to the band with even number, spare1 to the odd one; a band without signatures has null.
+    """
+
+    def spare(s: np.ndarray, level: int) -> int:
+        n = len(s)
+        return len(signatures(s, level, p)) - changed((n + min(1 << level, 4 * n // 3)) // 7, partitions_of(level, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, full, marks = [], [], []
+            n, marks, left = [], [], ([], [])
             for text in batch.column(1):
                 s = shingles(text.as_py(), p.words)
                 n.append(len(s))
-                full.append(filled(s, bits(len(s), p)) if len(s) else 0)
                 marks.append(xxhash.xxh3_128_digest(s.tobytes()))
+                have = {level & 1: spare(s, level) for level in bands(len(s))} if len(s) else {}
+                for side in (0, 1):
+                    left[side].append(have.get(side))
             both = np.frombuffer(b"".join(marks), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(full, pa.int64())], names=["doc_id", "n", "s1", "s2", "filled"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(left[0], pa.int64()), pa.array(left[1], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "s1", "s2", "spare0", "spare1"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, filled long")
+    return _rows(docs).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, spare0 long, spare1 long")
 
 
 def _pack(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, sig: np.ndarray) -> bytes:
@@ -130,51 +160,56 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 _MEET = "kind int, a long, b long, n long"
+_MEET_NAMES = ["kind", "a", "b", "n"]
+
+
+def _heat(doc: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+    """kind 1 rows: n hot signatures of document a in its band with parity b."""
+    both, n = np.unique(np.stack([doc, (sig & np.uint64(1)).astype(np.int64)], 1), axis=0, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(n)], names=_MEET_NAMES)
 
 
 def _dealt(docs: DataFrame, buckets: int, p: JoinParams) -> DataFrame:
-    """bucket, blob: the signatures of many documents, by bucket; or hot members (blob null, sig, docs).
+    """bucket, blob: the signatures of many documents, by bucket; or kind 1 rows as in _met (blob null).
 
     What is hot within a batch already is cut to hot + 1 members in the blob, which keeps it hot
-    where the bucket is gathered, and the rest goes on as rows: a signature that a third of all
+    where the bucket is gathered, and the rest is counted here: a signature that a third of all
     sets share never piles up in one bucket.
     """
     parts_of = np.uint64(buckets)
+    names = ["bucket", "blob", *_MEET_NAMES]
 
-    def flush(ids: list[int], sets: list[np.ndarray], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(ids: list[int], sets: list[int], sigs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(np.array(ids, np.int64), kind="stable")
         idv = np.array(ids, np.int64)[order]
-        size = np.array([len(sets[i]) for i in order], np.int64)
+        size = np.array([sets[i] for i in order], np.int64)
         sig = np.concatenate([sigs[i] for i in order])
         doc = np.repeat(np.arange(len(order)), [len(sigs[i]) for i in order])
-        by = np.argsort(sig, kind="stable")
-        run_at = np.flatnonzero(np.r_[True, sig[by][1:] != sig[by][:-1]])
-        rank = np.arange(len(by)) - np.repeat(run_at, np.diff(np.r_[run_at, len(by)]))
-        spare = by[rank > p.hot]
         low = sig & np.uint64(0xFFFFFFFF)
         bucket = ((sig >> np.uint64(32)) % parts_of).astype(np.int64)
-        names = ["bucket", "blob", "sig", "docs"]
-        if len(spare):  # in signature order already
-            full = (bucket[spare] << 32) | low[spare].astype(np.int64)
-            at = np.flatnonzero(np.r_[True, full[1:] != full[:-1]])
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[at, len(full)], pa.int32()), pa.array(idv[doc[spare]]))
-            yield pa.RecordBatch.from_arrays([pa.array(full[at] % int(parts_of)), pa.nulls(len(at), pa.binary()), pa.array(full[at]), lists], names=names)
-        stay = np.ones(len(sig), bool)
-        stay[spare] = False
-        sig, doc, low, bucket = sig[stay], doc[stay], low[stay], bucket[stay]
-        by = np.argsort(bucket, kind="stable")
+        key = (bucket.astype(np.uint64) << np.uint64(32)) | low
+        by = np.argsort(key, kind="stable")
+        run_at = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        rank = np.arange(len(by)) - np.repeat(run_at, np.diff(np.r_[run_at, len(by)]))
+        more = by[rank > p.hot]
+        if len(more):
+            heat = _heat(idv[doc[more]], sig[more])
+            spread = pa.array(heat.column(1).to_numpy() % int(parts_of))
+            yield pa.RecordBatch.from_arrays([spread, pa.nulls(heat.num_rows, pa.binary()), *heat.columns], names=names)
+        by = by[rank <= p.hot]
+        by = by[np.lexsort((doc[by], bucket[by]))]
         bucket, doc, low = bucket[by], doc[by], low[by]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         blobs = []
         for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
             have, counts = np.unique(doc[a:b], return_counts=True)
             blobs.append(_pack(idv[have], size[have], counts, low[a:b]))
-        none = [pa.nulls(len(blobs), pa.int64()), pa.nulls(len(blobs), pa.list_(pa.int64()))]
+        none = [pa.nulls(len(blobs), pa.int32()), *[pa.nulls(len(blobs), pa.int64())] * 3]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(blobs, pa.binary()), *none], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
-        sets: list[np.ndarray] = []
+        sizes: list[int] = []
         sigs: list[np.ndarray] = []
         held = 0
         for batch in batches:
@@ -182,22 +217,22 @@ def _dealt(docs: DataFrame, buckets: int, p: JoinParams) -> DataFrame:
                 s = shingles(text.as_py(), p.words)
                 if not len(s):
                     continue
-                ids.append(doc_id.as_py()), sets.append(s)
-                sigs.append(np.concatenate([signatures(s, level) for level in levels(len(s), p)]))
+                ids.append(doc_id.as_py()), sizes.append(len(s))
+                sigs.append(np.concatenate([signatures(s, level, p) for level in bands(len(s))]))
                 held += len(sigs[-1])
                 if held >= p.batch_signatures:
-                    yield from flush(ids, sets, sigs)
-                    ids, sets, sigs, held = [], [], [], 0
+                    yield from flush(ids, sizes, sigs)
+                    ids, sizes, sigs, held = [], [], [], 0
         if ids:
-            yield from flush(ids, sets, sigs)
+            yield from flush(ids, sizes, sigs)
 
-    return docs.mapInArrow(run, "bucket long, blob binary, sig long, docs array<long>")
+    return docs.mapInArrow(run, f"bucket long, blob binary, {_MEET}")
 
 
 def _met(dealt: DataFrame, partitions: int, p: JoinParams) -> DataFrame:
-    """kind 0: documents a < b with compatible sizes in n common ordinary signatures; kind 1: document b in hot group a."""
+    """kind 0: documents a < b with compatible sizes in n common ordinary signatures; kind 1: n hot signatures of document a in its band with parity b."""
 
-    def groups(blobs: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:
+    def groups(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(x) for x in blobs]
         doc, size, sig = (np.concatenate([x[i] for x in parts]) for i in range(3))
         by = np.lexsort((doc, size, sig))
@@ -206,44 +241,40 @@ def _met(dealt: DataFrame, partitions: int, p: JoinParams) -> DataFrame:
         count = np.diff(np.r_[at, len(sig)])
         each = np.repeat(count, count)
         hot = each > p.hot
-        names = ["kind", "a", "b", "n"]
         if hot.any():
-            k = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.array(sig[hot].astype(np.int64) | (bucket << 32)), pa.array(doc[hot]), pa.array(each[hot])], names=names)
+            yield _heat(doc[hot], sig[hot])
         keep = (each > 1) & ~hot
         doc, size, sig = doc[keep], size[keep], sig[keep]
+        own = np.searchsorted(_BAND_ENDS, size) + 2 & 1 == (sig & np.uint64(1)).astype(np.int64)  # in the band of the larger
         pairs = []
         for step in range(1, p.hot):  # members of one small group lie side by side, sizes ascending
             if len(doc) <= step:
                 break
-            i = np.flatnonzero((sig[step:] == sig[:-step]) & (4 * size[:-step] >= 3 * size[step:]) & (doc[step:] != doc[:-step]))
+            i = np.flatnonzero((sig[step:] == sig[:-step]) & own[step:] & (4 * size[:-step] >= 3 * size[step:]) & (doc[step:] != doc[:-step]))
             x, y = doc[i], doc[i + step]
             pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
         if pairs and sum(map(len, pairs)):
             every = np.concatenate(pairs)
             every = every[np.lexsort((every[:, 1], every[:, 0]))]
             new = np.flatnonzero(np.r_[True, (every[1:] != every[:-1]).any(1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int32)), pa.array(every[new, 0]), pa.array(every[new, 1]), pa.array(np.diff(np.r_[new, len(every)]))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(new), np.int32)), pa.array(every[new, 0]), pa.array(every[new, 1]), pa.array(np.diff(np.r_[new, len(every)]))], names=_MEET_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = -1, []
         for batch in batches:
-            side = batch.filter(batch.column(1).is_null())
-            if side.num_rows:
-                docs = side.column(3)
-                each = np.asarray(docs.value_lengths())
-                doc, sig = docs.flatten(), np.repeat(side.column(2).to_numpy(), each)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(doc), np.int32)), pa.array(sig), doc, pa.array(np.full(len(doc), p.hot + 1))], names=["kind", "a", "b", "n"])
+            counted = batch.filter(batch.column(1).is_null())
+            if counted.num_rows:
+                yield counted.select(_MEET_NAMES)
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not blob.is_valid:
                     continue
                 if bucket != now and blobs:
-                    yield from groups(blobs, now)
+                    yield from groups(blobs)
                     blobs = []
                 now = bucket
                 blobs.append(blob.as_py())
         if blobs:
-            yield from groups(blobs, now)
+            yield from groups(blobs)
 
     return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _MEET)
 
@@ -259,16 +290,16 @@ def _only(docs: DataFrame, ids: DataFrame, how: str, p: JoinParams) -> DataFrame
     return docs.join(_short(ids, p), F.col("doc_id") == F.col("_id"), how)
 
 
-def _texts(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
+def _texts(pairs: DataFrame, docs: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
     """a, b, ta, tb: the pairs once each, with both texts."""
-    pairs = stored(pairs.select("a", "b").distinct())
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    pairs = scratch.stored(pairs.select("a", "b").distinct())
+    ids = scratch.stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     texts = _only(_rows(docs), ids, "left_semi", p)
     joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return joined.select("a", "b", "ta", "tb")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
     """a, b, common, n_union: exact set overlap of each pair of documents, whole texts compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,131 +315,119 @@ def verify(pairs: DataFrame, docs: DataFrame, p: JoinParams = JoinParams()) -> D
                 union.append(len(last[2]) + len(y) - common[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "n_union"])
 
-    return _texts(pairs, docs, p).mapInArrow(run, "a long, b long, common long, n_union long")
+    return _texts(pairs, docs, p, scratch).mapInArrow(run, "a long, b long, common long, n_union long")
 
 
 _LINKED = "100 * common >= 75 * n_union"
 
 
-def _against(pairs: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
-    """lead, doc, n, ln, common, mask, extra: each document laid over its leader.
-
-    mask has a bit per shingle of the leader that the document shares; extra are the hashes of
-    its other shingles. Both are null below a similarity of 1/4.
-    """
+def _sets(docs: DataFrame, p: JoinParams) -> DataFrame:
+    """doc, n, s: each document's shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, np.ndarray] | None = None
         for batch in batches:
-            n, ln, common, masks, extras = [], [], [], [], []
-            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last is None or last[0] != a:
-                    last = (a, shingles(ta.as_py(), p.words))
-                x, y = last[1], shingles(tb.as_py(), p.words)
-                shared = np.isin(x, y, assume_unique=True)
-                k = int(shared.sum())
-                close = 4 * k >= len(x) + len(y) - k
-                n.append(len(y)), ln.append(len(x)), common.append(k)
-                masks.append(np.packbits(shared).tobytes() if close else None)
-                extras.append(np.setdiff1d(y, x, assume_unique=True).astype("<i8").tolist() if close else None)
-            numbers = [pa.array(v, pa.int64()) for v in (n, ln, common)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(masks, pa.binary()), pa.array(extras, pa.list_(pa.int64()))], names=["lead", "doc", "n", "ln", "common", "mask", "extra"])
+            if not batch.num_rows:
+                continue
+            found = [shingles(text.as_py(), p.words).view(np.int64) for text in batch.column(1)]
+            at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), lists], names=["doc", "n", "s"])
+
+    return _rows(docs).mapInArrow(run, "doc long, n long, s array<long>")
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """The least position that links lead to, for each of the sets in one block."""
+    count = len(sets)
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(count), n)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = times[column] > 1
+    owner, column = owner[keep], (np.cumsum(times > 1) - 1)[column[keep]]
+    by = np.argsort(column, kind="stable")
+    owner, column = owner[by], column[by]
+    common = np.zeros((count, count), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        lo, hi = np.searchsorted(column, (c, c + 2048))
+        part = np.zeros((count, 2048), np.float32)
+        part[owner[lo:hi], column[lo:hi] - c] = 1
+        common += part @ part.T
+    links = 175 * common.astype(np.int64) >= 75 * (n[:, None] + n[None, :])
+    np.fill_diagonal(links, True)
+    label = np.arange(count)
+    while True:
+        new = np.minimum(label, np.where(links, label[None, :], count).min(1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    return _texts(pairs, docs, p).mapInArrow(run, "lead long, doc long, n long, ln long, common long, mask binary, extra array<long>")
 
+def _meet(pdf):
+    """lead, doc, root: the documents of one block and the least one each is linked to, the leader before all others."""
+    import pandas as pd
 
-_FAMILY_BLOCK = 512
+    pdf = pdf.drop_duplicates("doc")
+    lead = int(pdf["lead"].iloc[0])
+    pdf = pdf.iloc[np.lexsort((pdf["doc"], pdf["doc"] != lead))]
+    doc = pdf["doc"].to_numpy()
+    return pd.DataFrame({"lead": lead, "doc": doc, "root": doc[linked([np.asarray(s) for s in pdf["s"]])]})
 
 
-def _within(family: DataFrame) -> DataFrame:
-    """a, b: links among the documents laid over one leader, a forest of them per pair of blocks.
+def _families(faces: DataFrame, sets: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
+    """a, b: a forest of the links within families; faces: lead, doc, each document with all leaders of its families.
 
-    What two of them have in common are the bits that both masks hold and the extras that both
-    have; extras that only one document of the family has do not matter and stay behind.
-    Documents that cannot reach 3/4 with anyone by these numbers are left out, the rest
-    meet in blocks of bounded size.
+    A family is dealt to blocks, each with its leader, and a block settles its links. Between blocks
+    only documents that are not linked to the leader yet have news: they meet the whole family.
     """
-    held = family.select("lead", "doc", F.explode("extra").alias("h")).withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("lead", "h")))
-    shared = held.filter("k > 1").groupBy("lead", "doc").agg(F.collect_list("h").alias("x"))  # at most the document's own shingles
-    rows = family.drop("extra").join(shared, ["lead", "doc"], "left").filter("4 * (common + coalesce(size(x), 0)) >= 3 * n")
-    many = rows.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / _FAMILY_BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(many, "lead").withColumn("at", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("at", o).alias("i"), F.greatest("at", o).alias("j")))
-    dealt = rows.withColumn("b", F.explode(meet)).select("lead", "b.i", "b.j", "doc", "n", "mask", "x")
-
-    def meeting(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("doc")
-        n, doc = pdf["n"].to_numpy(), pdf["doc"].to_numpy()
-        common = np.zeros((len(doc), len(doc)), np.float32)
-
-        def add(rows: np.ndarray, columns: np.ndarray) -> None:
-            by = np.argsort(columns, kind="stable")
-            rows, columns = rows[by], columns[by]
-            for c in range(0, int(columns[-1]) + 1 if len(columns) else 0, 2048):
-                lo, hi = np.searchsorted(columns, (c, c + 2048))
-                part = np.zeros((len(doc), 2048), np.float32)
-                part[rows[lo:hi], columns[lo:hi] - c] = 1
-                common[:] += part @ part.T
-
-        add(*np.nonzero(np.unpackbits(np.stack([np.frombuffer(m, np.uint8) for m in pdf["mask"]]), axis=1)))
-        lists = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in pdf["x"]]
-        owner = np.repeat(np.arange(len(doc)), [len(x) for x in lists])
-        if len(owner):
-            add(owner, np.unique(np.concatenate(lists), return_inverse=True)[1])
-        linked = 175 * common >= 75 * (n[:, None] + n[None, :])
-        label = np.arange(len(doc))
-        while True:
-            new = np.minimum(label, np.where(linked, label[None, :], len(doc)).min(1))
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        forest = np.flatnonzero(label != np.arange(len(doc)))
-        return pd.DataFrame({"a": doc[label[forest]], "b": doc[forest]})
-
-    return dealt.groupBy("lead", "i", "j").applyInPandas(meeting, "a long, b long")
-
 
-def _hot_links(members: DataFrame, links: DataFrame, docs: DataFrame, few: int, p: JoinParams) -> DataFrame:
-    """Links found in hot groups; members: g, doc, n, loss, rare (whether the set counts on this group).
-
-    Per round each group's leader is the set that counts on it and shares the largest part
-    of itself, as the original of a family of edited copies does. All members it can compare
-    with are laid over it, and those at distance <= 3/4 settle all their links among each other
-    there. A member at distance <= 1/2 can link to no other, so only members beyond 1/2 stay.
-    Groups end when no set that counts on them is left, or once at most `few` pairs are left in
-    all groups together.
+    def blocks(rows: DataFrame, by: str, as_: str) -> DataFrame:
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / p.block_sets), F.ceil(F.sum("n") / p.block_shingles))
+        return rows.groupBy(F.col(by).alias("_lead")).agg(many.cast("int").alias(as_))
+
+    def block(many: str) -> Column:
+        return F.pmod(F.xxhash64("doc"), F.col(many)).cast("int")
+
+    members = faces.filter("doc <> lead").join(sets, "doc")
+    families = scratch.stored(blocks(faces.filter("doc <> lead").join(sets.select("doc", "n"), "doc"), "lead", "wide"))
+    wide = members.join(families, F.col("lead") == F.col("_lead")).withColumn("i", block("wide"))
+    heads = families.join(sets, F.col("_lead") == F.col("doc")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    first = wide.select("lead", "i", "doc", "s").unionByName(heads.select(F.col("doc").alias("lead"), "i", "doc", "s"))
+    roots = scratch.stored(first.groupBy("lead", "i").applyInPandas(_meet, "lead long, doc long, root long"))
+    links = roots.filter("doc <> root").select(F.col("root").alias("a"), F.col("doc").alias("b"))
+    large = families.filter("wide > 1")
+    if large.isEmpty():
+        return links
+    apart = roots.filter("root <> lead").select("lead", "doc").join(large, F.col("lead") == F.col("_lead"), "left_semi").join(sets, "doc")
+    both = scratch.stored(blocks(apart, "lead", "tall").join(large, "_lead"))
+    over = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    tall = apart.join(both, F.col("lead") == F.col("_lead")).withColumn("i", block("tall")).withColumn("j", over("wide"))
+    across = members.join(both, F.col("lead") == F.col("_lead")).withColumn("j", block("wide")).withColumn("i", over("tall"))
+    rest = tall.select("lead", "i", "j", "doc", "s").unionByName(across.select("lead", "i", "j", "doc", "s"))
+    more = rest.groupBy("lead", "i", "j").applyInPandas(_meet, "lead long, doc long, root long").filter("doc <> root")
+    return links.unionByName(more.select(F.col("root").alias("a"), F.col("doc").alias("b")))
+
+
+def _rarest(docs: DataFrame, p: JoinParams, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs a, b, and exact links a, b, among documents that ordinary signatures do not cover.
+
+    Linked sets share one of the rarest floor(n / 4) + 1 shingles of each. Shingles of one document only
+    come first in that order and meet nothing. A shingle that few documents have there gives pairs;
+    the others lead all their documents to the one with the largest shared part of itself.
     """
-    while True:
-        size = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.count_if("rare").alias("r")).agg(F.sum(F.col("m") * F.col("r"))).first()[0] or 0
-        if size <= few:  # no more pairs than a few per document are left: compare them as they are
-            other = members.select(F.col("g").alias("_g"), F.col("doc").alias("_d"), F.col("n").alias("_n"))
-            met = members.filter("rare").join(other, (F.col("g") == F.col("_g")) & (F.col("doc") != F.col("_d"))).filter("4 * least(n, _n) >= 3 * greatest(n, _n)")
-            rest = verify(met.select(F.least("doc", "_d").alias("a"), F.greatest("doc", "_d").alias("b")), docs, p)
-            return links.unionByName(rest.filter(_LINKED).select("a", "b"))
-        lead = members.filter("rare").groupBy(F.col("g").alias("_g")).agg(F.min(F.struct("loss", "doc", "n")).alias("_l")).select("_g", F.col("_l.doc").alias("lead"), F.col("_l.n").alias("ln"))
-        faced = stored(members.join(lead, F.col("g") == F.col("_g")).drop("_g").withColumn("fits", 4 * F.least("n", "ln") >= F.greatest("n", "ln")))
-        laid = stored(_against(faced.filter("fits").select(F.col("lead").alias("a"), F.col("doc").alias("b")), docs, p))
-        links = stored(links.unionByName(_within(laid.filter("mask IS NOT NULL"))).distinct())
-        settled = laid.filter("2 * common >= n + ln - common").select(F.col("lead").alias("_a"), F.col("doc").alias("_b"))
-        away = (F.col("lead") == F.col("_a")) & (F.col("doc") == F.col("_b"))
-        others = faced.filter("doc <> lead")
-        # the few that count on their group first: most groups end here
-        live = stored(others.filter("rare").join(settled, away, "left_anti").select(F.col("g").alias("_g")).distinct())
-        rest = others.join(live, F.col("g") == F.col("_g"), "left_semi").join(settled, away, "left_anti")
-        members = _once(rest.select("g", "doc", "n", "loss", "rare"))
-
-
-def _once(members: DataFrame) -> DataFrame:
-    """Groups with the same members as one: a family of copies shares hundreds of signatures."""
-    mark = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("doc").cast("decimal(38,0)")), F.sum(F.xxhash64("doc", F.lit(1)).cast("decimal(38,0)")))
-    groups = members.groupBy("g").agg(mark.alias("_mark"))
-    reps = groups.groupBy("_mark").agg(F.min("g").alias("_rep"))
-    same = groups.join(reps, "_mark").select(F.col("g").alias("_g"), "_rep")
-    one = members.join(same, F.col("g") == F.col("_g"))
-    return stored(one.groupBy(F.col("_rep").alias("g"), "doc", "n", "loss").agg(F.max("rare").alias("rare")))
+    sets = scratch.stored(_sets(docs, p))
+    held = sets.select("doc", "n", F.explode("s").alias("h"))
+    shared = held.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    own = Window.partitionBy("doc")
+    ranked = held.join(shared, F.col("h") == F.col("_h")).withColumn("alone", F.col("n") - F.count(F.lit(1)).over(own)).withColumn("r", F.row_number().over(own.orderBy("f", "h")))
+    rare = scratch.stored(ranked.filter("alone + r <= floor(n / 4) + 1").select("doc", "n", "h", (F.col("alone") / F.col("n")).alias("loss")))
+    best = F.min(F.struct("loss", "doc")).getField("doc").alias("lead")
+    groups = scratch.stored(rare.groupBy(F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("m"), best).filter("m > 1"))
+    few = rare.join(groups.filter(F.col("m") <= p.hot), F.col("h") == F.col("_h"), "left_semi")
+    other = few.select(F.col("h").alias("_h"), F.col("doc").alias("_d"), F.col("n").alias("_n"))
+    pairs = few.join(other, (F.col("h") == F.col("_h")) & (F.col("doc") < F.col("_d")) & (4 * F.least("n", "_n") >= 3 * F.greatest("n", "_n"))).select(F.col("doc").alias("a"), F.col("_d").alias("b"))
+    faces = rare.join(groups.filter(F.col("m") > p.hot), F.col("h") == F.col("_h")).select("lead", "doc").distinct()
+    return pairs, _families(scratch.stored(faces), sets, p, scratch)
 
 
 def components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
@@ -422,44 +441,32 @@ def components(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """
     p = params
     docs = _rows(docs)
-    prof = cut(profiles(docs, p))
-    sets = prof.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("filled").alias("filled")))
-    others = sets.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).filter("doc_id <> rep").select("doc_id")
-    alone = _only(docs.filter("doc_id IS NOT NULL"), cut(others), "left_anti", p)
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    parts = max(shuffle_partitions(docs.sparkSession), -(-total // (4 * p.bucket_signatures)))
-    met = stored(_met(_dealt(alone, 2 * parts, p), parts, p))
-    links = stored(links_of(met, classes, alone, p))
-    comps = connected_components(links)
-    placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
-    same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") == F.col("_n"))
-    return prof.join(placed, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
-
-
-def links_of(met: DataFrame, classes: DataFrame, docs: DataFrame, p: JoinParams) -> DataFrame:
-    """a, b: verified links between class representatives."""
-    size = classes.select(F.col("rep").alias("doc"), F.col("n"), F.col("filled"))
-    hot = met.filter("kind = 1").select(F.col("a").alias("g"), F.col("b").alias("doc"))
-    heat = hot.groupBy("doc").agg(F.count(F.lit(1)).alias("hot"))
-    known = stored(size.join(heat, "doc", "left").fillna(0, ["hot"]))
+    with Scratch(docs.sparkSession) as scratch:
+        prof = cut(profiles(docs, p))
+        sets = prof.filter("n > 0 AND doc_id IS NOT NULL")
+        classes = cut(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("spare0").alias("spare0"), F.min("spare1").alias("spare1")))
+        others = sets.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).filter("doc_id <> rep").select("doc_id")
+        alone = _only(docs.filter("doc_id IS NOT NULL"), scratch.stored(others), "left_anti", p)
+        total = classes.agg(F.sum("n")).first()[0] or 0
+        parts = max(shuffle_partitions(docs.sparkSession), -(-total // (4 * p.bucket_signatures)))
+        met = scratch.stored(_met(_dealt(alone, 2 * parts, p), parts, p))
+        comps = connected_components(links_of(met, classes, alone, p, scratch))
+        placed = classes.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("s1").alias("_1"), F.col("s2").alias("_2"), F.col("n").alias("_n"), F.coalesce("component", "rep").alias("_c"))
+        same = (F.col("s1") == F.col("_1")) & (F.col("s2") == F.col("_2")) & (F.col("n") == F.col("_n"))
+        return prof.join(placed, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("_c", "doc_id")).alias("component_id"))
+
+
+def links_of(met: DataFrame, classes: DataFrame, docs: DataFrame, p: JoinParams, scratch: Scratch) -> DataFrame:
+    """a, b: verified links between class representatives, enough of them to connect all that are linked."""
+    heat = met.filter("kind = 1").groupBy(F.col("a").alias("_doc")).agg(*(F.sum(F.when(F.col("b") == side, F.col("n"))).alias(f"h{side}") for side in (0, 1)))
+    left = lambda side: F.col(f"spare{side}") - F.coalesce(f"h{side}", F.lit(0))
+    known = scratch.stored(classes.join(heat, F.col("rep") == F.col("_doc"), "left").select(F.col("rep").alias("doc"), "n", left(0).alias("left0"), left(1).alias("left1")))
+    of = lambda side: known.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "left0", "left1")))
     pairs = met.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("shared"))
-    of = lambda side: known.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col("filled").alias(f"f_{side}"), F.col("hot").alias(f"h_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    need = F.when(F.col("n_a") >= F.col("n_b"), F.col("f_a") - F.col("h_a")).otherwise(F.col("f_b") - F.col("h_b")) - F.floor((F.col("n_a") + F.col("n_b")) / 7)
-    found = verify(both.filter(F.col("shared") >= need).select("a", "b"), docs, p).filter(_LINKED).select("a", "b")
-    links = stored(found)
-    # Any k + 1 signatures of a set meet every partner; the ordinary ones count, the rest are its least hot ones.
-    take = F.col("hot") - F.col("filled") + F.floor(2 * F.col("n") / 7) + 1
-    needy = stored(known.select(F.col("doc").alias("_doc"), take.alias("take")).filter("take > 0"))
-    own = stored(hot.join(_short(needy, p), F.col("doc") == F.col("_doc")).drop("_doc"))
-    touched = stored(own.select(F.col("g").alias("_g")).distinct())
-    sizes = hot.join(_short(touched, p), F.col("g") == F.col("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("m"))
-    turn = F.row_number().over(Window.partitionBy("doc").orderBy("m", "g"))
-    asked = stored(own.join(sizes, F.col("g") == F.col("_g")).withColumn("_r", turn).filter("_r <= take").select("g", "doc"))
-    groups = stored(asked.select(F.col("g").alias("_g")).distinct())
-    flags = asked.select(F.col("g").alias("_g"), F.col("doc").alias("_d"), F.lit(True).alias("rare"))
-    met_in = hot.join(_short(groups, p), F.col("g") == F.col("_g"), "left_semi").join(flags, (F.col("g") == F.col("_g")) & (F.col("doc") == F.col("_d")), "left").drop("_g", "_d")
-    loss = ((F.col("filled") - F.col("hot")) / F.col("filled")).alias("loss")
-    members = met_in.join(known.select(F.col("doc").alias("_doc"), "n", loss), F.col("doc") == F.col("_doc"))
-    return _hot_links(_once(members.select("g", "doc", "n", "loss", F.coalesce("rare", F.lit(False)).alias("rare"))), links, docs, 3 * classes.count(), p)
+    odd = "greatest(2, length(bin(greatest(n_a, n_b) - 1))) % 2 = 1"
+    need = F.when(F.expr(odd), F.greatest("left1_a", "left1_b")).otherwise(F.greatest("left0_a", "left0_b"))
+    met_often = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("need", need).filter("need >= 1 AND shared >= need").select("a", "b")
+    uncovered = scratch.stored(known.filter("left0 < 1 OR left1 < 1").select("doc"))
+    near, links = _rarest(_only(docs, uncovered, "left_semi", p), p, scratch)
+    found = verify(met_often.unionByName(near), docs, p, scratch).filter(_LINKED).select("a", "b")
+    return found.unionByName(links)

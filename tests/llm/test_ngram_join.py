@@ -66,32 +66,56 @@ def test_components_equal_brute_force(spark, seed, hot):
     assert got == brute(rows)
 
 
-def test_hot_groups_settle_in_families(spark, monkeypatch):
-    """With nothing left to compare pair by pair, the leaders' masks alone find the links."""
+def test_families_over_many_blocks(spark):
+    """Families of edited copies whose members are dealt to several blocks, with chains that lead away from the leader."""
     rows = corpus(9, families=3, copies=30)
-    real = nj._hot_links
-    monkeypatch.setattr(nj, "_hot_links", lambda m, links, d, few, p: real(m, links, d, 0, p))
-    monkeypatch.setattr(nj, "_FAMILY_BLOCK", 7)
+    base = [f"z{i}" for i in range(400)]
+    rows += [(len(rows) + i, " ".join(base[3 * i : 3 * i + 150])) for i in range(80)]
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.components(df, nj.JoinParams(hot=2)).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.components(df, nj.JoinParams(hot=2, block_sets=7)).collect()}
     assert got == brute(rows)
 
 
-def test_linked_sets_share_more_signatures_than_the_bound():
-    dice, p = np.random.default_rng(5), nj.JoinParams()
-    for n in (1, 3, 9, 12, 13, 40, 200, 600, 1500):
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 12, 13, 40, 200, 600, 1500])
+def test_linked_sets_share_what_their_differences_leave(n):
+    """A pair at the edge of 3/4 shares at least t - changed(K) of t signatures, in the band of the larger."""
+    dice, p = np.random.default_rng(n), nj.JoinParams()
+    for _ in range(20):
         a = np.unique(dice.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
-        for share in (0.0, 0.05, 0.1, 0.14):
-            k = int(len(a) * share)
-            b = np.unique(np.r_[a[k:], dice.integers(0, 2**63, k).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
-            big, small = (a, b) if len(a) >= len(b) else (b, a)
-            common = len(np.intersect1d(a, b))
-            if 100 * common < 75 * (len(a) + len(b) - common):
-                continue
-            level = nj.bits(len(big), p)
-            assert level in nj.levels(len(small), p)
-            met = len(np.intersect1d(nj.signatures(big, level), nj.signatures(small, level)))
-            assert met >= nj.filled(big, level) - (len(a) + len(b)) // 7 > 0
+        b = a.copy()
+        while True:
+            x = np.delete(b, dice.integers(len(b))) if dice.random() < 0.5 and len(b) > 1 else np.unique(np.r_[b, dice.integers(0, 2**63, 1).astype(np.uint64) * np.uint64(2) + np.uint64(1)])
+            common = len(np.intersect1d(a, x))
+            if 100 * common < 75 * (len(a) + len(x) - common):
+                break
+            b = x
+        level = nj.band(max(len(a), len(b)))
+        assert level in nj.bands(len(a)) and level in nj.bands(len(b))
+        lost = nj.changed((len(a) + len(b)) // 7, nj.partitions_of(level, p))
+        x, y = nj.signatures(a, level), nj.signatures(b, level)
+        assert len(np.intersect1d(x, y)) >= max(len(x), len(y)) - lost
+
+
+def test_signatures_are_fewer_than_subsets_and_name_their_band():
+    s = np.unique(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
+    for level in (10, 11):
+        got = nj.signatures(s, level)
+        assert len(got) <= 3 * nj.partitions_of(level, nj.JoinParams()) and set((got & np.uint64(1)).tolist()) == {level & 1}
+    assert len(nj.signatures(s, 10)) < 1.1 * len(s)
+
+
+def test_block_links_equal_pairwise():
+    dice = np.random.default_rng(3)
+    base = dice.integers(0, 2**62, 300)
+    sets = [np.unique(np.r_[dice.choice(base, 300 - int(dice.integers(0, 90)), replace=False), dice.integers(0, 2**62, int(dice.integers(0, 40)))]) for _ in range(40)]
+    label = list(range(40))
+    for i in range(40):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    assert nj.linked(sets).tolist() == label
 
 
 def test_blobs_round_trip():
