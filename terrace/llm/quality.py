@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.session import cut
+from terrace.session import cut, stored
 
 #: What separates words, and what counts as a symbol.
 SPACE = " \t\n\x0b\f\r"
@@ -151,15 +151,16 @@ def judge(docs: DataFrame, *carry: str, params: QualityParams = QualityParams())
 def kept_rows(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of docs that judge() keeps, with their columns.
 
-    The counts are made twice, once for the limits and once beside the row, so that no text is
-    shuffled or stored; the limits are shipped while they are few. The row travels as one
-    struct, so its columns may have any names.
+    The counts are made once and stored beside the row: the limits read only the counts, the
+    verdict joins them back, shipped while they are few, so no text is shuffled. The row travels as
+    one struct, so its columns may have any names.
     """
-    limits = cut(thresholds(_based(docs, ("lang", "source"), params), params))
+    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_row"))
+    counted = stored(_based(rows, ("lang", "source", "_row"), params))
+    limits = cut(thresholds(counted, params))
     if limits.count() <= 100_000:
         limits = F.broadcast(limits)
-    rows = docs.select("doc_id", "text", "lang", "source", F.struct(*docs.columns).alias("_row"))
-    kept = _verdict(_based(rows, ("lang", "source", "_row"), params), limits, params).filter("kept")
+    kept = _verdict(counted, limits, params).filter("kept")
     return kept.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 

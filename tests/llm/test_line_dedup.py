@@ -50,7 +50,21 @@ def test_dedup_equals_brute_force(spark):
 
 def test_filters_too_large_to_ship(spark):
     docs = corpus(30)
-    assert result(spark, ld.LineIndex.build(frame(spark, docs), ld.LineParams(broadcast_bytes=0)), docs) == brute(docs)
+    for shard_keys, rows in ((50_000, 10), (3, 4_000_000), (2, 7)):
+        p = ld.LineParams(broadcast_bytes=0, shard_keys=shard_keys, dealt_rows=rows)
+        assert result(spark, ld.LineIndex.build(frame(spark, docs), p), docs) == brute(docs)
+
+
+def test_full_filters_are_built_anew(spark):
+    few = {i: "\n".join(f"shared line number {j} of the first lot" for j in range(8)) for i in range(4)}
+    more = {10 + i: "\n".join(f"shared line number {j} of the second lot" for j in range(900)) for i in range(4)}
+    index = ld.LineIndex.build(frame(spark, few), ld.LineParams(shard_keys=100))
+    both = index.insert(frame(spark, more))
+    filters = [ld.CuckooFilter.load(bytes(r["seats"])) for r in both.filters.collect()]
+    assert both.shards == 10 and len(filters) == 10 and not any(f.full for f in filters)
+    assert result(spark, both, few | more) == brute(few | more)
+    back = both.delete(frame(spark, more))
+    assert result(spark, back, few) == brute(few)
 
 
 def test_insert_and_delete_are_reversible(spark):

@@ -71,8 +71,33 @@ def test_mix_stage(stages):
     size = {r["doc_id"]: (len(r["text"].split()), r["source"]) for r in before.collect()}
     copies = Counter(r["doc_id"] for r in after.collect())
     assert set(copies) <= set(size) and max(copies.values()) <= 3
-    total, taken = sum(s for s, _ in size.values()), sum(size[d][0] * n for d, n in copies.items())
-    assert abs(taken - total) < 0.02 * total
+    goal = {r["source"]: r["target"] for r in mixing.mix(before).select("source", "target").distinct().collect()}
+    taken = Counter()
+    for d, n in copies.items():
+        taken[size[d][1]] += size[d][0] * n
+    assert set(goal) == {s for _, s in size.values()} and all(abs(taken[s] - t) < 0.03 * t + 60 for s, t in goal.items())
+
+
+def test_repeated_ids_are_documents_of_their_own(spark):
+    """Unrelated texts under one id both stay, their copies and copies of others go; so do the mix's copies."""
+    t = [x[1] for x in corpus()[:4]]
+    rows = [(7, t[0], "en", "a", 1), (7, t[1], "en", "a", 1), (7, t[1], "en", "b", 1), (3, t[2], "en", "a", 1), (9, t[0], "en", "a", 1), (None, t[3], "en", "a", 1)]
+    kept = cp.ngram_jaccard_join(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(7, t[0]), (7, t[1]), (3, t[2]), (None, t[3])])
+    docs = spark.createDataFrame([(1, "one two three", "en", "a", 3)] * 4 + [(1, "four five", "en", "b", 3), (2, "six", "en", "c", 1)] + [(i, f"w{i} x", "en", "a", 4) for i in range(40, 60)], SCHEMA).coalesce(1)
+    plan = Counter()
+    for r in mixing.mix(docs, "text").collect():
+        plan[r["doc_id"], r["source"], r["text"]] += r["copies"]
+    assert Counter((r["doc_id"], r["source"], r["text"]) for r in cp.mix_sources(spark, docs, "").collect()) == +plan
+
+
+def test_extra_columns_and_clashing_names_stay(spark):
+    names = ["_id", "_key", "_k", "_copies", "_n", "_row", "kept", "n_lines", "_text", "_lost", "copies", "_r", "c0"]
+    docs = spark.createDataFrame([(*r, *([r[0]] * len(names))) for r in corpus()[:60]] + [(999, "word " * 60_000, "en", "s1", 1, *([999] * len(names)))], SCHEMA + "".join(f", `{n}` long" for n in names))
+    for _, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, "")
+        assert after.columns == docs.columns and all(r["c0"] == r["doc_id"] == r["_key"] for r in after.collect())
+    assert cp.STAGES[-1][1](spark, docs, "").filter("doc_id = 999").count() > 20
 
 
 def test_null_ids_get_all_copies_of_the_mix(spark):
