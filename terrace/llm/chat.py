@@ -67,69 +67,120 @@ def fingerprint(paths: Iterable[str]) -> str:
 #: A mapping is (list path or "", [(role or role field, text field)]): with a list path the pairs
 #: are read from each item, else from the record; "=user" is a constant role, "!role" a field
 #: whose value is kept as it is, "^system" a text field of the record outside the list.
-MAPPINGS: dict[str, tuple[str, tuple[tuple[str, str], ...]]] = {
-    fingerprint(paths): mapping
-    for paths, mapping in (
-        (("messages[].role", "messages[].content"), ("messages", (("role", "content"),))),
-        (("id", "messages[].role", "messages[].content"), ("messages", (("role", "content"),))),
-        (("conversations[].from", "conversations[].value"), ("conversations", (("from", "value"),))),
-        (("system", "conversations[].from", "conversations[].value"), ("conversations", (("=system", "^system"), ("from", "value")))),
-        (("prompt", "response"), ("", (("=user", "prompt"), ("=assistant", "response")))),
-        (("prompt", "completion"), ("", (("=user", "prompt"), ("=assistant", "completion")))),
-        (("question", "answer"), ("", (("=user", "question"), ("=assistant", "answer")))),
-        (("instruction", "output"), ("", (("=user", "instruction"), ("=assistant", "output")))),
-        (("instruction", "input", "output"), ("", (("=user", "instruction\n\ninput"), ("=assistant", "output")))),
-        (("role", "text"), ("", (("role", "text"),))),
-        (("conv_id", "role", "text", "turn"), ("", (("!role", "text"),))),
-    )
-}
+Mapping = tuple[str, tuple[tuple[str, str], ...]]
+LAYOUTS: tuple[tuple[tuple[str, ...], Mapping], ...] = (
+    (("messages[].role", "messages[].content"), ("messages", (("role", "content"),))),
+    (("conversations[].from", "conversations[].value"), ("conversations", (("from", "value"),))),
+    (("system", "conversations[].from", "conversations[].value"), ("conversations", (("=system", "^system"), ("from", "value")))),
+    (("prompt", "response"), ("", (("=user", "prompt"), ("=assistant", "response")))),
+    (("prompt", "completion"), ("", (("=user", "prompt"), ("=assistant", "completion")))),
+    (("question", "answer"), ("", (("=user", "question"), ("=assistant", "answer")))),
+    (("instruction", "output"), ("", (("=user", "instruction"), ("=assistant", "output")))),
+    (("instruction", "input", "output"), ("", (("=user", "instruction\n\ninput"), ("=assistant", "output")))),
+    (("prompt",), ("", (("=user", "prompt"),))),
+    (("response",), ("", (("=assistant", "response"),))),
+    (("role", "text"), ("", (("!role", "text"),))),
+)
+MAPPINGS: dict[str, Mapping] = {fingerprint(paths): mapping for paths, mapping in LAYOUTS}
+
+
+def select(paths: frozenset[str], layouts: tuple[tuple[tuple[str, ...], Mapping], ...] = LAYOUTS) -> tuple[str, Mapping | None]:
+    """Fingerprint and mapping of one layout, the same for every record that has it.
+
+    A known fingerprint has its mapping. Else the layout is a known one with further (optional)
+    fields if all of that one's paths are among its own, the one with the most paths first; an
+    empty list stands for a layout's list. Any other layout has no mapping.
+    """
+    mark = fingerprint(paths)
+    if mark in (known := {fingerprint(p): m for p, m in layouts}):
+        return mark, known[mark]
+    for wanted, mapping in sorted(layouts, key=lambda x: -len(x[0])):
+        listed = mapping[0] + "[]"
+        if all(p in paths or (mapping[0] and p.startswith(listed) and listed in paths) for p in wanted):
+            return mark, mapping
+    return mark, None
 #: Role names of other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatgpt": "assistant"}
 
 
-def turns(record: object, mappings: dict = MAPPINGS) -> list[tuple[str, str]] | None:
-    """Canonical (role, text) turns of a record, or None when no mapping has its fingerprint.
+def turns(record: dict, mapping: Mapping) -> list[tuple[str | None, str]]:
+    """Canonical (role, text) turns of a record by its mapping.
 
-    A null role or text counts as empty; an instruction with an empty input is the
-    instruction alone.
+    A null text counts as empty, a null role too where it is translated; an instruction with an
+    empty input is the instruction alone.
     """
-    mapping = mappings.get(fingerprint(field_paths(record)))
-    if mapping is None:
-        return None
     listed, pairs = mapping
     text = lambda item, name: "" if item.get(name) is None else str(item[name])
 
     def pick(item: dict, role: str, name: str) -> tuple[str, str]:
         body = "\n\n".join(x for x in (text(item, n) for n in name.split("\n\n")) if x)
         if role[:1] == "!":
-            return text(item, role[1:]), body
+            return item.get(role[1:]), body
         role = role[1:] if role[:1] == "=" else text(item, role)
         return ROLES.get(role, role), body
 
     outer = [pick(record, r, n[1:]) for r, n in pairs if n[:1] == "^"]
     inner = [(r, n) for r, n in pairs if n[:1] != "^"]
-    return outer + [pick(item, r, n) for item in (record[listed] if listed else [record]) for r, n in inner]
+    items = [x if isinstance(x, dict) else {} for x in record[listed]] if listed else [record]
+    return outer + [pick(item, r, n) for item in items for r, n in inner]
+
 
+def canonical(records: DataFrame, column: str = "record", key: str = "conv_id", order: str | None = None) -> DataFrame:
+    """key, schema_fingerprint, turn, item, role, text from JSON records.
 
-def canonical(records: DataFrame, column: str = "record", key: str = "conv_id") -> DataFrame:
-    """key, schema_fingerprint, turn, role, text from JSON records; an unknown layout or broken
-    JSON gives one row with null turn, so nothing is lost silently."""
+    turn is the record's place in its conversation (the column named by order, 0 without one), item the
+    turn's place in the record. The mapping is selected once per distinct set of field paths. A record
+    of a known layout with an empty list has no turns. An unknown layout or broken JSON gives one row
+    with null item, so nothing is lost silently: unmapped() returns these, format_turns() leaves them out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen: dict[frozenset[str], tuple[str, Mapping | None]] = {}
         for batch in batches:
             out: list[tuple] = []
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, no, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
                     record = json.loads(raw or "")
                 except ValueError:
-                    out.append((k, None, None, None, None))
+                    out.append((k, None, no, None, None, None))
                     continue
-                mark, found = fingerprint(field_paths(record)), turns(record)
-                out += [(k, mark, i, r, t) for i, (r, t) in enumerate(found)] if found else [(k, mark, None, None, None)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()))], names=["k", "f", "t", "r", "x"])
+                paths = frozenset(field_paths(record))
+                if paths not in chosen:
+                    chosen[paths] = select(paths)
+                mark, mapping = chosen[paths]
+                out += [(k, mark, no, i, r, t) for i, (r, t) in enumerate(turns(record, mapping))] if mapping else [(k, mark, no, None, None, None)]
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=t) for i, t in enumerate(kinds)], names=["k", "f", "t", "i", "r", "x"])
+
+    place = (F.lit(0) if order is None else F.col(order)).cast("long")
+    got = records.select(F.col(key).cast("long").alias("k"), place.alias("t"), F.col(column).cast("string").alias("r")).mapInArrow(run, "k long, f string, t long, i long, r string, x string")
+    return got.select(F.col("k").alias(key), F.col("f").alias("schema_fingerprint"), F.col("t").alias("turn"), F.col("i").alias("item"), F.col("r").alias("role"), F.col("x").alias("text"))
+
 
-    got = records.select(F.col(key).cast("long").alias("k"), F.col(column).cast("string").alias("r")).mapInArrow(run, "k long, f string, t long, r string, x string")
-    return got.select(F.col("k").alias(key), F.col("f").alias("schema_fingerprint"), F.col("t").alias("turn"), F.col("r").alias("role"), F.col("x").alias("text"))
+def unmapped(found: DataFrame) -> DataFrame:
+    """The rows of canonical() whose layout no mapping covers."""
+    return found.filter("item IS NULL")
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """conv_id, turn, record: rows (conv_id, turn, role, text) as JSON in the layouts they might come in.
+
+    The layout follows a hash of the row: message lists, translated role names, prompts and
+    responses; a role beyond user, assistant and system keeps the plain layout (role, text).
+    """
+    known = F.col("role").isin("user", "assistant", "system")
+    foreign = F.when(F.col("role") == "user", "human").when(F.col("role") == "assistant", "gpt").otherwise(F.col("role"))
+    shape = F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(5))
+    keep = {"ignoreNullFields": "false"}
+    record = (
+        F.when(known & (shape == 1), F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), keep))
+        .when(known & (shape == 2), F.to_json(F.struct(F.array(F.struct(foreign.alias("from"), F.col("text").alias("value"))).alias("conversations")), keep))
+        .when((F.col("role") == "user") & (shape == 3), F.to_json(F.struct(F.col("text").alias("prompt")), keep))
+        .when((F.col("role") == "assistant") & (shape == 3), F.to_json(F.struct(F.col("text").alias("response")), keep))
+        .when(known & (shape == 4), F.to_json(F.struct(F.col("conv_id").alias("id"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), keep))
+        .otherwise(F.to_json(F.struct("role", "text"), keep))
+    )
+    return rows.select("conv_id", "turn", record.alias("record"))
 
 
 # --- formatting ------------------------------------------------------------------------------
@@ -142,29 +193,27 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
     start is the segment's offset in the conversation; loss_start and loss_end bound the escaped
     text that counts for the loss (assistant turns; else both null). Turns are ordered by
-    turn, then role, then text, nulls first; repeated rows stay repeated turns. A conversation
-    of any length is streamed turn by turn from sorted partitions, never held whole. Each row is
-    read as a record of the layout (conv_id, role, text, turn) through the same mappings.
+    turn, within a record by item, then role, then text, nulls first; repeated rows stay repeated
+    turns. A conversation of any length is streamed turn by turn from sorted partitions, never held
+    whole. rows are those of canonical(), or conv_id, turn, role and text alone.
     """
-    layout = "".join(sorted(MAPPINGS))  # ships the registry with the closure
+    item = F.col("item").cast("long") if "item" in rows.columns else F.lit(0).cast("long")
     sorted_rows = (
-        rows.select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), F.col("role").cast("string").alias("r"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("x"))
-        .repartition("c").sortWithinPartitions("c", "t", "r", "x")
+        rows.select(F.col("conv_id").cast("long").alias("c"), F.col("turn").cast("long").alias("t"), F.col("role").cast("string").alias("r"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("x"), item.alias("i"))
+        .filter("i IS NOT NULL").repartition("c").sortWithinPartitions("c", "t", "i", "r", "x")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        assert layout
         now, no, at = object(), 0, 0
         for batch in batches:
             out: list[tuple] = []
-            for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for c, r, x in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 if c != now:
                     now, no, at = c, 0, 0
-                for role, text in turns({"conv_id": c, "turn": t, "role": r, "text": x}) or ():
-                    s, a, b = render(role, text)
-                    lost = role == "assistant"
-                    out.append((c, no, s, at, a if lost else None, b if lost else None))
-                    no, at = no + 1, at + len(s)
+                s, a, b = render(r or "", x)
+                lost = r == "assistant"
+                out.append((c, no, s, at, a if lost else None, b if lost else None))
+                no, at = no + 1, at + len(s)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], type=pa.string() if i == 2 else pa.int64()) for i in range(6)], names=["conv_id", "turn_no", "formatted", "start", "loss_start", "loss_end"])
 
     return sorted_rows.mapInArrow(run, _SEGMENTS)

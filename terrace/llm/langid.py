@@ -22,13 +22,14 @@ _letter = re.compile(r"[^\W\d_]")
 
 @dataclass(frozen=True)
 class LangParams:
-    """sample_docs, sample_chars: training text of a language is the first sample_chars / sample_docs * 2
-    characters of at most sample_docs documents spread by hash over the whole table, cut at
-    sample_chars in all. segment: texts are parsed in segments of so many characters, each
-    starting a phrase, for every language alike."""
-
-    sample_docs: int = 64
-    sample_chars: int = 24_000
+    """sample_docs: a language is learned from the whole texts of at most so many labelled rows, spread by hash
+    over the whole table; most_docs: at most so many rows (but one per label) over all languages together.
+    short: texts of up to so many characters are taken before longer ones. segment: texts are
+    parsed in segments of so many characters, each starting a phrase, for every language alike."""
+
+    sample_docs: int = 24
+    most_docs: int = 4096
+    short: int = 4000
     segment: int = 1024
     rows: int = 2048
 
@@ -200,26 +201,27 @@ def held_out() -> Column:
 def fit(docs: DataFrame, params: LangParams = LangParams()) -> Model:
     """Automata from a bounded sample of the labelled documents that are not held out.
 
-    One document per language and hash bucket is chosen by ids alone, over the whole table;
-    only the chosen ones' texts are fetched, at most sample_chars a language.
+    One document per language and hash bucket is chosen over the whole table, short ones first;
+    the whole texts of the chosen ones are fetched.
     """
     p = params
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     h = F.xxhash64("doc_id")
+    labels = labelled.select("lang").distinct().count()
+    buckets = max(1, min(p.sample_docs, p.most_docs // max(1, labels)))
     ids = (
-        labelled.groupBy("lang", F.pmod(h, F.lit(p.sample_docs)).alias("b"))
-        .agg(F.min_by("doc_id", h).alias("_id")).select(F.col("lang").alias("_lang"), "_id")
+        labelled.groupBy("lang", F.pmod(h, F.lit(buckets)).alias("b"))
+        .agg(F.min_by("doc_id", F.struct(F.char_length("text") > p.short, h)).alias("_id")).select(F.col("lang").alias("_lang"), "_id")
     )
-    share = max(1, 2 * p.sample_chars // p.sample_docs)
-    ids = ids.collect()  # at most sample_docs a label
+    ids = ids.collect()  # at most most_docs, or one a label
     if not ids:
         return Model({}, p)
     chosen = docs.sparkSession.createDataFrame([tuple(r) for r in ids], "_lang string, _id long")
-    texts = labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "doc_id", F.substring("text", 1, share).alias("t")).distinct()
+    texts = labelled.join(F.broadcast(chosen), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "doc_id", F.col("text").alias("t")).distinct()
     samples: dict[str, list[str]] = {}
     for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["t"])):
         samples.setdefault(r["lang"], []).append(r["t"])
-    return Model({k: "\n".join(v)[: p.sample_chars] for k, v in samples.items()}, p)
+    return Model({k: "\n".join(v) for k, v in samples.items()}, p)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -228,7 +230,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Prediction reads the text alone. `und` and score 0 where the text is null or has no
     letter, or where nothing was learned. Whole texts are parsed, long ones segment by segment.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # follows the number of labels, at most about 3 * sample_chars transitions each
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most most_docs texts and about three transitions a character
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,7 +76,9 @@ HOMOGLYPHS = {
     "–": "-", "﹫": "@", "﹢": "+",
 }
 _one = {ord(k): v for k, v in HOMOGLYPHS.items()}
-_one |= {0xFF01 + i: chr(0x21 + i) for i in range(94)}  # full-width forms
+for _point in range(0xA0, 0x20000):  # full-width, mathematical, circled, raised and other forms of one such character
+    if re.fullmatch(r"[A-Za-z0-9@.+_%-]", _same := unicodedata.normalize("NFKC", chr(_point))):
+        _one.setdefault(_point, _same)
 for _zero in (0x0660, 0x06F0, 0x0966):  # digits of other scripts
     _one |= {_zero + i: chr(48 + i) for i in range(10)}
 #: Characters that show nothing.
@@ -90,7 +93,10 @@ DIGIT_WORDS = (
 )
 _word_digit = {w: str(d) for d, ws in enumerate(DIGIT_WORDS) for w in ws.split()}
 _dot_words = "dot|point|punkt|punto"
-_at_words = "at|arroba"
+_at_words = "at|arroba|arobase|klammeraffe"
+#: Words that repeat the digit after them.
+_times = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
+_word_digit |= {f"{word}{gap}{digit}": d * n for word, n in _times.items() for digit, d in tuple(_word_digit.items()) for gap in (" ", "-")}
 _token = "|".join(sorted(_word_digit, key=len, reverse=True))
 _o, _c = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _boxed = rf"\s{{0,3}}{_o}(?:{_dot_words}|\.){_c}\s{{0,3}}"
@@ -136,7 +142,8 @@ def _digits(run: str) -> tuple[str, list[tuple[int, int]], bool]:
         if m[2]:
             if before > 1:
                 group(m.start())
-            out.append(_word_digit[m[2].lower()]), spans.append(m.span())
+            for c in _word_digit[m[2].lower()]:
+                out.append(c), spans.append(m.span())
             spelled, before = True, 1
         elif m[3]:
             if len(m[3]) > 1 or before > 1:  # a number of several digits is a group of its own
@@ -165,6 +172,30 @@ def _local_start(view: str, end: int) -> int:
         at = dot.start()
 
 
+_spoken = re.compile(rf"(?i)(?:(?<=\s)|(?<![^\W_]))(?:{_token})\Z")
+_name_before = re.compile(r"[A-Za-z][A-Za-z0-9._%+-]*\s{1,3}\Z")
+_widest = max(map(len, _word_digit))
+
+
+def _spoken_start(view: str, start: int, end: int) -> int:
+    """Where a local part starts whose last pieces, from start to end, are digits as words: `john four two` is john42.
+
+    Two or more such words in a row belong together and to the name before them; a single one,
+    as in `page four at`, stands for itself.
+    """
+    words, at = 0, end
+    while m := _spoken.search(view, max(0, at - _widest - 1), at):
+        words, start = words + 1, min(start, m.start())
+        at = m.start()
+        while at > 0 and at > m.start() - 3 and view[at - 1] in " -":
+            at -= 1
+        if at == m.start():
+            break
+    if words > 1 and (m := _name_before.search(view, max(0, start - 67), start)):
+        start = _local_start(view, len(view[: m.end()].rstrip()))
+    return start
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What only the normalised view shows, in source offsets, apart from spans inside a base span of the kind."""
     found: list[Span] = []
@@ -186,6 +217,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         start = _local_start(view, m.start())
         if start == m.start():
             continue
+        if m[0] != "@":
+            start = _spoken_start(view, start, m.start())
         dots = _any_dot.findall(after[0])
         if mark.isalpha() and (all(x == "." for x in dots) or _article.match(after[0])):
             continue  # "at example.com" and "at the dot" are prose, "at example dot com" is not

@@ -53,7 +53,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    return chat.read_back(chat.format_turns(rows), ordered=True)
+    found = chat.canonical(chat.as_records(rows), order="turn")
+    return chat.read_back(chat.format_turns(found), ordered=True)
 
 
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,15 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 @dataclass(frozen=True)
 class UrlParams:
-    """rules: at most max_rules of them, as they become one expression. sample_rows: bound of
-    the labelled rows that the trees are fitted on, taken by hash of the URL."""
+    """rules: up to few_rules of them become one expression, more are joined by host. folds: a labelled
+    row's suffix statistics come from the hosts of the other folds. prior_rows: weight of the overall
+    share in them. sample_rows: bound of the labelled rows that the trees are fitted on, taken by
+    hash of the URL."""
 
     rules: tuple[tuple[str, str], ...] = RULES
-    max_rules: int = 2000
+    few_rules: int = 100
+    folds: int = 5
+    prior_rows: int = 10
     sample_rows: int = 20_000
     trees: int = 12
     depth: int = 4
@@ -50,6 +54,25 @@ def matched_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
     return F.coalesce(*picks, F.lit(None).cast("string"))
 
 
+def with_rules(d: DataFrame, rules: tuple[tuple[str, str], ...], few: int) -> DataFrame:
+    """d with rule and _says (its verdict): the longest rule that fits host and path, else nulls."""
+    if len(rules) <= few:
+        d = d.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
+        says = F.lit(None).cast("string")
+        for verdict, rule in rules:
+            says = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(says)
+        return d.withColumn("_says", says)
+    rows = [(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for v, r in rules]
+    table = d.sparkSession.createDataFrame(rows, "_domain string, _start string, _rule string, _verdict string")
+    # rules are as many as the caller lists; hosts meet theirs by their parent domains, paths only within a host's rules
+    above = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> substring_index(host, '.', -i))")
+    parents = d.select("host").distinct().withColumn("_domain", F.explode(above))
+    fits = parents.join(table, "_domain").select(F.col("host").alias("_host"), F.struct(F.length("_rule").alias("n"), F.col("_rule").alias("rule"), F.col("_verdict").alias("says"), F.col("_start").alias("start")).alias("_fit"))
+    pages = d.select("host", "path").distinct()
+    best = pages.join(fits, F.col("host") == F.col("_host")).filter(F.startswith("path", F.col("_fit.start"))).groupBy(F.col("host").alias("_h1"), F.col("path").alias("_p1")).agg(F.max("_fit").alias("_best"))
+    return d.join(best, (F.col("host") == F.col("_h1")) & (F.col("path") == F.col("_p1")), "left").withColumn("rule", F.col("_best.rule")).withColumn("_says", F.col("_best.says")).drop("_h1", "_p1", "_best")
+
+
 def _entropy(s: Column) -> Column:
     """Shannon entropy in bits of the characters of s."""
     n = F.char_length(s)
@@ -90,26 +113,34 @@ FEATURES = ("x_length", "x_host_length", "x_depth", "x_labels", "x_digits", "x_m
 SUFFIXES = ("_s1", "_s2", "_head")
 
 
+def suffix_rates(d: DataFrame, key: str, prior: float, p: UrlParams) -> DataFrame:
+    """d with x<key>: the smoothed share of block among the labelled rows of the key.
+
+    A labelled row (label not null) reads the share without the hosts of its own fold, so the
+    trees never see a row's own answer; the others read the share over all.
+    """
+    fold = F.pmod(F.xxhash64("host"), F.lit(p.folds))
+    of = F.struct(F.sum("label").alias("s"), F.count(F.lit(1)).alias("n"))
+    by_fold = d.filter(F.col("label").isNotNull()).groupBy(F.col(key).alias("_key"), fold.alias("_fold")).agg(of.alias("_of"))
+    rates = by_fold.groupBy("_key").agg(F.sum("_of.s").alias("_s"), F.sum("_of.n").alias("_n"), F.map_from_entries(F.collect_list(F.struct("_fold", "_of"))).alias("_by"))  # at most one entry a fold
+    rates = cut(rates)
+    rates = F.broadcast(rates) if rates.count() <= 100_000 else rates
+    own = F.when(F.col("label").isNotNull(), F.col("_by")[fold])
+    s = F.coalesce("_s", F.lit(0.0)) - F.coalesce(own["s"], F.lit(0.0))
+    n = F.coalesce("_n", F.lit(0)) - F.coalesce(own["n"], F.lit(0))
+    return d.join(rates, F.col(key) == F.col("_key"), "left").withColumn(f"x{key}", (s + p.prior_rows * prior) / (n + p.prior_rows)).drop("_key", "_s", "_n", "_by")
+
+
 def judge(pages: DataFrame, params: UrlParams = UrlParams()) -> DataFrame:
     """page_id, host, path, rule, verdict and score (estimated chance of block), a row per input row.
 
     The URLs that a rule settles are the labelled ones. Suffix statistics (smoothed share of
-    block per last label, last two labels and first path segment) come from all of them; the
-    trees are fitted on at most about sample_rows. Where the labels show one verdict only,
+    block per last label, last two labels and first path segment) come from all of them, for a
+    labelled row from the hosts of other folds; the trees are fitted on at most about sample_rows. Where the labels show one verdict only,
     that verdict holds for the rest; where there are none, allow does. An empty table gives no
     rows; a null url has empty host and path and is judged by the trees.
     """
-    if len(params.rules) > params.max_rules:
-        raise ValueError(f"{len(params.rules)} rules; at most {params.max_rules} fit one expression")
-    spark = pages.sparkSession
-    d = lexical(pages)
-    verdicts = {rule: verdict for verdict, rule in params.rules}
-    rule = matched_rule(F.col("host"), F.col("path"), params.rules)
-    d = d.withColumn("rule", rule)
-    says = F.lit(None).cast("string")
-    for r, v in verdicts.items():
-        says = F.when(F.col("rule") == r, F.lit(v)).otherwise(says)
-    d = cut(d.withColumn("_says", says))
+    d = cut(with_rules(lexical(pages), params.rules, params.few_rules))
     labelled = d.filter(F.col("_says").isNotNull()).withColumn("label", (F.col("_says") == "block").cast("double"))
     seen = labelled.agg(F.count(F.lit(1)), F.sum("label")).first()
     n, blocked = int(seen[0]), float(seen[1] or 0.0)
@@ -118,10 +149,9 @@ def judge(pages: DataFrame, params: UrlParams = UrlParams()) -> DataFrame:
         other, score = ("allow", 0.0) if blocked == 0.0 else ("block", 1.0)
         return d.select(*columns, F.coalesce("_says", F.lit(other)).alias("verdict"), F.lit(score).alias("score"))
     prior = blocked / n
-    for key in SUFFIXES:
-        rates = labelled.groupBy(F.col(key).alias(f"k{key}")).agg(((F.sum("label") + 10 * prior) / (F.count(F.lit(1)) + 10)).alias(f"x{key}"))
-        d = d.join(rates, F.col(key) == F.col(f"k{key}"), "left").drop(f"k{key}").fillna(prior, [f"x{key}"])
     d = d.withColumn("label", (F.col("_says") == "block").cast("double"))
+    for key in SUFFIXES:
+        d = suffix_rates(d, key, prior, params)
     d = cut(VectorAssembler(inputCols=[*FEATURES, *(f"x{k}" for k in SUFFIXES)], outputCol="_v").transform(d).select(*columns, "_says", "_h", "label", "_v"))
     train = d.filter(F.col("label").isNotNull())
     if n > params.sample_rows:

@@ -56,6 +56,36 @@ def test_layouts(spark):
     assert got[6] == got[98] == got[99] == [(None, None)]
 
 
+def test_optional_fields_and_empty_lists_keep_a_layout_known(spark):
+    records = [
+        {"messages": [{"role": "user", "content": "a", "name": "x"}, {"role": "assistant", "content": None}], "meta": {"lang": "en"}},
+        {"messages": []},
+        {"system": None, "conversations": [{"from": "gpt", "value": "b", "weight": 1}]},
+        {"prompt": "a", "response": "b", "score": 3},
+        {"role": "narrator", "text": "t", "extra": []},
+        [1, 2],
+        {"messages": [{"role": "user"}]},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    found = chat.canonical(df)
+    got = {}
+    for r in found.filter("item IS NOT NULL").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got == {0: [("user", "a"), ("assistant", "")], 2: [("system", ""), ("assistant", "b")], 3: [("user", "a"), ("assistant", "b")], 4: [("narrator", "t")]}
+    assert sorted(r["conv_id"] for r in chat.unmapped(found).collect()) == [5, 6]
+
+
+def test_records_of_several_layouts_give_the_rows_back(spark):
+    roles, texts = ["user", "assistant", "system", "human", None, "tool"], ["a</s>", "", None, '"q" \\ \n\t\x01', "é😀"]
+    rows = [(c, t, roles[(c + t) % 6], texts[(c * 3 + t) % 5]) for c in range(30) for t in range(12)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.canonical(chat.as_records(df), order="turn")
+    assert sorted(map(str, ((r["conv_id"], r["turn"], r["role"], r["text"]) for r in found.collect()))) == sorted(str((c, t, ro, x or "")) for c, t, ro, x in rows)
+    assert found.select("schema_fingerprint").distinct().count() == 6
+    by = lambda d: {r["conv_id"]: tuple(r) for r in chat.read_back(d, ordered=True).collect()}
+    assert by(chat.format_turns(found)) == by(chat.format_turns(df))
+
+
 def test_fingerprints_ignore_order_and_values():
     a, b = {"x": [{"p": 1, "q": 2}], "y": 0}, {"y": "s", "x": [{"q": None, "p": 1}, {"p": 3, "q": 4}]}
     assert chat.fingerprint(chat.field_paths(a)) == chat.fingerprint(chat.field_paths(b)) != chat.fingerprint(chat.field_paths({"x": {}, "y": 0}))

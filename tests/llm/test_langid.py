@@ -51,7 +51,7 @@ def rows():
 
 def test_held_out_accuracy_and_edges(spark):
     df = spark.createDataFrame(rows(), SCHEMA)
-    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(df, langid.LangParams(sample_chars=6000))).collect()}
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.fit(df, langid.LangParams(sample_docs=16))).collect()}
     assert len(got) == len(rows())
     for i in (900, 901, 902):
         assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0.0

@@ -1,3 +1,4 @@
+import random
 import re
 
 from hypothesis import given, settings
@@ -93,3 +94,51 @@ def test_table_edge_cases(spark):
     assert len(got) == 6 and by[1]["spans"] == "" and by[3]["n_email"] == 3 and by[None]["spans"] == "ip:0:7" and by[4]["spans"] == "email:300001:300007"
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert pii.mask("write a@b.co ok", "email:6:12") == "write <email> ok"
+
+
+def _disguised(dice, kind):
+    """A disguised identifier and what it reads as in plain."""
+    digit_words = [w.split() for w in pii.DIGIT_WORDS]
+    look = {v: [k for k, x in pii.HOMOGLYPHS.items() if x == v] for v in set(pii.HOMOGLYPHS.values())}
+    glyph = lambda s: "".join(dice.choice(look[c]) if c in look and dice.random() < 0.4 else c for c in s)
+    hide = lambda s: "".join(c + (dice.choice(pii.INVISIBLE) if dice.random() < 0.3 else "") for c in s[:-1]) + s[-1]
+    say = lambda d: dice.choice(digit_words[int(d)])
+    if kind == "email":
+        name, site = "".join(dice.choice("abcdehopxy") for _ in range(dice.randrange(3, 200))), dice.choice(["exam-ple", "post", "mail7"])
+        at = dice.choice([" [at] ", "(at)", " {@} ", " at ", " <arobase> "])
+        dot = dice.choice([" dot ", "[dot]", " (punkt) ", "[.]"]) if at == " at " else dice.choice([" dot ", "[dot]", "."])
+        spoken = "".join(" " + say(dice.randrange(10)) for _ in range(dice.choice([0, 2, 4])))
+        return name + spoken + at + site + dot + dice.choice(["com", "org"])
+    if kind == "glyphs":
+        return hide(glyph("oche.pax@exarnple.corp"))
+    digits = {"card": "4111111111111111", "ip": "".join(map(str, (192, 168, 10, 5)))}[kind]
+    if kind == "ip":
+        return dice.choice([" dot ", "[.]", " [dot] "]).join(["192", "168", "10", "5"])
+    said, i = [], 0
+    while i < len(digits):
+        if digits[i : i + 2] == "11" and dice.random() < 0.5:
+            said.append("double one")
+            i += 2
+        else:
+            said.append(say(digits[i]) if dice.random() < 0.5 or i == 0 else digits[i])
+            i += 1
+    return " ".join(said)
+
+
+def test_disguised_identifiers_map_back_to_their_own_characters():
+    """Planted at known places among prose, each is found with exactly its own span."""
+    dice = random.Random(12)
+    prose = ["Nothing to see in this line; ", "Der Rest bleibt gleich. ", "(ligne suivante) ", "été à la mer, ", "\u200bword ", "é" * 40 + " "]
+    for n in range(400):
+        kind = dice.choice(["email", "glyphs", "card", "ip"])
+        said = _disguised(dice, kind)
+        before = "".join(dice.choice(prose) for _ in range(dice.randrange(4))) + "Contact: "
+        text = before + said + " ; " + dice.choice(prose)
+        spans = pii.base_spans(text) + pii.added_spans(text, pii.base_spans(text))
+        want = (len(before), pii.KINDS.index({"glyphs": "email"}.get(kind, kind)), len(before) + len(said))
+        assert want in spans, (kind, said, [(k, text[a:b]) for a, k, b in spans])
+
+
+def test_one_spoken_digit_before_at_stays_alone():
+    text = "see page four at example dot com"
+    assert [text[a:b] for a, k, b in pii.added_spans(text, []) if k == 0] == ["four at example dot com"]

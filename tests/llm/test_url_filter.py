@@ -59,3 +59,37 @@ def test_one_sided_or_no_labels(spark):
     assert {r["verdict"] for r in uf.judge(df).collect()} == {"block"}
     assert uf.judge(df.filter("page_id = 1")).first()["verdict"] == "allow"
     assert uf.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_rules_join_as_few_do(spark):
+    rows = [(i, u, None, 1, "x") for i, u in enumerate(URLS * 2)]
+    filler = tuple(("block", f"site{i}.zz/p{i}") for i in range(300))
+    d = uf.lexical(spark.createDataFrame(rows, SCHEMA))
+    few = uf.with_rules(d, uf.RULES, 100).select("page_id", "rule", "_says").collect()
+    many = uf.with_rules(d, uf.RULES + filler, 100).select("page_id", "rule", "_says").collect()
+    assert sorted(map(str, few)) == sorted(map(str, many)) and len(many) == len(rows)
+
+
+def test_suffix_statistics_leave_the_own_fold_out(spark):
+    dice = random.Random(5)
+    rows = [(f"h{dice.randrange(40)}.{dice.choice(['aa', 'bb'])}", f"/{dice.choice('xyz')}", float(dice.randrange(2)) if i % 3 else None) for i in range(400)]
+    d = spark.createDataFrame(rows, "host string, path string, label double").selectExpr("*", "substring_index(host, '.', -1) AS _s1", "pmod(xxhash64(host), 5L) AS f")
+    all_rows = d.collect()
+    for r in uf.suffix_rates(d, "_s1", 0.4, uf.UrlParams()).collect():
+        seen = [x["label"] for x in all_rows if x["label"] is not None and x["_s1"] == r["_s1"] and (r["label"] is None or x["f"] != r["f"])]
+        assert abs(r["x_s1"] - (sum(seen) + 4) / (len(seen) + 10)) < 1e-9
+
+
+def test_hosts_held_out(spark):
+    """Verdicts on hosts that no rule names, learned from hosts that a rule does name."""
+    dice = random.Random(7)
+    hosts = [(f"track{dice.randrange(10**6)}.net{i}.zz", True) if i % 2 else (f"library.town{i}.zz", False) for i in range(120)]
+    rules = tuple(("block" if bad else "allow", f"{host}/") for host, bad in hosts[:80])
+    rows = []
+    for host, bad in hosts:
+        for _ in range(8):
+            tail = f"c/{dice.randrange(10**9)}?id={dice.randrange(10**6)}&u={dice.randrange(10**6)}&t=1" if bad else dice.choice(["about/us", "opening/hours", "catalogue", "contact"])
+            rows.append((len(rows), f"https://{host}/{tail}", None, 0, ""))
+    got = {r["page_id"]: r for r in uf.judge(spark.createDataFrame(rows, SCHEMA), uf.UrlParams(rules=rules)).collect()}
+    fresh = [(got[i]["verdict"] == "block", hosts[i // 8][1]) for i in range(640, len(rows))]
+    assert all(got[i]["rule"] is None for i in range(640, len(rows))) and sum(a == b for a, b in fresh) / len(fresh) > 0.95
