@@ -43,10 +43,10 @@ _POSTED = """posted AS (
 
 def _entries(old: bool) -> str:
     if old:
-        return "SELECT c_name AS path, 'file' AS kind, md5(c_mktsegment) AS hash, length(c_mktsegment) AS size FROM customer WHERE c_custkey <= 100"
-    body = "CASE WHEN c_custkey % 50 = 0 THEN 'X' ELSE c_mktsegment END"
-    return f"""SELECT CASE WHEN c_custkey BETWEEN 11 AND 20 THEN c_name || '-moved' ELSE c_name END AS path, CASE WHEN c_custkey % 33 = 0 THEN 'dir' ELSE 'file' END AS kind,
-      md5({body}) AS hash, length({body}) AS size FROM customer WHERE c_custkey > 10 AND c_custkey <= 110"""
+        return "SELECT c_name AS path, 'file' AS kind, md5(c_mktsegment || '#' || c_custkey) AS hash, length(c_mktsegment || '#' || c_custkey) AS size FROM customer WHERE c_acctbal < 9000"
+    body = "CASE WHEN c_custkey % 50 = 0 THEN 'X' ELSE c_mktsegment || '#' || c_custkey END"
+    return f"""SELECT CASE WHEN c_custkey % 17 = 0 THEN c_name || '-moved' ELSE c_name END AS path, CASE WHEN c_custkey % 33 = 0 THEN 'dir' ELSE 'file' END AS kind,
+      md5({body}) AS hash, length({body}) AS size FROM customer WHERE c_acctbal > -500"""
 
 
 _STATES = f"WITH o AS ({_entries(True)}), n AS ({_entries(False)})"
@@ -126,7 +126,7 @@ def oracle_sql() -> dict[str, str]:
             UNION SELECT root, g.dst, depth + 1 FROM walk JOIN g ON walk.node = g.src WHERE depth < 25),
           r AS (SELECT root, node, min(depth) AS depth FROM walk GROUP BY 1, 2)
           SELECT node, count(*) AS n_roots, min(depth) AS min_depth, string_agg(root::VARCHAR, ',' ORDER BY root) AS roots, count(*) = 1 AS exclusive FROM r GROUP BY node""",
-        "simple_paths": f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT n_nationkey::BIGINT AS node, [n_nationkey::BIGINT] AS hops FROM nation WHERE n_nationkey < 3
+        "simple_paths": f"""WITH RECURSIVE {_GRAPH}, walk AS (SELECT n_nationkey::BIGINT AS node, [n_nationkey::BIGINT] AS hops FROM nation
             UNION ALL SELECT g.dst, list_append(hops, g.dst) FROM walk JOIN g ON walk.node = g.src WHERE NOT list_contains(hops, g.dst) AND len(hops) < 4)
           SELECT node, array_to_string(hops, '>') AS hops FROM walk""",
         "reverse_edges": f"WITH {_GRAPH} SELECT dst, string_agg(src::VARCHAR, ',' ORDER BY src) AS sources FROM g GROUP BY dst",
@@ -138,7 +138,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT src AS node, least(src, min(dst)) AS component FROM reach GROUP BY src""",
         "dirty_targets": """WITH RECURSIVE b AS (SELECT DISTINCT p_brand, regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT AS k FROM part),
           deps AS (SELECT x.p_brand AS src, y.p_brand AS dst FROM b x JOIN b y ON x.k = y.k + 10),
-          w AS (SELECT target FROM (SELECT DISTINCT p_brand AS target FROM part WHERE lower(p_type) GLOB '*eco*' ORDER BY 1 LIMIT 3) UNION SELECT deps.src FROM w JOIN deps ON deps.dst = w.target)
+          w AS (SELECT target FROM (SELECT DISTINCT p_brand AS target FROM part WHERE p_brand GLOB '*#5?') UNION SELECT deps.src FROM w JOIN deps ON deps.dst = w.target)
           SELECT target FROM w""",
     }
     lenses = {
@@ -221,11 +221,11 @@ def oracle_sql() -> dict[str, str]:
           re AS (SELECT r_name AS path, sha256('dir:' || string_agg(path || '=' || hash, ';' ORDER BY path)) AS hash FROM na JOIN region ON n_regionkey = r_regionkey GROUP BY r_name)
           SELECT path, hash FROM na UNION ALL SELECT path, hash FROM re UNION ALL SELECT '/', sha256('dir:' || string_agg(path || '=' || hash, ';' ORDER BY path)) FROM re""",
         "prune_snapshots": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r <= 2",
-        "state_diff": """WITH s AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+        "state_diff": """WITH s AS (SELECT doc_id AS path, md5(text) AS h FROM documents WHERE n_chars < 6000), n AS (SELECT doc_id AS path, md5(CASE WHEN doc_id % 13 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE n_chars > 200)
           SELECT * FROM (SELECT coalesce(s.path, n.path) AS path, CASE WHEN s.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'gone' WHEN s.h <> n.h THEN 'changed' END AS state FROM s FULL JOIN n ON s.path = n.path) WHERE state IS NOT NULL""",
-        "delta_rows": """WITH a AS (SELECT user_id, event_type FROM events WHERE user_id % 3 <> 0), b AS (SELECT user_id, event_type FROM events WHERE user_id % 4 <> 0)
+        "delta_rows": """WITH a AS (SELECT user_id, event_type FROM events WHERE event_type <> 'click'), b AS (SELECT user_id, event_type FROM events WHERE event_type <> 'view')
           SELECT *, 'delete' AS op FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'insert' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
-        "replaced_files": "SELECT doc_id, source, CASE WHEN doc_id % 10 = 3 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
+        "replaced_files": "SELECT doc_id, source, CASE WHEN lang = 'de' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
         "pass_key": " UNION ALL ".join(_key(*x) for x in (("nation", ("n_nationkey", "n_name")), ("customer", ("c_custkey", "c_name", "c_mktsegment")), ("labels", ("doc_id", "quality")))),
         "line_limits": f"WITH {_LINES} SELECT item, n_lines, CASE WHEN n_lines > 20 THEN 'over' ELSE 'near' END AS verdict FROM lines WHERE n_lines >= {_CEILING}",
         "worst15": f"WITH {_LINES} SELECT item, n_lines, round(n_lines / 20.0::DOUBLE, 4) AS ratio FROM lines ORDER BY ratio DESC, item LIMIT 15",
@@ -235,10 +235,10 @@ def oracle_sql() -> dict[str, str]:
             FROM c FULL JOIN b ON c.item = b.item) WHERE verdict IS NOT NULL""",
     }
     code = {
-        "fold_always_maybe": """WITH w AS (SELECT o_custkey, o_orderkey, list(DISTINCT p_brand) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_custkey <= 60 GROUP BY 1, 2),
+        "fold_always_maybe": """WITH w AS (SELECT o_custkey, o_orderkey, list(DISTINCT p_brand) AS s FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
           g AS (SELECT o_custkey, list(s) AS ways FROM w GROUP BY 1)
           SELECT o_custkey, array_to_string(list_sort(list_reduce(ways, lambda x, y: list_intersect(x, y))), ',') AS always, array_to_string(list_sort(list_distinct(flatten(ways))), ',') AS maybe FROM g""",
-        "restrict_domain": f"""WITH r AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 THEN 'in' ELSE 'not_in' END AS op, list(DISTINCT o_orderpriority) AS m FROM orders WHERE o_custkey <= 100 GROUP BY 1, 2),
+        "restrict_domain": f"""WITH r AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 97 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 THEN 'in' ELSE 'not_in' END AS op, list(DISTINCT o_orderpriority) AS m FROM orders GROUP BY 1, 2),
           x AS (SELECT k, bool_or(op = 'unknown') AS u, any_value(m) FILTER (op = 'in') AS i, coalesce(any_value(m) FILTER (op = 'not_in'), []) AS o FROM r GROUP BY k),
           y AS (SELECT k, u, list_filter({_DOMAIN}, lambda v: (i IS NULL OR list_contains(i, v)) AND NOT list_contains(o, v)) AS a FROM x),
           z AS (SELECT k, u, a, list_filter({_DOMAIN}, lambda v: NOT list_contains(a, v)) AS e FROM y)
@@ -246,7 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "entity_keys": """WITH a AS (SELECT p_partkey, p_brand AS path, CASE WHEN count(*) OVER (PARTITION BY p_type) > 1 THEN p_type || '@' || p_brand ELSE p_type END AS k FROM part)
           SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN k || '~' || row_number() OVER (PARTITION BY k ORDER BY path, p_partkey) ELSE k END AS entity_key FROM a""",
         "duplicate_names": """WITH s AS (SELECT p_type, p_brand, string_agg(DISTINCT p_size::VARCHAR, ',' ORDER BY p_size::VARCHAR) AS m FROM part GROUP BY 1, 2) SELECT p_type, count(*) AS n_places, count(DISTINCT m) > 1 AS members_differ FROM s GROUP BY 1 HAVING count(*) >= 2""",
-        "decorator_args": "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ', ' ORDER BY l_linenumber, l_partkey::VARCHAR) AS args FROM lineitem WHERE l_orderkey <= 500 GROUP BY 1",
+        "decorator_args": "SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ', ' ORDER BY l_linenumber, l_partkey::VARCHAR) AS args FROM lineitem GROUP BY 1",
         "dead_candidates": f"""WITH f(path, qualname, name, cls, launched, decorated, wild) AS (VALUES {CODE['functions']}), up(src, dst) AS (VALUES ('D', 'C'), ('E', 'Outside'))
           SELECT path, qualname FROM f WHERE launched = 0 AND decorated = 0 AND wild = 0 AND NOT starts_with(name, '__') AND qualname <> 'g' AND name <> 'zzz'
           AND cls NOT IN (SELECT src FROM up WHERE dst NOT IN ('C', 'D', 'E')) AND NOT EXISTS (SELECT 1 FROM up JOIN f x ON x.cls = up.dst AND x.name = f.name WHERE up.src = f.cls)""",
@@ -260,14 +260,14 @@ def oracle_sql() -> dict[str, str]:
     path = "regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://', '')"
     bound = "CASE WHEN m = 1 THEN 'bound' WHEN m > 1 THEN 'ambiguous' ELSE 'missing' END"
     links = {
-        "name_links": f"""WITH u AS (SELECT DISTINCT l_orderkey AS src, CASE WHEN l_partkey % 7 = 0 THEN p_name || '?' ELSE p_name END AS name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey <= 400),
-          j AS (SELECT src, u.name, count(DISTINCT p_partkey) AS m, min(p_partkey) AS t FROM u LEFT JOIN part ON u.name = p_name AND p_partkey < 120 GROUP BY 1, 2)
+        "name_links": f"""WITH u AS (SELECT DISTINCT l_orderkey AS src, CASE WHEN l_partkey % 7 = 0 THEN p_name || '?' ELSE p_name END AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+          j AS (SELECT src, u.name, count(DISTINCT p_partkey) AS m, min(p_partkey) AS t FROM u LEFT JOIN part ON u.name = p_name GROUP BY 1, 2)
           SELECT src, name, CASE WHEN m = 1 THEN t END AS target, m AS matches, {bound} AS status FROM j""",
         "suffix_links": f"""WITH p AS (SELECT DISTINCT regexp_replace(url, '^[a-z]+://', '') AS path FROM pages),
           u AS (SELECT page_id AS src, CASE WHEN page_id % 5 = 0 THEN 'x' ELSE '' END || regexp_extract(url, '^[a-z]+://[^/]+/(.*)$', 1) AS suffix FROM pages),
           j AS (SELECT src, suffix, count(path) AS m FROM u LEFT JOIN p ON path = suffix OR ends_with(path, '/' || suffix) GROUP BY 1, 2)
           SELECT src, suffix, m AS matches, {bound} AS status FROM j""",
-        "dispatch_links": """SELECT event_id AS site, 'event' AS kind, event_type AS message, handler FROM events LEFT JOIN (VALUES ('error', 'Alert'), ('view', 'Count'), ('view', 'Log')) v(message, handler) ON message = event_type WHERE event_id < 300""",
+        "dispatch_links": """SELECT event_id AS site, 'event' AS kind, event_type AS message, handler FROM events LEFT JOIN (VALUES ('error', 'Alert'), ('view', 'Count'), ('view', 'Log')) v(message, handler) ON message = event_type""",
         "doc_code_names": """WITH d AS (SELECT DISTINCT p_name FROM part WHERE p_size < 20), c AS (SELECT DISTINCT p_name FROM part WHERE p_size > 40)
           SELECT coalesce(d.p_name, c.p_name) AS name, CASE WHEN c.p_name IS NULL THEN 'missing in code' WHEN d.p_name IS NULL THEN 'missing in doc' ELSE 'bound' END AS status FROM d FULL JOIN c ON d.p_name = c.p_name""",
         "dangling_refs": "SELECT l_partkey AS id, count(*) AS uses FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 45) GROUP BY 1",
@@ -281,27 +281,27 @@ def oracle_sql() -> dict[str, str]:
         "package_prefix": f"""WITH p AS (SELECT DISTINCT {path} AS path FROM pages), x AS (SELECT DISTINCT regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS prefix FROM p WHERE path LIKE '%/en/%' OR path LIKE '%/de/%')
           SELECT path, max(prefix) AS prefix FROM p JOIN x ON path = prefix OR starts_with(path, prefix || '/') GROUP BY path""",
         "carried_ids": "SELECT n_name, n_regionkey, n_nationkey AS pos, CASE WHEN n_nationkey < 15 THEN 'o:' || n_nationkey ELSE 'n:' || substr(md5(n_name || '|' || n_regionkey || '|1'), 1, 8) END AS id FROM nation WHERE n_nationkey > 5",
-        "shape_groups": "SELECT sha256('0:object:;1:number:k') AS shape, count(*) AS n FROM events WHERE event_id < 400",
+        "shape_groups": "SELECT sha256('0:object:;1:number:k') AS shape, count(*) AS n FROM events",
         "gate_chain": f"WITH {_TREE} SELECT t.owner, 3::BIGINT AS n, string_agg(t.value, ' > ' ORDER BY t.n) AS chain FROM tree t WHERE t.n < 3 AND t.last >= 3 GROUP BY t.owner",
         "unclaimed_paths": """SELECT page_id, path FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*', 0), '^[a-z]+://[^/]+', '') AS path FROM pages)
           WHERE NOT regexp_matches(lower(path), '^/en/.*$') AND NOT regexp_matches(lower(path), '^/de/[^/]*\\.html$') AND NOT regexp_matches(lower(path), '^/f[^/]/[^/]*$')""",
-        "reused_hashes": "SELECT event_id AS path, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 AND user_id < 60 THEN md5(event_id::VARCHAR) END AS hash FROM events WHERE event_id < 500",
+        "reused_hashes": "SELECT event_id AS path, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 AND user_id < 60 THEN md5(event_id::VARCHAR) END AS hash FROM events",
         "file_table_counts": "SELECT file, tbl, count(*) AS n FROM (SELECT c_nationkey::BIGINT AS file, 'customer' AS tbl FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier UNION ALL SELECT n_nationkey, 'nation' FROM nation) GROUP BY 1, 2",
         "id_lookup": " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c}::VARCHAR AS cell FROM orders WHERE o_orderkey = 7 AND {c}::VARCHAR <> ''" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")),
         "rebased_baseline": "SELECT source || '/' || lang AS item, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) >= 18",
         "run_totals": "SELECT count(*) AS files, count(quality) AS mapped, count(*) FILTER (quality IS NULL) AS unmapped, coalesce(max(CASE WHEN toxic = 1 THEN 2 WHEN quality = 0 THEN 1 ELSE 0 END), 0)::BIGINT AS exit_code FROM documents LEFT JOIN labels USING (doc_id)",
         "dependents_reread": f"WITH {_GRAPH} SELECT src AS node FROM g WHERE dst IN (1, 2, 3) UNION SELECT n_nationkey FROM nation WHERE n_nationkey IN (1, 2, 3)",
-        "disjunction": """WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority AS p, o_orderkey % 3 AS k FROM orders WHERE o_custkey <= 80 AND o_orderkey % 3 < 2), b AS (SELECT o_custkey FROM a GROUP BY 1 HAVING count(DISTINCT k) = 2)
+        "disjunction": """WITH a AS (SELECT DISTINCT o_custkey, o_orderpriority AS p, o_orderkey % 3 AS k FROM orders WHERE o_orderkey % 3 < 2), b AS (SELECT o_custkey FROM a GROUP BY 1 HAVING count(DISTINCT k) = 2)
           SELECT o_custkey, string_agg(DISTINCT p, ',' ORDER BY p) AS members FROM a WHERE o_custkey IN (SELECT o_custkey FROM b) GROUP BY 1""",
     }
     indexes = {
         "magic_numbers": """SELECT l_quantity::BIGINT AS number, count(*) AS uses FROM lineitem WHERE l_quantity::BIGINT NOT IN (0, 1, -1, 2) AND l_linenumber NOT IN (1, 2) GROUP BY 1""",
-        "list_readers": """SELECT DISTINCT 'orders' AS table_name, o_custkey::VARCHAR AS row_key FROM orders WHERE o_custkey <= 200 AND o_orderpriority ILIKE '%UR%'
-          UNION ALL SELECT 'part', p_partkey::VARCHAR FROM part WHERE p_partkey < 200 AND len(list_filter(string_split(p_name, ' '), lambda x: x ILIKE '%UR%')) > 0""",
-        "key_sections": """WITH r AS (SELECT event_id AS place, 'n' || (user_id % 7) AS name, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN event_type || '.x' END AS value, CASE WHEN event_id % 4 = 2 THEN 'n' || (user_id % 9) END AS reads FROM events WHERE event_id < 200),
+        "list_readers": """SELECT DISTINCT 'orders' AS table_name, o_custkey::VARCHAR AS row_key FROM orders WHERE o_orderpriority ILIKE '%UR%'
+          UNION ALL SELECT 'part', p_partkey::VARCHAR FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda x: x ILIKE '%UR%')) > 0""",
+        "key_sections": """WITH r AS (SELECT event_id AS place, 'n' || (user_id % 7) AS name, CASE WHEN event_id % 4 = 0 THEN event_type WHEN event_id % 4 = 1 THEN event_type || '.x' END AS value, CASE WHEN event_id % 4 = 2 THEN 'n' || (user_id % 9) END AS reads FROM events),
           a AS (SELECT 'spelled' AS section, place, name FROM r WHERE value = 'view' UNION ALL SELECT 'built', place, name FROM r WHERE starts_with(value, 'view.'))
           SELECT * FROM a UNION ALL SELECT 'read', place, reads FROM r WHERE reads IN (SELECT name FROM a)""",
-        "inverted_index": "SELECT p_name, count(*) AS n, string_agg(p_brand, ',' ORDER BY p_brand) AS holders FROM (SELECT DISTINCT p_name, p_brand FROM part WHERE p_partkey < 300) GROUP BY 1",
+        "inverted_index": "SELECT p_name, count(*) AS n, string_agg(p_brand, ',' ORDER BY p_brand) AS holders FROM (SELECT DISTINCT p_name, p_brand FROM part) GROUP BY 1",
         "topological_levels": f"""{_CLOSURE}, nodes AS (SELECT src AS node FROM g UNION SELECT dst FROM g),
           comp AS (SELECT node, coalesce((SELECT min(a.dst) FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node) AS c FROM nodes),
           between_ AS (SELECT DISTINCT p.c AS a, q.c AS b FROM g JOIN comp p ON p.node = src JOIN comp q ON q.node = dst WHERE p.c <> q.c),
@@ -310,7 +310,7 @@ def oracle_sql() -> dict[str, str]:
         "atlas": r"""WITH r AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS boundary, regexp_extract(url, '^[a-z]+://[^/]+(/[^/]*)', 1) AS route FROM pages)
           SELECT regexp_extract(boundary, '([^.]*\.[^.]*)$', 1) AS project, count(*) AS rows, count(DISTINCT route) AS routes, count(DISTINCT boundary) AS boundaries FROM r GROUP BY 1""".replace("\\\\", "\\"),
         "longest_sections": "SELECT source, lang, chars, rank FROM (SELECT source, lang, sum(n_chars)::BIGINT AS chars, row_number() OVER (PARTITION BY source ORDER BY sum(n_chars) DESC, lang) AS rank FROM documents GROUP BY 1, 2) WHERE rank <= 2",
-        "inherited_properties": f"{_CLOSURE}, base AS (SELECT s_nationkey AS node, 'p' || (s_suppkey % 5) AS property FROM supplier WHERE s_suppkey < 40) SELECT node, property FROM base UNION SELECT src, property FROM reach JOIN base ON dst = node",
+        "inherited_properties": f"{_CLOSURE}, base AS (SELECT s_nationkey AS node, 'p' || (s_suppkey % 5) AS property FROM supplier) SELECT node, property FROM base UNION SELECT src, property FROM reach JOIN base ON dst = node",
     }
     links["freshness"] = f"SELECT state, count(*) AS n, min(path) AS first FROM ({states['state_diff']}) GROUP BY 1"
     return {**indexes, **links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
