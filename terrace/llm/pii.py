@@ -83,7 +83,7 @@ for _zero in (0x0660, 0x06F0, 0x0966):  # digits of other scripts
     _one |= {_zero + i: chr(48 + i) for i in range(10)}
 #: Characters that show nothing.
 INVISIBLE = "​‌‍⁠﻿­"
-_odd = re.compile("[" + "".join(map(chr, sorted(_one))).replace("-", r"\-") + INVISIBLE + "]")
+_odd = frozenset(map(chr, _one)) | frozenset(INVISIBLE)
 _hidden = re.compile(f"[{INVISIBLE}]")
 
 #: Digits as words in the four languages, from 0 to 9.
@@ -96,14 +96,14 @@ _dot_words = "dot|point|punkt|punto"
 _at_words = "at|arroba|arobase|klammeraffe"
 #: Words that repeat the digit after them.
 _times = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
-_word_digit |= {f"{word}{gap}{digit}": d * n for word, n in _times.items() for digit, d in tuple(_word_digit.items()) for gap in (" ", "-")}
-_token = "|".join(sorted(_word_digit, key=len, reverse=True))
+_simple = "|".join(sorted(_word_digit, key=len, reverse=True))
+_token = rf"(?:(?:{'|'.join(_times)})[ -])?(?:{_simple})"
 _o, _c = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
 _boxed = rf"\s{{0,3}}{_o}(?:{_dot_words}|\.){_c}\s{{0,3}}"
 _between = rf"(?:{_boxed}|[\s,.()-]{{1,4}}(?:(?:{_dot_words})\s+)?)"
 _spelled = re.compile(rf"(?i)(?:\bplus\s+|\+\s*)?(?<![^\W_])(?:{_token}|[0-9]+)(?:{_between}(?:{_token}|[0-9]+)(?![^\W_]))+")
 # Every run with a spelled digit has one before or after another digit, else a dot is a word or in brackets.
-_spelled_hint = re.compile(rf"(?i)(?<![^\W_])(?:{_token}){_between}(?:{_token}|[0-9])")
+_spelled_hint = re.compile(rf"(?i)(?<![^\W_])(?:{_simple}){_between}(?:{_token}|[0-9])")
 _number_hint = re.compile(rf"(?i)[0-9](?:{_between}(?:{_token})(?![^\W_])|(?:{_boxed}|[\s,.()-]{{1,4}}(?:{_dot_words})\s+)[0-9])")
 _disguised_dot = re.compile(rf"(?i)\b(?:{_dot_words})\b|{_o}\.{_c}")
 _piece = re.compile(rf"(?i)(\bplus\b|\+)|({_token})|([0-9]+)|(\b(?:{_dot_words})\b|\.)")
@@ -142,8 +142,9 @@ def _digits(run: str) -> tuple[str, list[tuple[int, int]], bool]:
         if m[2]:
             if before > 1:
                 group(m.start())
-            for c in _word_digit[m[2].lower()]:
-                out.append(c), spans.append(m.span())
+            *times, word = m[2].lower().replace("-", " ").split(" ")
+            for _ in range(_times[times[0]] if times else 1):
+                out.append(_word_digit[word]), spans.append(m.span())
             spelled, before = True, 1
         elif m[3]:
             if len(m[3]) > 1 or before > 1:  # a number of several digits is a group of its own
@@ -174,7 +175,7 @@ def _local_start(view: str, end: int) -> int:
 
 _spoken = re.compile(rf"(?i)(?:(?<=\s)|(?<![^\W_]))(?:{_token})\Z")
 _name_before = re.compile(r"[A-Za-z][A-Za-z0-9._%+-]*\s{1,3}\Z")
-_widest = max(map(len, _word_digit))
+_widest = max(map(len, _word_digit)) + max(map(len, _times)) + 1
 
 
 def _spoken_start(view: str, start: int, end: int) -> int:
@@ -199,7 +200,7 @@ def _spoken_start(view: str, start: int, end: int) -> int:
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """What only the normalised view shows, in source offsets, apart from spans inside a base span of the kind."""
     found: list[Span] = []
-    view, kept = (text, None) if text.isascii() or not _odd.search(text) else _visible(text)
+    view, kept = (text, None) if text.isascii() or _odd.isdisjoint(text) else _visible(text)
     plain = base
     if view is not text:
         found += (plain := base_spans(view))
