@@ -82,10 +82,9 @@ def best_match(df: DataFrame, path: str, wanted: str) -> DataFrame:
     """Exact, else tail at a folder, else unique substring; no rows where the best level is ambiguous."""
     p = F.col(path)
     level = F.when(p == wanted, 0).when(p.endswith("/" + wanted), 1).when(p.contains(wanted), 2)
-    ranked = df.withColumn("_level", level).filter("_level IS NOT NULL")
-    every = Window.partitionBy(F.lit(1))
-    best = ranked.withColumn("_best", F.min("_level").over(every)).filter("_level = _best")
-    return best.withColumn("_n", F.count(F.lit(1)).over(every)).filter("_n = 1").drop("_level", "_best", "_n")
+    ranked = df.select(level.alias("_level"), F.struct(*df.columns).alias("_row")).filter("_level IS NOT NULL")
+    levels = ranked.groupBy("_level").agg(F.count(F.lit(1)).alias("_n"), F.first("_row").alias("_row"))  # three rows at most
+    return levels.orderBy("_level").limit(1).filter("_n = 1").select(*(F.col("_row")[c].alias(c) for c in df.columns))
 
 
 def top_with_rest(df: DataFrame, value: str, key: str, k: int) -> DataFrame:

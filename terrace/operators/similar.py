@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def identical(df: DataFrame, key: str, text: str) -> DataFrame:
-    """digest, n, size, places of texts that occur at least twice."""
-    groups = df.filter(F.col(text).isNotNull()).groupBy(F.md5(text).alias("digest"))
-    return groups.agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.char_length(text)).cast("long").alias("size"), F.sort_array(F.collect_list(key)).alias("p")
-    ).filter("n >= 2").select("digest", "n", "size", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("places"))
+    """digest, n, size, place: a row for each place of the texts that occur at least twice, n times in all.
+
+    No group is gathered: a text that a third of all rows share is counted by partial sums.
+    """
+    rows = df.filter(F.col(text).isNotNull()).select(F.md5(text).alias("digest"), F.char_length(text).cast("long").alias("size"), F.col(key).alias("place"))
+    groups = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
+    return rows.join(groups, "digest").select("digest", "n", "size", "place")
 
 
 def shingle_sets(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -45,9 +47,15 @@ def near_copies(df: DataFrame, key: str, text: str, least_shared: int = 3, perce
 
 
 def copied_lines(df: DataFrame, key: str, text: str, width: int = 20) -> DataFrame:
-    """line, n_places, places: lines of at least width characters in two places or more; of those with the same places the widest."""
+    """line, n_places, place: a row for each place of the lines of at least width characters in two places or more.
+
+    Of lines with the same places the widest stays; sets of places are compared by their count and
+    two sums of hashes, never gathered.
+    """
     lines = df.select(F.col(key).alias("doc"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("line"))
-    groups = lines.filter(F.char_length(F.trim("line")) >= width).groupBy("line").agg(F.sort_array(F.collect_list("doc")).alias("p")).filter(F.size("p") >= 2)
+    wide = lines.filter(F.char_length(F.trim("line")) >= width)
+    sums = [F.sum(F.xxhash64("doc", F.lit(i)).cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2)]
+    groups = wide.groupBy("line").agg(F.count(F.lit(1)).alias("n_places"), *sums).filter("n_places >= 2")
     widest = F.min(F.struct((-F.char_length("line")).alias("w"), F.col("line").alias("line")))
-    best = groups.groupBy("p").agg(widest.alias("b"))
-    return best.select(F.col("b.line").alias("line"), F.size("p").cast("long").alias("n_places"), F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("places"))
+    best = groups.groupBy("n_places", "s1", "s2").agg(widest.alias("b")).select(F.col("b.line").alias("line"), "n_places")
+    return wide.join(best, "line").select("line", "n_places", F.col("doc").alias("place"))

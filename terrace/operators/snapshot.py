@@ -59,10 +59,10 @@ def replace_files(stored: DataFrame, fresh: DataFrame, moved: DataFrame, file: s
 
 
 def pass_key(df: DataFrame, columns: list[str]) -> DataFrame:
-    """n_rows, key: an order-free digest of the columns a pass reads, summed so that no rows are collected."""
+    """n_rows, key: an order-free digest of the columns a pass reads: two sums of 60-bit hashes, so that no rows are collected."""
     cells = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
-    part = F.conv(F.substring(F.md5(cells), 1, 8), 16, 10).cast("long")
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(part), F.lit(0)).alias("key"))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(F.md5(cells), at, 15), 16, 10).cast("decimal(28,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws("-", part(1), part(16)).alias("key"))
 
 
 def reuse_hash(entries: DataFrame, stored: DataFrame) -> DataFrame:

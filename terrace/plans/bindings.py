@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.catalog import TABLES, Catalog
-from terrace.functions.semantics import glob_match, tokens, upper_median
-from terrace.operators import code, folds, fulltext, gate, graph, indexes, lenses, links, nodes, overlap, routes, similar, snapshot
+from terrace.functions.semantics import clip, content_hash, glob_match, head, lenient_double, number_key, quoted, tail, tokens
+from terrace.operators import code, folds, fulltext, gate, graph, indexes, lenses, links, nodes, overlap, routes, similar, snapshot, stats
 
 Query = Callable[[Catalog], DataFrame]
 _registry: dict[str, Query] = {}
@@ -412,8 +412,7 @@ def best_sets(t: Catalog) -> DataFrame:
 
 @query
 def stage_stats(t: Catalog) -> DataFrame:
-    values = F.collect_list("value")
-    return t["events"].groupBy("event_type").agg(F.count(F.lit(1)).alias("runs"), upper_median(values).alias("median"), F.max("value").alias("max"), F.round(F.sum("value"), 4).alias("total"))
+    return stats.stage_stats(t["events"], "event_type", "value")
 
 
 @query
@@ -424,8 +423,7 @@ def untraced_time(t: Catalog) -> DataFrame:
 
 @query
 def metrics_tally(t: Catalog) -> DataFrame:
-    slowest = F.max(F.struct(F.col("l_extendedprice"), F.concat_ws(":", "l_orderkey", "l_linenumber")))["col2"]
-    return t["lineitem"].groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"), F.max("l_extendedprice").alias("most"), slowest.alias("slowest"))
+    return stats.tally(t["lineitem"], "l_returnflag", "l_extendedprice", "l_orderkey", "l_linenumber")
 
 
 # --- snapshots ---------------------------------------------------------------------------------
@@ -793,3 +791,41 @@ def longest_sections(t: Catalog) -> DataFrame:
 def inherited_properties(t: Catalog) -> DataFrame:
     base = t["supplier"].select(F.col("s_nationkey").cast("long").alias("node"), F.concat(F.lit("p"), F.col("s_suppkey") % 5).alias("property"))
     return indexes.spread(base, _cut_graph(t))
+
+
+# --- value semantics ---------------------------------------------------------------------------
+
+
+@query
+def clipped_texts(t: Catalog) -> DataFrame:
+    return t["documents"].select("doc_id", clip("text", 40).alias("cell"))
+
+
+@query
+def number_keys(t: Catalog) -> DataFrame:
+    """Sizes spelled with and without leading zeros meet under one key; brands stay texts."""
+    p = t["part"]
+    spelled = p.select(F.lpad(F.col("p_size").cast("string"), 4, "0").alias("v")).union(p.select(F.col("p_size").cast("string"))).union(p.select("p_brand"))
+    return spelled.groupBy(number_key("v").alias("key")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("v").alias("spellings"))
+
+
+@query
+def content_hashes(t: Catalog) -> DataFrame:
+    return t["documents"].select("doc_id", content_hash("text").alias("hash"))
+
+
+@query
+def lenient_numbers(t: Catalog) -> DataFrame:
+    cells = t["part"].select("p_brand", tail("p_brand", "#").alias("after")).union(t["part"].select("p_brand", "p_type"))
+    return cells.groupBy("p_brand").agg(F.sum(lenient_double("after")).alias("total"))
+
+
+@query
+def name_parts(t: Catalog) -> DataFrame:
+    host = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    return t["pages"].select("page_id", head(host).alias("first"), tail(host).alias("last"), quoted(host).alias("literal"))
+
+
+@query
+def best_path(t: Catalog) -> DataFrame:
+    return lenses.best_match(t["nation"].select("n_nationkey", "n_name"), "n_name", "N_7")

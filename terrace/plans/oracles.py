@@ -85,7 +85,8 @@ def _chance(doc: str, x: str, codes: str, y: str) -> str:
 
 def _key(table: str, columns: tuple[str, ...]) -> str:
     cells = ", ".join(f"coalesce({c}::VARCHAR, chr(0))" for c in columns)
-    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), {cells})), 1, 8))::BIGINT), 0)::BIGINT AS key FROM {table}"
+    part = lambda at: f"coalesce(sum(('0x' || substr(md5(concat_ws(chr(31), {cells})), {at}, 15))::BIGINT), 0)::VARCHAR"
+    return f"SELECT '{table}' AS table_name, count(*) AS n_rows, {part(1)} || '-' || {part(16)} AS key FROM {table}"
 
 
 _CEILING = 18
@@ -171,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "anti_customers": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     }
     copies = {
-        "identical_docs": "SELECT md5(text) AS digest, count(*) AS n, max(length(text)) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS places FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2",
+        "identical_docs": "SELECT digest, n, size, place FROM (SELECT md5(text) AS digest, count(*) OVER (PARTITION BY md5(text)) AS n, length(text) AS size, doc_id AS place FROM documents WHERE text IS NOT NULL) WHERE n >= 2",
         "near_copies": """WITH w AS (SELECT doc_id AS doc, md5(text) AS digest, string_split(lower(text), ' ') AS w FROM documents),
           sh AS (SELECT DISTINCT doc, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM w WHERE len(w) >= 5),
           size AS (SELECT doc, count(*) AS n FROM sh GROUP BY doc), ok AS (SELECT s FROM sh GROUP BY s HAVING count(*) BETWEEN 2 AND 50),
@@ -180,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
           JOIN w u ON u.doc = a JOIN w v ON v.doc = b WHERE u.digest <> v.digest AND shared * 100 // (p.n + q.n - shared) >= 75""",
         "copied_lines": """WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
           g AS (SELECT line, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS places, count(*) AS n_places FROM l WHERE length(trim(line, ' ')) >= 20 GROUP BY line HAVING count(*) >= 2)
-          SELECT line, n_places, places FROM (SELECT *, row_number() OVER (PARTITION BY places ORDER BY length(line) DESC, line) AS r FROM g) WHERE r = 1""",
+          SELECT line, n_places, doc_id AS place FROM (SELECT *, row_number() OVER (PARTITION BY places ORDER BY length(line) DESC, line) AS r FROM g) JOIN l USING (line) WHERE r = 1""",
     }
     text = {
         "fulltext_and": f"WITH {_POSTED} SELECT doc FROM posted WHERE token IN ('the', 'license') GROUP BY doc HAVING count(DISTINCT token) = 2",
@@ -313,4 +314,15 @@ def oracle_sql() -> dict[str, str]:
         "inherited_properties": f"{_CLOSURE}, base AS (SELECT s_nationkey AS node, 'p' || (s_suppkey % 5) AS property FROM supplier) SELECT node, property FROM base UNION SELECT src, property FROM reach JOIN base ON dst = node",
     }
     links["freshness"] = f"SELECT state, count(*) AS n, min(path) AS first FROM ({states['state_diff']}) GROUP BY 1"
-    return {**indexes, **links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
+    values = {
+        "clipped_texts": "SELECT doc_id, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '...[+' || (length(text) - 40) || ' chars]' ELSE text END AS cell FROM documents",
+        "number_keys": """WITH v AS (SELECT lpad(p_size::VARCHAR, 4, '0') AS v FROM part UNION ALL SELECT p_size::VARCHAR FROM part UNION ALL SELECT p_brand FROM part)
+          SELECT coalesce('#' || TRY_CAST(v AS DOUBLE)::VARCHAR, v) AS key, count(*) AS n, count(DISTINCT v) AS spellings FROM v GROUP BY 1""",
+        "content_hashes": "SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents",
+        "lenient_numbers": """SELECT p_brand, sum(coalesce(TRY_CAST(c AS DOUBLE), 0.0)) AS total FROM (SELECT p_brand, regexp_extract(p_brand, '([^#]*)$', 1) AS c FROM part UNION ALL SELECT p_brand, p_type FROM part) GROUP BY 1""",
+        "name_parts": """WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS h FROM pages)
+          SELECT page_id, split_part(h, '.', 1) AS first, split_part(h, '.', -1) AS last, chr(39) || replace(h, chr(39), chr(39) || chr(39)) || chr(39) AS literal FROM h""",
+        "best_path": """WITH l AS (SELECT n_nationkey, n_name, CASE WHEN n_name = 'N_7' THEN 0 WHEN ends_with(n_name, '/N_7') THEN 1 WHEN contains(n_name, 'N_7') THEN 2 END AS level FROM nation)
+          SELECT n_nationkey, n_name FROM l WHERE level = (SELECT min(level) FROM l) AND (SELECT count(*) FROM l WHERE level = (SELECT min(level) FROM l)) = 1""",
+    }
+    return {**values, **indexes, **links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
