@@ -57,16 +57,15 @@ def reach_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return fixpoint(seed, step, ["root", "node"])
 
 
-def simple_paths(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
-    """node, hops: every cycle-free path of at most so many nodes from a start, as its list of nodes.
+def simple_paths(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """node, hops: every cycle-free path of at most so many nodes (any number without a bound) from a start, as its list of nodes.
 
     Each round adds one edge, so no path beyond the bound is ever made.
     """
     front = cut(starts.select("node", F.array("node").alias("hops")))
-    every = front
-    for _ in range(most - 1):
-        if front.isEmpty():
-            break
+    every, nodes = front, 1
+    while (most is None or nodes < most) and not front.isEmpty():
+        nodes += 1
         front = cut(front.join(edges, F.col("node") == F.col("src")).filter(~F.array_contains("hops", F.col("dst"))).select(F.col("dst").alias("node"), F.concat("hops", F.array("dst")).alias("hops")))
         every = every.unionByName(front)
     return every

@@ -60,6 +60,7 @@ def test_graphs_end_on_cycles(spark):
     one = spark.createDataFrame([(1,)], "node long")
     assert {tuple(r) for r in graph.hops(e, one, 2).collect()} == {(1, 0), (2, 1), (3, 2)}
     assert {r["node"]: len(r["hops"]) for r in graph.simple_paths(e, one).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert {r["node"]: len(r["hops"]) for r in graph.simple_paths(e, one, most=2).collect()} == {1: 1, 2: 2}
     assert graph.closure(e.filter("src > 9")).count() == 0
     got = {r["target"] for r in graph.dirty(spark.createDataFrame([(4,)], "target long"), e).collect()}
     assert got == {1, 2, 3, 4}
@@ -156,3 +157,24 @@ def test_json_is_byte_stable(spark):
 
     df = spark.createDataFrame([(2, "b"), (1, "a")], "z int, a string")
     assert [json.loads(r["value"]) for r in sorted_json(df, ["z"]).collect()] == [{"a": "a", "z": 1}, {"a": "b", "z": 2}]
+
+
+def test_upper_median_equals_sorting(spark):
+    from terrace.operators import stats
+
+    dice = __import__("random").Random(8)
+    rows = [(dice.choice("abc"), dice.choice([dice.random() * 100, float(dice.randrange(4)), None])) for _ in range(700)] + [("one", 5.0), ("same", 2.0), ("same", 2.0), (None, 1.0), (None, 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {}
+    for g in {g for g, v in rows if v is not None}:
+        values = sorted(v for k, v in rows if k == g and v is not None)
+        want[g] = values[len(values) // 2]
+    for bins in (1, 7, 1024):
+        assert {r["g"]: r["median"] for r in stats.upper_median(df, "g", "v", bins).collect()} == want
+    assert stats.upper_median(df.filter("false"), "g", "v").count() == 0
+
+
+def test_best_match_levels(spark):
+    rows = spark.createDataFrame([(1, "a/b/c.py"), (2, "x/c.py"), (3, "c.pyx"), (4, "d")], "_n long, path string")
+    pick = lambda wanted: [tuple(r) for r in lenses.best_match(rows, "path", wanted).collect()]
+    assert pick("d") == [(4, "d")] and pick("b/c.py") == [(1, "a/b/c.py")] and pick("c.py") == [] and pick("pyx") == [(3, "c.pyx")] and pick("nowhere") == []
