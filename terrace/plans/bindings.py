@@ -294,7 +294,7 @@ def connected_groups(t: Catalog) -> DataFrame:
 @query
 def dirty_targets(t: Catalog) -> DataFrame:
     p = t["part"]
-    start = p.filter(glob_match("p_brand", "*#5?")).select(F.col("p_brand").alias("target"))
+    start = p.filter(glob_match("p_brand", "*#2?")).select(F.col("p_brand").alias("target"))
     brands = p.select("p_brand").distinct()
     digits = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("long")
     deps = brands.select(F.col("p_brand").alias("src"), digits.alias("k")).join(brands.select(F.col("p_brand").alias("dst"), (digits + 10).alias("k")), "k").select("src", "dst")

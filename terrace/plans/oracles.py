@@ -139,7 +139,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT src AS node, least(src, min(dst)) AS component FROM reach GROUP BY src""",
         "dirty_targets": """WITH RECURSIVE b AS (SELECT DISTINCT p_brand, regexp_extract(p_brand, '(\\d+)$', 1)::BIGINT AS k FROM part),
           deps AS (SELECT x.p_brand AS src, y.p_brand AS dst FROM b x JOIN b y ON x.k = y.k + 10),
-          w AS (SELECT target FROM (SELECT DISTINCT p_brand AS target FROM part WHERE p_brand GLOB '*#5?') UNION SELECT deps.src FROM w JOIN deps ON deps.dst = w.target)
+          w AS (SELECT target FROM (SELECT DISTINCT p_brand AS target FROM part WHERE p_brand GLOB '*#2?') UNION SELECT deps.src FROM w JOIN deps ON deps.dst = w.target)
           SELECT target FROM w""",
     }
     lenses = {
