@@ -2,11 +2,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from terrace.llm import packing
 
+FAST, SLOW = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), packing.encoder("byte_bpe_50k.json", None)
+
 
 @given(st.dictionaries(st.integers(1, 40), st.integers(1, 25), max_size=12))
 @settings(max_examples=200, deadline=None)
@@ -37,9 +41,21 @@ def test_plan_is_best_fit_decreasing(counts):
 
 
 def test_ranks_give_the_tokenizer_ids():
-    fast, slow = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"), packing.encoder("byte_bpe_50k.json", None)
     for text in ("", "Hello  world\n\n x", "a<|endoftext|>b", "éß漢字 😀", "1234567 " * 50, "x" * 5000, " \t\r\n" * 300, "don't I'LL"):
-        assert np.array_equal(fast(text), slow(text)), text
+        assert np.array_equal(FAST(text), SLOW(text)), text
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_every_document_has_the_tokenizer_ids(sf):
+    """The merge ranks and the tokenizer file agree on whole texts, not only on hand-made ones."""
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        assert np.array_equal(FAST(text or ""), SLOW(text or "")), (text or "")[:200]
+
+
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'aZ9é漢😀")), max_size=120))
+@settings(max_examples=300, deadline=None)
+def test_any_text_has_the_tokenizer_ids(text):
+    assert np.array_equal(FAST(text), SLOW(text))
 
 
 def test_pieces_and_places(spark):
