@@ -63,3 +63,21 @@ def test_every_hash_below_the_fraction_is_kept():
     p = fp.SketchParams(least=4)
     s = fp.sketch(words(3000, 5), p)
     assert s.bound == int(fp._ALL) // p.scale and len(s.hashes) > 100
+
+
+def _exact(a, b):
+    """Jaccard similarity of the sets of 16-character shingles; a shorter text is its own shingle."""
+    sets = [{t[i : i + 16] for i in range(len(t) - 15)} if len(t) >= 16 else {t} if t else set() for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_likeness_is_exact_for_short_texts_and_near_for_long_ones():
+    off = []
+    for seed in range(60):
+        a, b = words(4 + seed % 5, seed)[:63], words(4 + seed % 7, seed)[:60]
+        assert fp.compare(fp.sketch(a), fp.sketch(b))[0] == pytest.approx(_exact(a, b))
+        long = words(2000, seed)
+        third = len(long) // 3
+        edited = long[: len(long) - third] + words(2000, seed + 500)[:third]
+        off.append(fp.compare(fp.sketch(long), fp.sketch(edited))[0] - _exact(long, edited))
+    assert (sum(x * x for x in off) / len(off)) ** 0.5 < 0.08 and abs(sum(off) / len(off)) < 0.03
