@@ -92,3 +92,34 @@ def format_holes(column: Column | str) -> Column:
 
 def content_hash(column: Column | str, width: int = 16) -> Column:
     return F.substring(F.sha2(column, 256), 1, width)
+
+
+def indented(depth: Column | str, text: Column | str) -> Column:
+    """The text behind two blanks per level."""
+    d = F.col(depth) if isinstance(depth, str) else depth
+    return F.concat(F.repeat(F.lit("  "), d.cast("int")), F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+
+
+def member_of(json: Column | str, role: str) -> Column:
+    """An object's member by its role as text; null where the text is no object or lacks it."""
+    return F.try_variant_get(F.try_parse_json(json), f"$['{role}']", "string")
+
+
+def top_level_args(column: Column | str) -> Column:
+    """The generic arguments of a type, cut at commas outside inner brackets; null where the text has none.
+
+    A fold over the characters with the nesting as its state, so that it stays in generated code.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    inner = F.regexp_extract(c, "(?s)^[^<]*<(.*)>$", 1)
+    state = F.struct(F.lit(0).alias("deep"), F.lit("").alias("piece"), F.array().cast("array<string>").alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        deep = F.when(x.isin("<", "[", "("), s["deep"] + 1).when(x.isin(">", "]", ")"), F.greatest(s["deep"] - 1, F.lit(0))).otherwise(s["deep"])
+        at_comma = (x == ",") & (s["deep"] == 0)
+        piece = F.when(at_comma, F.lit("")).otherwise(F.concat(s["piece"], x))
+        done = F.when(at_comma, F.array_append(s["done"], F.trim(s["piece"]))).otherwise(s["done"])
+        return F.struct(deep.alias("deep"), piece.alias("piece"), done.alias("done"))
+
+    args = F.aggregate(F.split(inner, ""), state, step, lambda s: F.array_append(s["done"], F.trim(s["piece"])))
+    return F.when(c.rlike("(?s)^[^<]*<.*>$"), args)

@@ -56,3 +56,91 @@ def match(calls: DataFrame, endpoints: list[tuple[str, str, str]]) -> DataFrame:
     w = Window.partitionBy("call_id")
     best = found.withColumn("m", F.max("literal_hits").over(w)).filter("literal_hits = m")
     return best.select("call_id", "endpoint", "literal_hits", F.when(F.count(F.lit(1)).over(w) == 1, "exact").otherwise("ambiguous").alias("how"))
+
+
+#: The verbs a documented route may start with.
+VERBS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+
+
+def route_parts(df: DataFrame, route: str) -> DataFrame:
+    """df with verb (null for none or ANY) and segs: lower-cased, {} for a parameter, {}? for an optional one, no query."""
+    text = F.trim(route)
+    first = F.upper(F.substring_index(text, " ", 1))
+    spoken = text.contains(" ") & first.isin(*VERBS, "ANY")
+    rest = F.lower(F.regexp_extract(F.when(spoken, F.trim(F.regexp_replace(text, r"^\S+", ""))).otherwise(text), r"^([^?]*(?:\?\}[^?]*)*)", 1))
+    segment = lambda s: F.when(s.contains("{") & s.endswith("?}"), "{}?").when(s.contains("{") | s.startswith(":"), "{}").otherwise(s)
+    segs = F.transform(F.filter(F.split(rest, "/"), lambda s: (s != "") & (s != "~")), segment)
+    return df.withColumn("verb", F.when(spoken & (first != "ANY"), first)).withColumn("segs", segs)
+
+
+def same_endpoints(endpoints: DataFrame, documented: DataFrame) -> DataFrame:
+    """endpoint, fact: documented routes (fact, route) that are an endpoint's (endpoint, route).
+
+    An optional segment may be there or not, an endpoint's parameter takes any one segment, verbs agree where
+    both have one. Optional segments are expanded by a fold over the segments, and the join is on the
+    number of segments and the first literal one, the rest a residual.
+    """
+    one = F.array(F.array().cast("array<string>"))
+    add = lambda all_, s: F.transform(all_, lambda v: F.array_append(v, s))
+    grown = F.aggregate("segs", one, lambda acc, s: F.when(s == "{}?", F.concat(acc, add(acc, F.lit("{}")))).otherwise(add(acc, s)))
+    code = route_parts(endpoints, "route").select("endpoint", F.col("verb").alias("_cv"), F.explode(F.array_distinct(grown)).alias("_c"))
+    head = F.when(F.get("_c", F.lit(0)) == "{}", F.lit(None)).otherwise(F.get("_c", F.lit(0)))
+    code = code.withColumns({"_n": F.size("_c"), "_h": head})
+    fact = route_parts(documented, "route").select("fact", F.col("verb").alias("_fv"), F.transform("segs", lambda s: F.when(s == "{}?", "{}").otherwise(s)).alias("_f"))
+    fact = fact.withColumns({"_n": F.size("_f"), "_h": F.get("_f", F.lit(0))})
+    same = F.forall(F.zip_with("_c", "_f", lambda c, f: (c == "{}") | (c == f)), lambda x: x) & (F.col("_cv").isNull() | F.col("_fv").isNull() | (F.col("_cv") == F.col("_fv")))
+    by_head = code.filter("_h IS NOT NULL").join(fact, ["_n", "_h"])
+    by_size = code.filter("_h IS NULL").drop("_h").join(fact.drop("_h"), "_n")
+    pairs = lambda df: df.filter(same).select("endpoint", "fact")
+    return pairs(by_head).unionByName(pairs(by_size)).distinct()
+
+
+def fold_urls(parts: DataFrame) -> DataFrame:
+    """owner, url: url expressions folded to patterns, from parts (owner, ord, kind, value).
+
+    kind is `literal`, `param` ({}), `unknown` (*), or `name`, which stands for the url of the owner
+    called value. Owners are settled in rounds, those first whose names all are; owners that wait for
+    each other, or for a name nobody has, read as * there.
+    """
+    from terrace.session import cut
+
+    own = F.when(F.col("kind") == "literal", F.col("value")).when(F.col("kind") == "param", "{}").when(F.col("kind") == "unknown", "*")
+    rows = cut(parts.select("owner", "ord", "value", own.alias("text")))
+    known = rows.select(F.col("owner").alias("value")).distinct()
+    lost = rows.filter("text IS NULL").join(known, "value", "left_anti").select("owner", "ord").withColumn("_lost", F.lit("*"))
+    rows = rows.join(lost, ["owner", "ord"], "left").select("owner", "ord", "value", F.coalesce("text", "_lost").alias("text"))
+    whole = lambda df: df.groupBy("owner").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("url"))
+    done = None
+    while True:
+        open_ = rows.filter("text IS NULL").select("owner").distinct()
+        settled = cut(whole(rows.join(open_, "owner", "left_anti")))
+        done = settled if done is None else cut(done.unionByName(settled))
+        if settled.isEmpty() or open_.isEmpty():
+            break
+        urls = settled.select(F.col("owner").alias("value"), "url")
+        rows = rows.join(open_, "owner").join(urls, "value", "left").select("owner", "ord", "value", F.coalesce("text", "url").alias("text"))
+        rows = cut(rows)
+    stuck = rows.join(done.select("owner"), "owner", "left_anti").withColumn("text", F.coalesce("text", F.lit("*")))
+    return done.unionByName(whole(stuck))
+
+
+def derive_endpoints(classes: DataFrame, actions: DataFrame) -> DataFrame:
+    """cls, action, verb, route: what each concrete class serves by attribute.
+
+    classes (cls, base, route, abstract): a class without a route takes its nearest base's. actions
+    (owner, action, verb, template) are served by their owner and by every class below it. `[controller]`
+    is the class name without Controller, lower-cased; a template from the root replaces the class route.
+    """
+    from terrace.operators.graph import fixpoint
+
+    up = classes.select(F.col("cls").alias("_m"), F.col("base").alias("_b")).filter("_b IS NOT NULL")
+    seed = classes.select("cls", F.col("cls").alias("anc"), F.lit(0).alias("d"))
+    step = lambda new: new.join(up, F.col("anc") == F.col("_m")).select("cls", F.col("_b").alias("anc"), (F.col("d") + 1).alias("d"))
+    line = fixpoint(seed, step, ["cls", "anc"])
+    routed = classes.filter("route IS NOT NULL").select(F.col("cls").alias("anc"), F.col("route").alias("_r"))
+    nearest = line.join(routed, "anc").groupBy("cls").agg(F.min_by("_r", "d").alias("_route"))
+    serving = line.join(classes.filter("NOT abstract").select("cls"), "cls", "left_semi").join(actions.withColumnRenamed("owner", "anc"), "anc").join(nearest, "cls", "left")
+    name = F.lower(F.regexp_replace("cls", "Controller$", ""))
+    rooted = F.col("template").startswith("/") | F.col("template").startswith("~/")
+    text = F.when(rooted, F.regexp_replace("template", "^~?/", "")).otherwise(F.concat_ws("/", F.col("_route"), F.when(F.col("template") != "", F.col("template"))))
+    return serving.select("cls", "action", "verb", F.lower(F.replace(F.lower(text), F.lit("[controller]"), name)).alias("route"))

@@ -21,6 +21,8 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from terrace.plans import derived  # noqa: F401  registers its own
+
     return {name: (lambda spark, folder, f=f: f(Catalog(spark, folder))) for name, f in _registry.items()}
 
 

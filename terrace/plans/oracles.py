@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from terrace.catalog import TABLES
 from terrace.plans.bindings import CODE, SETS
+from terrace.plans.derived import SQL
 
 _TREE = """tree0 AS (
   SELECT r_regionkey::BIGINT AS owner, NULL::BIGINT AS a, NULL::BIGINT AS b, NULL::BIGINT AS c, 'region' AS role, r_name AS value, 0 AS depth FROM region
@@ -325,4 +326,8 @@ def oracle_sql() -> dict[str, str]:
         "best_path": """WITH l AS (SELECT n_nationkey, n_name, CASE WHEN n_name = 'N_7' THEN 0 WHEN ends_with(n_name, '/N_7') THEN 1 WHEN contains(n_name, 'N_7') THEN 2 END AS level FROM nation)
           SELECT n_nationkey, n_name FROM l WHERE level = (SELECT min(level) FROM l) AND (SELECT count(*) FROM l WHERE level = (SELECT min(level) FROM l)) = 1""",
     }
-    return {**values, **indexes, **links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}
+    tree = {
+        "first_child_value": f"WITH {_TREE}, k AS (SELECT owner, parent, arg_min(value, n) AS customer FROM tree WHERE role = 'customer' GROUP BY 1, 2) SELECT t.owner, t.n, customer FROM tree t LEFT JOIN k ON k.owner = t.owner AND k.parent = t.n",
+        "node_outline": f"WITH {_TREE} SELECT owner, n, repeat('  ', depth) || coalesce(value, '') AS line FROM tree",
+    }
+    return {**SQL, **tree, **values, **indexes, **links, **lenses, **nodes, **joins, **graphs, **copies, **text, **sets, **states, **code}

@@ -9,17 +9,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: One wide relation; `tbl` says which table a row belongs to.
-SCHEMA = "tbl string, path string, line long, end_line long, name string, qualname string, cls string, detail string, position long"
+#: One wide relation; `tbl` says which table a row belongs to. `site` is the line:column of a call, for its arguments too;
+#: `mode` of an argument is '' by position, =name by keyword, * or ** for a splat, of a parameter '', kwonly, * or **.
+SCHEMA = "tbl string, path string, line long, end_line long, name string, qualname string, cls string, detail string, position long, site string, mode string"
 
 
 class _Rows(ast.NodeVisitor):
     def __init__(self, path: str):
         self.path, self.rows, self.scope, self.cls = path, [], [], ""
 
-    def add(self, tbl: str, node: ast.AST, name: str = "", detail: str = "", position: int = 0, qualname: str | None = None) -> None:
+    def add(self, tbl: str, node: ast.AST, name: str = "", detail: str = "", position: int = 0, qualname: str | None = None, site: str = "", mode: str = "") -> None:
         q = ".".join([*self.scope, name]) if qualname is None else qualname
-        self.rows.append((tbl, self.path, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0, name, q, self.cls, detail, position))
+        self.rows.append((tbl, self.path, getattr(node, "lineno", 0), getattr(node, "end_lineno", 0) or 0, name, q, self.cls, detail, position, site, mode))
 
     def visit_Import(self, node: ast.Import) -> None:
         for a in node.names:
@@ -40,9 +41,10 @@ class _Rows(ast.NodeVisitor):
         a = node.args
         plain = [*a.posonlyargs, *a.args]
         defaults = [None] * (len(plain) - len(a.defaults)) + list(a.defaults)
-        every = [*zip(plain, defaults, strict=True), *zip(a.kwonlyargs, a.kw_defaults, strict=True)]
-        for i, (p, d) in enumerate(every):
-            self.add("parameters", p, p.arg, ast.unparse(d) if d is not None else "", i, ".".join([*self.scope, node.name]))
+        every = [*((p, d, "") for p, d in zip(plain, defaults, strict=True)), *((p, d, "kwonly") for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True))]
+        every += [(p, None, mode) for p, mode in ((a.vararg, "*"), (a.kwarg, "**")) if p]
+        for i, (p, d, mode) in enumerate(every):
+            self.add("parameters", p, p.arg, ast.unparse(d) if d is not None else "", i, ".".join([*self.scope, node.name]), mode=mode)
         self._inside(node, "")
 
     visit_AsyncFunctionDef = visit_FunctionDef
@@ -60,9 +62,12 @@ class _Rows(ast.NodeVisitor):
         self.scope.pop()
 
     def visit_Call(self, node: ast.Call) -> None:
-        self.add("calls", node, ast.unparse(node.func), str(len(node.args)), 0, ".".join(self.scope))
+        site, scope, func = f"{node.lineno}:{node.col_offset}", ".".join(self.scope), ast.unparse(node.func)
+        self.add("calls", node, func, str(len(node.args)), 0, scope, site)
         for i, x in enumerate(node.args):
-            self.add("arguments", x, ast.unparse(node.func), ast.unparse(x), i, ".".join(self.scope))
+            self.add("arguments", x, func, ast.unparse(x), i, scope, site, "*" if isinstance(x, ast.Starred) else "")
+        for i, k in enumerate(node.keywords, len(node.args)):
+            self.add("arguments", k, func, ast.unparse(k.value), i, scope, site, f"={k.arg}" if k.arg else "**")
         self.generic_visit(node)
 
     def visit_Return(self, node: ast.Return) -> None:
@@ -89,10 +94,10 @@ def extract(path: str, text: str) -> list[tuple]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, RecursionError) as problem:
-        return [("files", path, 0, text.count("\n") + 1, path, "", "", f"error: {type(problem).__name__}", 0)]
+        return [("files", path, 0, text.count("\n") + 1, path, "", "", f"error: {type(problem).__name__}", 0, "", "")]
     rows = _Rows(path)
     rows.visit(tree)
-    return [("files", path, 0, text.count("\n") + 1, path, "", "", ast.get_docstring(tree) or "", 0), *rows.rows]
+    return [("files", path, 0, text.count("\n") + 1, path, "", "", ast.get_docstring(tree) or "", 0, "", ""), *rows.rows]
 
 
 def facts(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
