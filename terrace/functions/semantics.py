@@ -123,3 +123,17 @@ def top_level_args(column: Column | str) -> Column:
 
     args = F.aggregate(F.split(inner, ""), state, step, lambda s: F.array_append(s["done"], F.trim(s["piece"])))
     return F.when(c.rlike("(?s)^[^<]*<.*>$"), args)
+
+
+def normal_path(column: Column | str) -> Column:
+    """The path without `.`, empty and `..` segments that have a folder to leave; a rooted path cannot leave its root."""
+    c = F.col(column) if isinstance(column, str) else column
+    rooted = c.startswith("/")
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        up = F.when(last.isNotNull() & (last != ".."), F.slice(done, F.lit(1), F.size(done) - 1)).when(rooted, done).otherwise(F.array_append(done, s))
+        return F.when(s.isin("", "."), done).when(s == "..", up).otherwise(F.array_append(done, s))
+
+    text = F.array_join(F.aggregate(F.split(c, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(rooted, F.concat(F.lit("/"), text)).when(text == "", ".").otherwise(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,16 +11,25 @@ from pyspark.sql import functions as F
 from terrace.session import cut
 
 
+#: Rounds whose rows are kept as parts of their own before they are written as one.
+PARTS = 8
+
+
 def fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     """Semi-naive iteration: rows of step(new rows) whose keys are unseen, until none are left.
 
-    Lineage is cut each round in the shared checkpoint folder.
+    Each round writes its new rows only, to the shared checkpoint folder; what was seen is the
+    union of the rounds, written as one now and then so that its plan stays short.
     """
-    seen = delta = cut(seed.dropDuplicates(keys))
+    delta = cut(seed.dropDuplicates(keys))
+    parts = [delta]
     while not delta.isEmpty():
+        seen = reduce(DataFrame.unionByName, parts)
         delta = cut(step(delta).dropDuplicates(keys).join(seen.select(*keys), keys, "left_anti"))
-        seen = cut(seen.unionByName(delta))
-    return seen
+        parts.append(delta)
+        if len(parts) > PARTS:
+            parts = [cut(reduce(DataFrame.unionByName, parts))]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -42,11 +52,51 @@ def hops(edges: DataFrame, start: DataFrame, k: int, direction: str = "out") ->
     return seen
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component: the smallest node of each strongly connected component of two nodes or more.
+
+    Forward-backward colouring. Nodes without an edge in or out are trimmed first. Then every node takes
+    the least node that reaches it as its colour, and those of a colour that reach that node are its component.
+    No pairs of nodes are made: state is one colour per node and the edges still open.
+    """
+    open_ = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    found = None
+    while True:
+        while True:  # trim
+            kept = cut(open_.join(open_.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(open_.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            if kept.count() == open_.count():
+                break
+            open_ = kept
+        if open_.isEmpty():
+            break
+        colour = cut(open_.select(F.col("src").alias("node"), F.col("src").alias("c")).distinct())
+        while True:
+            offered = open_.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("_o"))
+            nxt = cut(colour.join(offered, "node", "left").select("node", F.least("c", "_o").alias("c"), (F.col("_o") < F.col("c")).alias("_moved")))
+            moved = not nxt.filter("_moved").isEmpty()
+            colour = nxt.select("node", "c")
+            if not moved:
+                break
+        inside = cut(
+            open_.join(colour.select(F.col("node").alias("src"), F.col("c").alias("_a")), "src")
+            .join(colour.select(F.col("node").alias("dst"), F.col("c").alias("_b")), "dst").filter("_a = _b").select("src", "dst")
+        )
+        back = lambda new: new.join(inside, F.col("node") == F.col("dst")).select(F.col("src").alias("node"), "component")
+        settled = fixpoint(colour.filter("node = c").select("node", F.col("c").alias("component")), back, ["node"])
+        found = settled if found is None else cut(found.unionByName(settled))
+        gone = settled.select("node")
+        open_ = cut(open_.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("component")
+    return found.join(sizes, "component", "left_semi").select("node", "component")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """node, component: nodes on a cycle and the smallest node of their strongly connected component."""
-    reach = closure(edges)
-    mutual = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    return mutual.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    """node, component: nodes on a cycle and the smallest node of their strongly connected component; an edge to itself is a cycle."""
+    large = strong_components(edges)
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct().join(large, "node", "left_anti")
+    return large.unionByName(loops.select("node", F.col("node").alias("component")))
 
 
 def reach_from(edges: DataFrame, roots: DataFrame) -> DataFrame:

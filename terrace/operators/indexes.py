@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.functions.semantics import fragment
-from terrace.operators.graph import closure, fixpoint
+from terrace.operators.graph import fixpoint, strong_components
 from terrace.operators.lenses import union_all
+from terrace.session import cut
 
 
 def magic_numbers(rows: DataFrame, value: str, use: str) -> DataFrame:
@@ -43,18 +46,26 @@ def inverted(rows: DataFrame, item: str, holder: str) -> DataFrame:
 def topological_level(edges: DataFrame) -> DataFrame:
     """node, level: longest chain of components below each node; nodes of one cycle share a level.
 
-    The level of a node is the number of distinct cycle-free components on its longest way down,
-    found by raising levels along the edges between components until nothing changes.
+    The condensed graph is peeled: a round settles the components that point at nothing open any more,
+    so the rounds are the levels and every edge is read until its lower end is settled.
     """
-    reach = closure(edges)
+    edges = cut(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    mutual = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"]).groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("c"))
-    comp = nodes.join(mutual, "node", "left").select("node", F.coalesce("c", "node").alias("c"))
-    between = edges.join(comp.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(comp.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").filter("a <> b").select("a", "b").distinct()
-    seed = comp.select(F.col("c").alias("comp"), F.lit(0).cast("long").alias("level")).distinct()
-    step = lambda new: new.join(between, F.col("comp") == F.col("b")).select(F.col("a").alias("comp"), (F.col("level") + 1).alias("level"))
-    levels = fixpoint(seed, step, ["comp", "level"]).groupBy("comp").agg(F.max("level").alias("level"))
-    return comp.join(levels, F.col("c") == F.col("comp")).select("node", "level")
+    comp = cut(nodes.join(strong_components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+    of = lambda end, name: comp.select(F.col("node").alias(end), F.col("c").alias(name))
+    between = cut(edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").filter("a <> b").select("a", "b").distinct())
+    open_, levels, level = comp.select("c").distinct(), [], 0
+    while True:
+        low = cut(open_.join(between.select(F.col("a").alias("c")).distinct(), "c", "left_anti").withColumn("level", F.lit(level).cast("long")))
+        if low.isEmpty():
+            break
+        levels.append(low)
+        open_ = cut(open_.join(low.select("c"), "c", "left_anti"))
+        between = cut(between.join(low.select(F.col("c").alias("b")), "b", "left_anti"))
+        level += 1
+    if not levels:
+        return comp.select("node", F.lit(0).cast("long").alias("level"))
+    return comp.join(reduce(DataFrame.unionByName, levels), "c").select("node", "level")
 
 
 def atlas(rows: DataFrame, project: str, route: str, boundary: str) -> DataFrame:
@@ -69,7 +80,7 @@ def longest_sections(rows: DataFrame, doc: str, section: str, lines: str, k: int
 
 
 def spread(base: DataFrame, extends: DataFrame) -> DataFrame:
-    """node, property: own properties and those of every ancestor (extends: src extends dst)."""
-    up = closure(extends)
-    inherited = up.join(base.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "property")
-    return base.select("node", "property").union(inherited).distinct()
+    """node, property: own properties and those of every ancestor (extends: src extends dst), handed down level by level."""
+    down = extends.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
+    step = lambda new: new.join(down, F.col("node") == F.col("_d")).select(F.col("_s").alias("node"), "property")
+    return fixpoint(base.select("node", "property"), step, ["node", "property"])

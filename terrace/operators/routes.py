@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,33 +29,59 @@ def variants(pattern: str) -> list[list[str]]:
     return [list(x) for x in dict.fromkeys(lists)]
 
 
-def match(calls: DataFrame, endpoints: list[tuple[str, str, str]]) -> DataFrame:
-    """call_id, endpoint, literal_hits, how: each call's best endpoints (id, verb, pattern).
+def all_forms(segments: Column | str) -> Column:
+    """Every segment list that a pattern stands for: each {}? present as {} or absent, equal lists once."""
+    add = lambda lists, s: F.transform(lists, lambda v: F.array_append(v, s))
+    grow = lambda acc, s: F.when(s == "{}?", F.array_distinct(F.concat(add(acc, F.lit("{}")), acc))).otherwise(add(acc, s))
+    return F.aggregate(segments, F.array(F.array().cast("array<string>")), grow)
 
-    A call (call_id, verb, segs) meets an endpoint of as many segments, segment by segment equal or
-    {}, with the same verb or ANY on either side. Only the most literal, then most
-    parameter, hits stay; none without a literal hit. Endpoints are a parameter list, so the
-    test is one expression per variant, evaluated in place: no join, no shuffle but the last.
+
+def pattern_segments(pattern: Column | str) -> Column:
+    """Lower-cased segments without empty ones; {} for a parameter, {}? for an optional one."""
+    hole = lambda s: F.when(s.contains("{") & s.endswith("?}"), "{}?").when(s.contains("{"), "{}").otherwise(s)
+    return F.transform(F.filter(F.split(F.lower(pattern), "/"), lambda s: s != ""), hole)
+
+
+def call_segments(url: Column | str) -> Column:
+    """Lower-cased segments of a call: scheme and host cut, a leading `*x` read as `*` and `x`."""
+    path = F.regexp_replace(F.lower(url), "^https?://[^/]*", "")
+    return F.filter(F.split(F.regexp_replace(path, r"^\*(?=[^/])", "*/"), "/"), lambda s: s != "")
+
+
+def match(calls: DataFrame, endpoints: DataFrame | list[tuple[str, str, str]]) -> DataFrame:
+    """call_id, endpoint, literal_hits, how: the best endpoints (endpoint, verb, pattern) of each call (call_id, verb, segs).
+
+    A call meets an endpoint of as many segments, each equal or {} on either side, * in the endpoint or in
+    the call's segment, with the same verb or ANY on either side; a leading * stands for any base path, or
+    none. Only the hits with most literal, then most parameter, segments stay; none without a literal one.
+    A hit shares a literal at some place from the end, so candidates come from an equality join on
+    (place, literal) and any number of endpoints is one plan.
     """
-    hits = []
-    for name, verb, pattern in endpoints:
-        for segs in variants(pattern):
-            same = F.size("segs") == len(segs)
-            verbs = F.lit(True) if verb == "ANY" else (F.col("verb") == verb) | (F.col("verb") == "ANY")
-            literal, holes = 0, 0
-            for i, s in enumerate(segs):
-                c = F.get("segs", F.lit(i))
-                if s == "{}":
-                    holes += 1
-                else:
-                    same = same & (c == s)
-                    literal += 1
-            if literal:
-                hits.append(F.when(same & verbs, F.struct(F.lit(name).alias("endpoint"), F.lit(literal).cast("long").alias("literal_hits"))))
-    found = calls.select("call_id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h")).select("call_id", "h.*").distinct()
+    if isinstance(endpoints, list):
+        forms = [(name, verb, i, form) for name, verb, pattern in endpoints for i, form in enumerate(variants(pattern))]
+        form = calls.sparkSession.createDataFrame(forms, "endpoint string, _ev string, _form int, _v array<string>")
+    else:
+        form = endpoints.select("endpoint", F.col("verb").alias("_ev"), F.posexplode(all_forms(pattern_segments("pattern"))).alias("_form", "_v"))
+    starred = (F.get("segs", F.lit(0)) == "*") & (F.size("segs") > 1)
+    call = calls.select("call_id", F.col("verb").alias("_cv"), starred.alias("_star"), F.when(starred, F.slice("segs", F.lit(2), F.size("segs"))).otherwise(F.col("segs")).alias("_b"))
+    literal = lambda s: ~s.contains("{") & ~s.contains("*")
+
+    def keyed(df: DataFrame, segs: str) -> DataFrame:
+        """A row per literal segment with its place from the end."""
+        placed = F.transform(F.reverse(segs), lambda s, i: F.struct(i.alias("_place"), s.alias("_literal")))
+        return df.withColumn("_k", F.explode(F.filter(placed, lambda x: literal(x["_literal"])))).select("*", "_k.*").drop("_k")
+
+    long_enough = (F.size("_b") == F.size("_v")) | (F.col("_star") & (F.size("_b") < F.size("_v")))
+    verbs = (F.col("_ev") == F.col("_cv")) | (F.col("_ev") == "ANY") | (F.col("_cv") == "ANY")
+    near = keyed(call, "_b").join(keyed(form, "_v"), ["_place", "_literal"]).filter(long_enough & verbs).dropDuplicates(["call_id", "_cv", "endpoint", "_form"])
+    tail = F.slice("_v", F.size("_v") - F.size("_b") + 1, F.size("_b"))
+    meets = F.forall(F.zip_with("_b", tail, lambda c, e: (c == e) | (c == "{}") | (e == "{}") | (e == "*") | c.contains("*")), lambda x: x)
+    count = lambda test: F.size(F.filter(F.zip_with("_b", tail, test), lambda x: x)).cast("long")
+    scored = near.filter(meets).select("call_id", "endpoint", F.struct(count(lambda c, e: (c == e) & literal(c)).alias("l"), count(lambda c, e: (c == "{}") & (e == "{}")).alias("p")).alias("s"))
+    found = scored.groupBy("call_id", "endpoint").agg(F.max("s").alias("s")).filter("s.l > 0")
     w = Window.partitionBy("call_id")
-    best = found.withColumn("m", F.max("literal_hits").over(w)).filter("literal_hits = m")
-    return best.select("call_id", "endpoint", "literal_hits", F.when(F.count(F.lit(1)).over(w) == 1, "exact").otherwise("ambiguous").alias("how"))
+    best = found.withColumn("m", F.max("s").over(w)).filter("s = m")
+    return best.select("call_id", "endpoint", F.col("s.l").alias("literal_hits"), F.when(F.count(F.lit(1)).over(w) == 1, "exact").otherwise("ambiguous").alias("how"))
 
 
 #: The verbs a documented route may start with.
@@ -80,10 +106,7 @@ def same_endpoints(endpoints: DataFrame, documented: DataFrame) -> DataFrame:
     both have one. Optional segments are expanded by a fold over the segments, and the join is on the
     number of segments and the first literal one, the rest a residual.
     """
-    one = F.array(F.array().cast("array<string>"))
-    add = lambda all_, s: F.transform(all_, lambda v: F.array_append(v, s))
-    grown = F.aggregate("segs", one, lambda acc, s: F.when(s == "{}?", F.concat(acc, add(acc, F.lit("{}")))).otherwise(add(acc, s)))
-    code = route_parts(endpoints, "route").select("endpoint", F.col("verb").alias("_cv"), F.explode(F.array_distinct(grown)).alias("_c"))
+    code = route_parts(endpoints, "route").select("endpoint", F.col("verb").alias("_cv"), F.explode(all_forms("segs")).alias("_c"))
     head = F.when(F.get("_c", F.lit(0)) == "{}", F.lit(None)).otherwise(F.get("_c", F.lit(0)))
     code = code.withColumns({"_n": F.size("_c"), "_h": head})
     fact = route_parts(documented, "route").select("fact", F.col("verb").alias("_fv"), F.transform("segs", lambda s: F.when(s == "{}?", "{}").otherwise(s)).alias("_f"))

@@ -6,14 +6,16 @@ question's answer for the independent engine, from the way the rows were made wh
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrace.catalog import Catalog
-from terrace.functions.semantics import indented, member_of, top_level_args
+from terrace.functions.semantics import format_holes, indented, member_of, normal_path, top_level_args
 from terrace.operators import appgraph, binding, correlated, declared, paths, refresh, restrictions, routes, sqlshape
 from terrace.plans.bindings import query, trade_tree
-from terrace.sources import python_code
+from terrace.sources import documents, files, python_code
 
 SQL: dict[str, str] = {}
 
@@ -91,8 +93,8 @@ SQL["unwaived_findings"] = f"""WITH l AS ({_LINES}), m AS (SELECT path, line FRO
 
 @query
 def tracked_files(t: Catalog) -> DataFrame:
-    files = rows(t, "customer", FILES)
-    return paths.tracked(files.filter("id % 9 <> 0"), files.filter("id % 4 <> 0"))
+    known = rows(t, "customer", FILES)
+    return paths.tracked(known.filter("id % 9 <> 0"), known.filter("id % 4 <> 0"))
 
 
 SQL["tracked_files"] = f"""SELECT path, CASE WHEN id % 4 = 0 THEN 'deleted' WHEN id % 9 = 0 THEN 'untracked' ELSE 'tracked' END AS state
@@ -101,8 +103,8 @@ SQL["tracked_files"] = f"""SELECT path, CASE WHEN id % 4 = 0 THEN 'deleted' WHEN
 
 @query
 def doc_path_claims(t: Catalog) -> DataFrame:
-    files = rows(t, "nation", "path = 'root/src/' || n_nationkey || '.py'", "n_nationkey % 2 = 0")
-    return paths.path_claims(rows(t, "nation", CLAIMS), "id", "text", files)
+    there = rows(t, "nation", "path = 'root/src/' || n_nationkey || '.py'", "n_nationkey % 2 = 0")
+    return paths.path_claims(rows(t, "nation", CLAIMS), "id", "text", there)
 
 
 SQL["doc_path_claims"] = """SELECT n_nationkey AS id, 'src/' || n_nationkey || '.py' AS claim, n_nationkey % 2 = 0 AS exists FROM nation
@@ -568,11 +570,11 @@ SQL["broken_files"] = f"SELECT {CODE_PATH} AS path, md5(c_name) AS stored_hash,
 
 @query
 def stale_maps(t: Catalog) -> DataFrame:
-    files = rows(t, "nation", "map = n_regionkey\npath = n_name\nmtime = n_nationkey")
-    then = files.filter("mtime < 22").groupBy("map").agg(F.collect_list("path").alias("p"))
+    now = rows(t, "nation", "map = n_regionkey\npath = n_name\nmtime = n_nationkey")
+    then = now.filter("mtime < 22").groupBy("map").agg(F.collect_list("path").alias("p"))
     part = lambda at: F.expr(f"string(aggregate(p, cast(0 AS decimal(38,0)), (a, x) -> cast(a + cast(conv(substring(md5(x), {at}, 15), 16, 10) AS decimal(28,0)) AS decimal(38,0))))")
     recorded = then.select("map", F.concat_ws("-", F.size("p").cast("string"), part(1), part(16)).alias("file_set")).withColumn("built", F.lit(23))
-    return refresh.stale(recorded, files, rows(t, "region", "map = r_regionkey\ntool_mtime = r_regionkey * 10\nbaseline_mtime = 27 - r_regionkey"))
+    return refresh.stale(recorded, now, rows(t, "region", "map = r_regionkey\ntool_mtime = r_regionkey * 10\nbaseline_mtime = 27 - r_regionkey"))
 
 
 SQL["stale_maps"] = """SELECT r_regionkey AS map, concat_ws(',', CASE WHEN max(n_nationkey) > 23 THEN 'source' END, CASE WHEN max(n_nationkey) >= 22 THEN 'files' END,
@@ -679,3 +681,180 @@ def py_bound_through(t: Catalog) -> DataFrame:
 SQL["py_bound_through"] = """SELECT 'pkg/m' || a.s_suppkey || '.py' AS path, 'pkg/m' || b.s_suppkey || '.py' AS file FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1
   UNION SELECT 'pkg/m' || s_suppkey || '.py', 'pkg/hub' || s_suppkey % 3 || '.py' FROM supplier UNION SELECT 'pkg/m' || s_suppkey || '.py', 'pkg/m' || s_suppkey % 3 || '.py' FROM supplier
   UNION SELECT 'pkg/hub' || s_suppkey || '.py', 'pkg/m' || s_suppkey || '.py' FROM supplier WHERE s_suppkey < 3"""
+
+# --- sources -----------------------------------------------------------------------------------
+
+CALLS = "call_id = c_custkey\nverb = CASE WHEN c_custkey % 5 = 0 THEN 'PUT' ELSE 'GET' END\nurl = CASE c_custkey % 3 WHEN 0 THEN 'https://h.example/' WHEN 1 THEN '*' ELSE '/' END || 'Api/nation_' || c_nationkey || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE '/{}' END"
+
+
+@query
+def route_base_match(t: Catalog) -> DataFrame:
+    calls = rows(t, "customer", CALLS)
+    endpoints = rows(t, "nation", "endpoint = 'short' || n_nationkey\nverb = 'GET'\npattern = '/api/' || n_name || '/{id?}'").unionByName(rows(t, "nation", "endpoint = 'long' || n_nationkey\nverb = 'ANY'\npattern = 'v1/{area}/api/' || n_name || '/{id}'"))
+    return routes.match(calls.select("call_id", "verb", routes.call_segments("url").alias("segs")), endpoints)
+
+
+SQL["route_base_match"] = """WITH m AS (SELECT c_custkey AS call_id, unnest(CASE WHEN c_custkey % 5 = 0 THEN [] ELSE ['short'] END || CASE WHEN c_custkey % 3 = 1 AND c_custkey % 4 <> 0 THEN ['long'] ELSE [] END) || c_nationkey AS endpoint FROM customer)
+  SELECT call_id, endpoint, 2::BIGINT AS literal_hits, CASE WHEN count(*) OVER (PARTITION BY call_id) = 1 THEN 'exact' ELSE 'ambiguous' END AS how FROM m"""
+
+RECORD = "value = CASE o_orderkey % 4 WHEN 0 THEN 'MAP-STEP|s' || o_orderkey || '|' || o_orderstatus WHEN 1 THEN 'MAP-FINDING|f|' || o_custkey || '|a|b|c|d' WHEN 2 THEN 'MAP-NONE|x' ELSE 'other' END"
+
+
+@query
+def plugin_records(t: Catalog) -> DataFrame:
+    return files.record_lines(rows(t, "orders", RECORD))
+
+
+SQL["plugin_records"] = """SELECT 'STEP' AS kind, 's' || o_orderkey AS f1, o_orderstatus AS f2, NULL::VARCHAR AS f3, NULL::VARCHAR AS f4, NULL::VARCHAR AS f5 FROM orders WHERE o_orderkey % 4 = 0
+  UNION ALL SELECT 'FINDING', 'f', o_custkey::VARCHAR, 'a', 'b', 'c|d' FROM orders WHERE o_orderkey % 4 = 1"""
+
+
+@query
+def plugin_unfinished(t: Catalog) -> DataFrame:
+    return files.unfinished(files.record_lines(rows(t, "orders", RECORD)))
+
+
+SQL["plugin_unfinished"] = "SELECT 'half-finished output' AS finding"
+
+TRACE_LINE = """value = CASE WHEN o_orderkey % 10 = 0 THEN '{"resourceSpans": [' ELSE '{"resourceSpans":[{"scopeSpans":[{"spans":[{"traceId":"t' || o_orderkey || '","spanId":"r' || o_orderkey || '","name":"run","startTimeUnixNano":"1700000000000000000","endTimeUnixNano":"17000000' || (10 + o_orderkey % 9) || '000000000"},{"traceId":"t' || o_orderkey || '","spanId":"c' || o_orderkey || '","parentSpanId":"r' || o_orderkey || '","name":"step","startTimeUnixNano":"1700000000000000001","endTimeUnixNano":"1700000001000000001"}]}]}]}' END"""
+_SPANS = """SELECT 't' || o_orderkey AS trace_id, 'r' || o_orderkey AS span_id, NULL::VARCHAR AS parent_id, 'run' AS name, 1000.0 * (10 + o_orderkey % 9) AS ms FROM orders WHERE o_orderkey % 10 <> 0
+  UNION ALL SELECT 't' || o_orderkey, 'c' || o_orderkey, 'r' || o_orderkey, 'step', 1000.0 FROM orders WHERE o_orderkey % 10 <> 0"""
+
+
+@query
+def trace_spans(t: Catalog) -> DataFrame:
+    return files.spans(rows(t, "orders", TRACE_LINE))
+
+
+SQL["trace_spans"] = f"SELECT trace_id, span_id, parent_id, name, ms::DOUBLE AS ms FROM ({_SPANS})"
+
+
+@query
+def trace_counts(t: Catalog) -> DataFrame:
+    return files.torn_lines(rows(t, "orders", TRACE_LINE))
+
+
+SQL["trace_counts"] = "SELECT count(*) FILTER (o_orderkey % 10 <> 0) AS runs, count(*) FILTER (o_orderkey % 10 = 0) AS skipped FROM orders"
+
+
+@query
+def span_untraced(t: Catalog) -> DataFrame:
+    return files.untraced(files.spans(rows(t, "orders", TRACE_LINE)))
+
+
+SQL["span_untraced"] = "SELECT 'r' || o_orderkey AS span_id, 'run' AS name, (1000.0 * (9 + o_orderkey % 9))::DOUBLE AS untraced_ms FROM orders WHERE o_orderkey % 10 <> 0"
+
+
+@query
+def sorted_json_rows(t: Catalog) -> DataFrame:
+    return files.sorted_json(t["nation"], ["n_nationkey"])
+
+
+SQL["sorted_json_rows"] = """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}' AS value FROM nation"""
+
+
+@query
+def slim_tables(t: Catalog) -> DataFrame:
+    kept = files.slim({n: t[n] for n in ("orders", "part", "nation")}, {"orders": "o_orderstatus = 'F'", "nation": None})
+    return kept["orders"].select(F.lit("orders").alias("tbl"), F.col("o_orderkey").cast("long").alias("key")).unionByName(kept["nation"].select(F.lit("nation").alias("tbl"), F.col("n_nationkey").cast("long").alias("key")))
+
+
+SQL["slim_tables"] = "SELECT 'orders' AS tbl, o_orderkey::BIGINT AS key FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'nation', n_nationkey FROM nation"
+
+
+@query
+def sliced_tables(t: Catalog) -> DataFrame:
+    tables = {"customer": rows(t, "customer", "file = c_nationkey\nkey = c_custkey"), "supplier": rows(t, "supplier", "file = s_nationkey\nkey = s_suppkey"), "region": rows(t, "region", "key = r_regionkey")}
+    cut = files.sliced(tables, rows(t, "nation", "file = n_nationkey", "n_regionkey = 2"))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("tbl"), F.col("key").cast("long").alias("key")) for n, df in cut.items()])
+
+
+SQL["sliced_tables"] = """SELECT 'customer' AS tbl, c_custkey::BIGINT AS key FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2
+  UNION ALL SELECT 'supplier', s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 UNION ALL SELECT 'region', r_regionkey FROM region"""
+
+
+@query
+def anonymous_holes(t: Catalog) -> DataFrame:
+    return rows(t, "part", "p_partkey = p_partkey\ntext = '/api/{' || p_size || '}/{0:N2}/{name}/' || p_brand").select("p_partkey", format_holes("text").alias("text"))
+
+
+SQL["anonymous_holes"] = "SELECT p_partkey, '/api/{}/{}/{name}/' || p_brand AS text FROM part"
+
+C_SOURCE = "path = 's' || s_suppkey\ncontent = 'int a; // x\n\n/* one */\n  /* two\n three */ int b;\nint c; /* four\n five */' || CASE WHEN s_suppkey % 2 = 0 THEN 'int d;\n' ELSE '\n' END || CASE WHEN s_suppkey % 3 = 0 THEN 'int e; /* open\n int f;' ELSE '' END"
+
+
+def _texts(t: Catalog, columns: str) -> DataFrame:
+    """As rows(), with real line breaks in the text: they are written as such in the expression."""
+    path, content = columns.split("\ncontent = ", 1)
+    return t["supplier"].select(F.expr(path.split(" = ", 1)[1]).alias("path"), F.expr(content).alias("content"))
+
+
+@query
+def c_source_lines(t: Catalog) -> DataFrame:
+    return documents.code_lines(_texts(t, C_SOURCE))
+
+
+SQL["c_source_lines"] = "SELECT 's' || s_suppkey AS path, (3 + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_lines FROM supplier"
+
+
+@query
+def py_source_lines(t: Catalog) -> DataFrame:
+    return python_code.source_lines(_texts(t, "path = 's' || s_suppkey\ncontent = 'a = 1\n\n  # note\nb = 2  # kept\n' || repeat('c()\n', cast(s_suppkey % 4 AS int))"))
+
+
+SQL["py_source_lines"] = "SELECT 's' || s_suppkey AS path, (2 + s_suppkey % 4)::BIGINT AS n_lines FROM supplier"
+
+MARKDOWN = "path = 'docs/d' || s_suppkey || '.md'\ncontent = '# Top\nsee [a](../docs/./d' || (s_suppkey + 1) || '.md#x)\n## Sub ' || s_suppkey || '\n[b](http://x.y) [c](img/no.png)\n'"
+
+
+@query
+def md_sections(t: Catalog) -> DataFrame:
+    return documents.sections(_texts(t, MARKDOWN)).drop("text")
+
+
+SQL["md_sections"] = """SELECT 'docs/d' || s_suppkey || '.md' AS path, 2::BIGINT AS line, 1::BIGINT AS level, 'Top' AS section FROM supplier
+  UNION ALL SELECT 'docs/d' || s_suppkey || '.md', 4, 2, 'Top > Sub ' || s_suppkey FROM supplier"""
+
+
+@query
+def md_links(t: Catalog) -> DataFrame:
+    docs = _texts(t, MARKDOWN)
+    return documents.link_status(documents.links(docs), docs)
+
+
+SQL["md_links"] = """SELECT 'docs/d' || s_suppkey || '.md' AS path, 'docs/d' || (s_suppkey + 1) || '.md' AS target, CASE WHEN s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) THEN 'bound' ELSE 'missing' END AS status FROM supplier
+  UNION ALL SELECT 'docs/d' || s_suppkey || '.md', 'docs/img/no.png', 'missing' FROM supplier"""
+
+
+@query
+def md_broken_links(t: Catalog) -> DataFrame:
+    docs = _texts(t, MARKDOWN)
+    return documents.broken_links(docs, docs)
+
+
+SQL["md_broken_links"] = f"SELECT path, target FROM ({SQL['md_links']}) WHERE status = 'missing'"
+
+
+@query
+def unmatched_globs(t: Catalog) -> DataFrame:
+    return files.unmatched(t.spark, rows(t, "customer", FILES), ("**/*.spec.ts", "Furniture/**", "*.ts", "**/src/c?.ts", "none/**"))
+
+
+SQL["unmatched_globs"] = "SELECT unnest(['*.ts', 'none/**']) AS glob"
+
+
+@query
+def normal_paths(t: Catalog) -> DataFrame:
+    return rows(t, "supplier", "s_suppkey = s_suppkey\np = CASE WHEN s_suppkey % 2 = 0 THEN '/' ELSE '' END || 'a/./' || s_suppkey || '//../../../b'").select("s_suppkey", normal_path("p").alias("path"))
+
+
+SQL["normal_paths"] = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN '/b' ELSE '../b' END AS path FROM supplier"
+
+
+@query
+def py_rows(t: Catalog) -> DataFrame:
+    return _tree(t).groupBy("path", "tbl").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL["py_rows"] = """SELECT 'pkg/m' || s_suppkey || '.py' AS path, tbl, n::BIGINT AS n FROM supplier, (VALUES ('files', 1), ('imports', 3), ('classes', 1), ('functions', 3), ('parameters', 8), ('calls', 6), ('arguments', 9), ('returns', 3), ('number_literals', 6)) v(tbl, n)
+  UNION ALL SELECT 'pkg/hub' || s_suppkey || '.py', unnest(['files', 'imports']), 1 FROM supplier WHERE s_suppkey < 3"""

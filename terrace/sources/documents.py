@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import posixpath
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from terrace.functions.semantics import normal_path
+
 
 def sections(docs: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
     """path, line, level, heading path joined by ` > ` and text of each non-heading line; level 0 before any heading.
@@ -34,8 +34,8 @@ def links(docs: DataFrame, path: str = "path", text: str = "content") -> DataFra
     """path, target of local Markdown links, fragment cut, resolved against the document's folder."""
     found = docs.select(F.col(path).alias("path"), F.explode(F.regexp_extract_all(F.col(text).cast("string"), F.lit(r"\]\(([^)\s#]+)[^)]*\)"), F.lit(1))).alias("target"))
     local = found.filter(~F.col("target").rlike(r"^[a-z]+:"))
-    resolve = F.udf(lambda p, t: posixpath.normpath(posixpath.join(posixpath.dirname(p), t)))
-    return local.withColumn("target", resolve("path", "target"))
+    folder = F.regexp_extract("path", "^(.*/)[^/]*$", 1)
+    return local.withColumn("target", normal_path(F.when(F.col("target").startswith("/"), F.col("target")).otherwise(F.concat(folder, "target"))))
 
 
 def link_status(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -58,3 +58,19 @@ def sql_operators(spark: SparkSession, statements: list[tuple[str, str]]) -> Dat
             body = line.lstrip(" :+-'")
             rows.append((key, (len(line) - len(line.lstrip(" :+-"))) // 3, body.split(" ")[0].split("[")[0]))
     return spark.createDataFrame(rows, "id string, depth long, operator string")
+
+
+def broken_links(docs: DataFrame, files: DataFrame) -> DataFrame:
+    """path, target of the local links that reach no known file or folder."""
+    return link_status(links(docs), files).filter("status = 'missing'").select("path", "target").distinct()
+
+
+def code_lines(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
+    """path, n_lines: lines of a C-style source with more than blanks and comments; block comments may span lines or stay open.
+
+    A block comment over several lines leaves a line break, so that code before and after it stays two lines. Comment marks
+    inside string literals are taken for comments.
+    """
+    body = F.regexp_replace(F.col(text).cast("string"), r"/\*(?:(?!\*/)[^\n])*\*/", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?(?:\*/|\z)", "\n"), r"//[^\n]*", "")
+    return files.select(path, F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\S"))).cast("long").alias("n_lines"))

@@ -33,6 +33,7 @@ class _Rows(ast.NodeVisitor):
     def visit_ClassDef(self, node: ast.ClassDef) -> None:
         self.add("classes", node, node.name, ",".join(ast.unparse(b) for b in node.bases))
         self._decorated(node)
+        self._around([*node.bases, *(k.value for k in node.keywords)])
         self._inside(node, node.name)
 
     def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
@@ -42,6 +43,7 @@ class _Rows(ast.NodeVisitor):
         plain = [*a.posonlyargs, *a.args]
         defaults = [None] * (len(plain) - len(a.defaults)) + list(a.defaults)
         every = [*((p, d, "") for p, d in zip(plain, defaults, strict=True)), *((p, d, "kwonly") for p, d in zip(a.kwonlyargs, a.kw_defaults, strict=True))]
+        self._around([*a.defaults, *(d for d in a.kw_defaults if d)])
         every += [(p, None, mode) for p, mode in ((a.vararg, "*"), (a.kwarg, "**")) if p]
         for i, (p, d, mode) in enumerate(every):
             self.add("parameters", p, p.arg, ast.unparse(d) if d is not None else "", i, ".".join([*self.scope, node.name]), mode=mode)
@@ -53,6 +55,11 @@ class _Rows(ast.NodeVisitor):
         for i, d in enumerate(node.decorator_list):
             self.add("decorators", d, ast.unparse(d.func if isinstance(d, ast.Call) else d), ", ".join(map(ast.unparse, d.args)) if isinstance(d, ast.Call) else "", i, ".".join([*self.scope, node.name]))
 
+    def _around(self, nodes: list[ast.expr]) -> None:
+        """What is evaluated where the definition stands: bases and defaults; decorators have rows of their own."""
+        for x in nodes:
+            self.visit(x)
+
     def _inside(self, node, cls: str) -> None:
         self.scope.append(node.name)
         before, self.cls = self.cls, cls

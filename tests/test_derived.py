@@ -1,9 +1,12 @@
 """Paths, gates, declared types, routes, refresh and binding on small hand-made inputs, edge cases included."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from terrace.functions import semantics
-from terrace.operators import appgraph, binding, correlated, declared, paths, refresh, restrictions, routes, sqlshape
+from terrace.operators import appgraph, binding, correlated, declared, graph, indexes, paths, refresh, restrictions, routes, sqlshape
 from terrace.sources import python_code
 
 
@@ -198,6 +201,53 @@ def test_binding(spark):
     assert ("main.py", "pkg/jobs.py") in got(binding.bound_through(rows))
 
 
+@given(st.lists(st.tuples(st.integers(0, 8), st.integers(0, 8)), max_size=16))
+@settings(max_examples=6, deadline=None)
+def test_cycles_and_levels_against_reach(spark, edges):
+    nodes = {x for e in edges for x in e}
+    reach = {n: {b for a, b in edges if a == n} for n in nodes}
+    for _ in nodes:
+        reach = {n: r | {y for x in r for y in reach[x]} for n, r in reach.items()}
+    cycle = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes if n in reach[n]}
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r["node"]: r["component"] for r in graph.cycles(df).collect()} == cycle
+    comp = {n: cycle.get(n, n) for n in nodes}
+
+    def level(c):
+        below = {comp[b] for a, b in edges if comp[a] == c and comp[b] != c}
+        return 1 + max(map(level, below)) if below else 0
+
+    assert {r["node"]: r["level"] for r in indexes.topological_level(df).collect()} == {n: level(comp[n]) for n in nodes}
+
+
+CALLS = [("/api/x/1", {"a"}, "exact"), ("*api/x/1", {"a"}, "exact"), ("*/x/1", {"a", "b"}, "ambiguous"), ("https://h/v2/x/9", {"b"}, "exact"), ("*", set(), None), ("/{}/{}/{}", set(), None), ("/api/x*/1", {"a"}, "exact"), ("/api/x", {"a"}, "exact"), ("/api/y", set(), None), ("/w/any/q", {"c"}, "exact")]
+
+
+@pytest.mark.parametrize("as_list", [True, False])
+def test_match_with_base_prefix(spark, as_list):
+    ends = [("a", "GET", "/Api/X/{id?}"), ("b", "ANY", "v2/x/{id:int}"), ("c", "GET", "/w/*/q"), ("d", "PUT", "/api/x/1")]
+    calls = spark.createDataFrame([(i, "GET", url) for i, (url, _, _) in enumerate(CALLS)], "call_id int, verb string, url string")
+    calls = calls.select("call_id", "verb", routes.call_segments("url").alias("segs"))
+    found = routes.match(calls, ends if as_list else spark.createDataFrame(ends, "endpoint string, verb string, pattern string")).collect()
+    assert {(r["call_id"], r["endpoint"], r["how"]) for r in found} == {(i, e, how) for i, (_, es, how) in enumerate(CALLS) for e in es}
+
+
+def test_forms_agree(spark):
+    for pattern in ("/a/{b?}/C", "/x/{o?}/{p?}", "/{a?}/s/{b}/{c?}/{d?}", "/"):
+        row = spark.createDataFrame([(pattern,)], "p string").select(routes.all_forms(routes.pattern_segments("p")).alias("f")).first()
+        assert sorted(row["f"]) == sorted(routes.variants(pattern))
+
+
+@given(st.text("a./", max_size=12))
+@settings(max_examples=40, deadline=None)
+def test_normal_path(spark, text):
+    import posixpath
+
+    want = posixpath.normpath(text)
+    want = want[1:] if want.startswith("//") else want
+    assert spark.range(1).select(semantics.normal_path(F.lit(text))).first()[0] == want
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], NODE)
     for df in (sqlshape.fingerprints(empty), sqlshape.column_refs(empty), sqlshape.joins(empty), restrictions.necessary(empty)):
