@@ -52,11 +52,12 @@ class _Rows(ast.NodeVisitor):
     visit_AsyncFunctionDef = visit_FunctionDef
 
     def _decorated(self, node) -> None:
+        self._around(node.decorator_list)
         for i, d in enumerate(node.decorator_list):
             self.add("decorators", d, ast.unparse(d.func if isinstance(d, ast.Call) else d), ", ".join(map(ast.unparse, d.args)) if isinstance(d, ast.Call) else "", i, ".".join([*self.scope, node.name]))
 
     def _around(self, nodes: list[ast.expr]) -> None:
-        """What is evaluated where the definition stands: bases and defaults; decorators have rows of their own."""
+        """What is evaluated where the definition stands: decorators, bases and defaults."""
         for x in nodes:
             self.visit(x)
 

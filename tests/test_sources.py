@@ -25,7 +25,7 @@ def test_python_rows(spark):
     assert of("imports") == [("os", "os", "os"), ("d", "d", "a.b:c")]
     assert of("functions") == [("m", "A.m", "")] and of("classes") == [("A", "A", "Base")]
     assert of("parameters")[2] == ("q", "A.m", "1") and of("decorators") == [("wraps", "A.m", "'x'")]
-    assert of("calls")[0][:2] == ("call", "A.m") and ("K", "K", "3") in of("consts")
+    assert [c[:2] for c in of("calls")][:2] == [("wraps", "A"), ("call", "A.m")] and ("K", "K", "3") in of("consts")
     assert {r["path"]: r["detail"] for r in rows if r["tbl"] == "files"}["bad.py"] == "error: SyntaxError"
     assert {r["path"]: r["n_lines"] for r in python_code.source_lines(df.filter("content is not null")).collect()}["a.py"] == 7
 
