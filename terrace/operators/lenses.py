@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -98,3 +99,15 @@ def top_with_rest(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
     got = top.agg(F.sum("amount").alias("t"), F.count(F.lit(1)).alias("d")).withColumn("j", F.lit(1))
     rest = all_.join(got, "j").select(F.lit("rest").alias("item"), F.round(F.col("s") - F.coalesce("t", F.lit(0.0)), 2).alias("amount"), (F.col("c") - F.col("d")).alias("n"))
     return top.unionByName(rest)
+
+
+def plugin_findings(plugins: dict[str, Callable[[Catalog], DataFrame]], cat: Catalog) -> DataFrame:
+    """plugin, subject: what each plug-in finds, the first column of its rows; one that fails to plan is a finding itself."""
+    frames = []
+    for name, plugin in plugins.items():
+        try:
+            df = plugin(cat)
+            frames.append(df.select(F.lit(name).alias("plugin"), F.col(df.columns[0]).cast("string").alias("subject")))
+        except Exception as problem:  # noqa: BLE001 - any failure of a plug-in is its answer
+            frames.append(cat.spark.range(1).select(F.lit(name).alias("plugin"), F.lit(f"failed: {type(problem).__name__}").alias("subject")))
+    return union_all(frames)

@@ -77,3 +77,22 @@ def path_claims(texts: DataFrame, key: str, text: str, files: DataFrame) -> Data
     claims = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"`([\w.-]+(?:/[\w.-]+)*\.\w+)`"), F.lit(1)))).alias("claim"))
     met = either_way(claims.select(F.col("claim").alias("path")), files.select("path")).filter(F.char_length("right_path") >= F.char_length("left_path"))
     return claims.join(met.select(F.col("left_path").alias("claim"), F.lit(True).alias("exists")).distinct(), "claim", "left").select(key, "claim", F.coalesce("exists", F.lit(False)).alias("exists"))
+
+
+def module_files(uses: DataFrame, files: DataFrame) -> DataFrame:
+    """file, used, target: the source file a qualified module path (crate::a::b::Item) reaches, null where none does.
+
+    crate is the source root, self the using module, super the one above. A module a::b is src/a/b.rs or
+    src/a/b/mod.rs; the longest prefix that is a file answers, so items need no list of their own.
+    """
+    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("file", r"\.rs$", ""), "/(mod|lib|main)$", ""), "^src/?", "")
+    own = F.filter(F.split(module, "/"), lambda s: s != "")
+    segs = F.split("used", "::")
+    first, rest = segs[0], F.slice(segs, F.lit(2), F.size(segs))
+    start = F.when(first == "crate", rest).when(first == "self", F.concat(own, rest)).when(first == "super", F.concat(F.slice(own, F.lit(1), F.greatest(F.size(own) - 1, F.lit(0))), rest))
+    walk = uses.select("file", "used", start.alias("_s")).distinct()
+    tries = F.transform(F.sequence(F.lit(1), F.size("_s")), lambda i: F.struct(i.alias("n"), F.array_join(F.slice("_s", F.lit(1), i), "/").alias("m")))
+    cand = walk.filter("size(_s) > 0").select("file", "used", F.explode(tries).alias("t")).select("file", "used", "t.*")
+    known = files.filter("path LIKE 'src/%.rs'").select("path", F.regexp_replace(F.regexp_replace("path", r"(/mod)?\.rs$", ""), "^src/", "").alias("m"))
+    best = cand.join(known, "m").groupBy("file", "used").agg(F.max_by("path", "n").alias("target"))
+    return uses.select("file", "used").distinct().join(best, ["file", "used"], "left")

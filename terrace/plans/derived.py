@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from terrace.catalog import Catalog
 from terrace.functions.semantics import format_holes, indented, member_of, normal_path, top_level_args
-from terrace.operators import appgraph, binding, correlated, declared, paths, refresh, restrictions, routes, sqlshape
+from terrace.operators import appgraph, binding, correlated, declared, lenses, paths, refresh, restrictions, routes, sqlshape
 from terrace.plans.bindings import query, trade_tree
 from terrace.sources import documents, files, python_code
 
@@ -858,3 +858,70 @@ def py_rows(t: Catalog) -> DataFrame:
 
 SQL["py_rows"] = """SELECT 'pkg/m' || s_suppkey || '.py' AS path, tbl, n::BIGINT AS n FROM supplier, (VALUES ('files', 1), ('imports', 3), ('classes', 1), ('functions', 3), ('parameters', 8), ('calls', 6), ('arguments', 9), ('returns', 3), ('number_literals', 6)) v(tbl, n)
   UNION ALL SELECT 'pkg/hub' || s_suppkey || '.py', unnest(['files', 'imports']), 1 FROM supplier WHERE s_suppkey < 3"""
+
+
+@query
+def py_statement_shapes(t: Catalog) -> DataFrame:
+    text = "path = 's' || s_suppkey\ncontent = 'def f' || s_suppkey || '(a, b=1):\n    x' || s_suppkey || ' = a.go(' || s_suppkey || ')\n    return [b]\n'"
+    return python_code.statement_shapes(_texts(t, text)).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("shape").alias("shapes"))
+
+
+SQL["py_statement_shapes"] = "SELECT unnest([2, 3])::BIGINT AS line, count(*) AS n, 1::BIGINT AS shapes FROM supplier"
+
+
+@query
+def py_launch_targets(t: Catalog) -> DataFrame:
+    text = "path = 'p' || s_suppkey || '/pyproject.toml'\ncontent = CASE WHEN s_suppkey % 3 = 0 THEN '[project' ELSE '[project]\nname = \"x\"\n[project.scripts]\nrun' || s_suppkey || ' = \"pkg.m' || s_suppkey || ':main\"\n' END"
+    return python_code.launch_targets(_texts(t, text))
+
+
+SQL["py_launch_targets"] = "SELECT 'p' || s_suppkey || '/pyproject.toml' AS path, 'run' || s_suppkey AS name, 'pkg.m' || s_suppkey || ':main' AS target FROM supplier WHERE s_suppkey % 3 <> 0"
+
+
+@query
+def sql_statements(t: Catalog) -> DataFrame:
+    texts = rows(t, "part", "p_partkey = p_partkey\nbody = 'select '';'' as a -- x; y' || chr(10) || 'from t; ;' || p_name || ' /* ; */ ;'")
+    return documents.statements(texts, "p_partkey", "body")
+
+
+SQL["sql_statements"] = "SELECT p_partkey, 0::BIGINT AS ord, 'select '';'' as a -- x; y' || chr(10) || 'from t' AS statement FROM part UNION ALL SELECT p_partkey, 1, p_name || ' /* ; */' FROM part"
+
+
+@query
+def view_edges(t: Catalog) -> DataFrame:
+    edges = t["orders"].groupBy(F.col("o_custkey").alias("src"), F.col("o_orderpriority").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    return files.view_model(edges, "n", 50)
+
+
+SQL["view_edges"] = """SELECT '{"dst":"' || dst || '","src":' || src || ',"weight":' || n || '}' AS value FROM (SELECT o_custkey AS src, o_orderpriority AS dst, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50)"""
+
+
+@query
+def source_state(t: Catalog) -> DataFrame:
+    refs = rows(t, "nation", "path = '.git/refs/heads/' || lower(n_name)\ntext = md5(n_name) || chr(10)")
+    return files.source_state(refs.unionByName(rows(t, "region", "path = '.git/HEAD'\ntext = 'ref: refs/heads/nation_7' || chr(10)", "r_regionkey = 0")))
+
+
+SQL["source_state"] = "SELECT lower(n_name) AS branch, md5(n_name) AS commit FROM nation WHERE n_name = 'NATION_7'"
+
+
+@query
+def plugin_findings(t: Catalog) -> DataFrame:
+    def broken(cat: Catalog) -> DataFrame:
+        raise ValueError(f"no settings for {cat.folder}")
+
+    return lenses.plugin_findings({"small": lambda cat: cat["part"].filter("p_size < 3").select("p_partkey"), "broken": broken}, t)
+
+
+SQL["plugin_findings"] = "SELECT 'small' AS plugin, p_partkey::VARCHAR AS subject FROM part WHERE p_size < 3 UNION ALL SELECT 'broken', 'failed: ValueError'"
+
+
+@query
+def module_files(t: Catalog) -> DataFrame:
+    known = rows(t, "supplier", "path = CASE WHEN s_suppkey % 2 = 0 THEN 'src/a/m' || s_suppkey || '.rs' ELSE 'src/a/m' || s_suppkey || '/mod.rs' END")
+    uses = rows(t, "supplier", "file = 'src/a/m' || s_suppkey || '.rs'\nused = CASE s_suppkey % 4 WHEN 0 THEN 'crate::a::m' || (s_suppkey + 1) || '::Item' WHEN 1 THEN 'super::m' || (s_suppkey + 1) WHEN 2 THEN 'self::X' ELSE 'other::m1' END")
+    return paths.module_files(uses, known)
+
+
+SQL["module_files"] = """SELECT 'src/a/m' || s_suppkey || '.rs' AS file, CASE s_suppkey % 4 WHEN 0 THEN 'crate::a::m' || (s_suppkey + 1) || '::Item' WHEN 1 THEN 'super::m' || (s_suppkey + 1) WHEN 2 THEN 'self::X' ELSE 'other::m1' END AS used,
+    CASE WHEN s_suppkey % 4 = 2 THEN 'src/a/m' || s_suppkey || '.rs' WHEN s_suppkey % 4 < 2 AND s_suppkey + 1 IN (SELECT s_suppkey FROM supplier) THEN CASE WHEN s_suppkey % 2 = 1 THEN 'src/a/m' || (s_suppkey + 1) || '.rs' ELSE 'src/a/m' || (s_suppkey + 1) || '/mod.rs' END END AS target FROM supplier"""

@@ -74,3 +74,13 @@ def code_lines(files: DataFrame, path: str = "path", text: str = "content") -> D
     body = F.regexp_replace(F.col(text).cast("string"), r"/\*(?:(?!\*/)[^\n])*\*/", "")
     body = F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?(?:\*/|\z)", "\n"), r"//[^\n]*", "")
     return files.select(path, F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"\S"))).cast("long").alias("n_lines"))
+
+
+#: A statement: anything up to a semicolon outside quotes, comments and brackets of identifiers.
+STATEMENT = r"(?s)(?:--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'|\"[^\"]*\"|\[[^\]]*\]|[^;'\"\[])+"
+
+
+def statements(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, ord, statement: the statements of SQL texts, cut at semicolons outside quotes and comments, blank ones left out."""
+    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(STATEMENT), F.lit(0)), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return texts.select(key, F.posexplode(found).alias("ord", "statement")).withColumn("ord", F.col("ord").cast("long"))

@@ -92,3 +92,22 @@ def slim(tables: dict[str, DataFrame], keep: dict[str, str | None]) -> dict[str,
 def sliced(tables: dict[str, DataFrame], files: DataFrame, file: str = "file") -> dict[str, DataFrame]:
     """All tables cut down to the rows of the given files."""
     return {name: df.join(files.select(file).distinct(), file, "left_semi") if file in df.columns else df for name, df in tables.items()}
+
+
+def write_runs(lines: DataFrame, folder: str, mode: str = "append") -> None:
+    """Trace lines (column value) to a folder of text files: `append` keeps earlier runs, `replace` does not."""
+    lines.select("value").write.mode({"append": "append", "replace": "overwrite"}[mode]).text(folder)
+
+
+def view_model(edges: DataFrame, weight: str, most: int) -> DataFrame:
+    """One JSON text per edge (src, dst) of the heaviest, in edge order, for a page that draws them."""
+    heavy = edges.orderBy(F.desc(weight), "src", "dst").limit(most)
+    return heavy.orderBy("src", "dst").select(F.to_json(F.struct("dst", "src", F.col(weight).alias("weight"))).alias("value"))
+
+
+def source_state(files: DataFrame) -> DataFrame:
+    """branch, commit of a tree from its version-control files (path, text): HEAD names a branch or holds a commit itself."""
+    head = files.filter("path = '.git/HEAD'").select(F.trim(F.regexp_replace("text", "\n", "")).alias("h"))
+    head = head.select("h", F.regexp_extract("h", "^ref: refs/heads/(.*)$", 1).alias("branch"))
+    refs = files.filter("path LIKE '.git/refs/heads/%'").select(F.regexp_replace("path", "^.git/refs/heads/", "").alias("branch"), F.trim(F.regexp_replace("text", "\n", "")).alias("c"))
+    return head.join(refs, "branch", "left").select(F.nullif("branch", F.lit("")).alias("branch"), F.when(F.col("branch") == "", F.col("h")).otherwise(F.col("c")).alias("commit"))

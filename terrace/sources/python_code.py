@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ast
+import hashlib
+import tomllib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -128,3 +130,61 @@ def source_lines(files: DataFrame, path: str = "path", text: str = "content") ->
     """path, n_lines: lines that are neither blank nor only a comment."""
     lines = F.filter(F.split(F.col(text).cast("string"), "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))
     return files.select(path, F.size(lines).cast("long").alias("n_lines"))
+
+
+class _Blank(ast.NodeTransformer):
+    """Names, attributes, arguments and constants lose what they say, so that only the shape is left."""
+
+    def visit_Name(self, node: ast.Name) -> ast.Name:
+        return ast.Name("n", node.ctx)
+
+    def visit_Attribute(self, node: ast.Attribute) -> ast.Attribute:
+        return ast.Attribute(self.visit(node.value), "a", node.ctx)
+
+    def visit_Constant(self, node: ast.Constant) -> ast.Constant:
+        return ast.Constant(type(node.value).__name__)
+
+    def visit_arg(self, node: ast.arg) -> ast.arg:
+        return ast.arg("p")
+
+    def visit_keyword(self, node: ast.keyword) -> ast.keyword:
+        return ast.keyword("k" if node.arg else None, self.visit(node.value))
+
+
+def statement_shapes(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
+    """path, line, shape: a digest of each statement of a function's body, names and literals blanked; nothing for a file that does not parse."""
+
+    def shapes(p: str, source: str) -> Iterator[tuple[str, int, str]]:
+        try:
+            tree = ast.parse(source)
+        except (SyntaxError, ValueError, RecursionError):
+            return
+        for f in ast.walk(tree):
+            if isinstance(f, ast.FunctionDef | ast.AsyncFunctionDef):
+                for s in f.body:
+                    line = s.lineno
+                    yield p, line, hashlib.sha256(ast.dump(_Blank().visit(s)).encode()).hexdigest()[:16]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame([r for p, t in zip(pdf["path"], pdf["text"], strict=True) for r in shapes(p, t or "")], columns=["path", "line", "shape"])
+
+    return files.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text")).mapInPandas(run, "path string, line long, shape string")
+
+
+def launch_targets(files: DataFrame, path: str = "path", text: str = "content") -> DataFrame:
+    """path, name, target: the scripts that pyproject files (also gui scripts) start; a file that does not parse gives none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for p, t in zip(pdf["path"], pdf["text"], strict=True):
+                try:
+                    project = tomllib.loads(t or "").get("project", {})
+                except tomllib.TOMLDecodeError:
+                    continue
+                rows += [(p, name, target) for key in ("scripts", "gui-scripts") for name, target in project.get(key, {}).items()]
+            yield pd.DataFrame(rows, columns=["path", "name", "target"])
+
+    named = files.filter(F.substring_index(F.col(path), "/", -1) == "pyproject.toml")
+    return named.select(F.col(path).alias("path"), F.col(text).cast("string").alias("text")).mapInPandas(run, "path string, name string, target string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import semantics
 from terrace.operators import appgraph, binding, correlated, declared, graph, indexes, paths, refresh, restrictions, routes, sqlshape
-from terrace.sources import python_code
+from terrace.sources import documents, files, python_code
 
 
 def got(df, *columns):
@@ -248,6 +248,39 @@ def test_normal_path(spark, text):
     assert spark.range(1).select(semantics.normal_path(F.lit(text))).first()[0] == want
 
 
+def test_statements(spark):
+    texts = ["a; b", "select ';' ; -- c; d\n e;", "/* x; y */ f;;", "[a;b] \"c;d\"; 'it''s;'", "", None, ";"]
+    df = documents.statements(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", "t")
+    assert got(df, "k", "statement") == sorted([(0, "a"), (0, "b"), (1, "select ';'"), (1, "-- c; d\n e"), (2, "/* x; y */ f"), (3, '[a;b] "c;d"'), (3, "'it''s;'")], key=str)
+
+
+def test_statement_shapes_and_launchers(spark):
+    sources = [("a.py", "def f(x):\n    y = x + 1\n    return g(y, k=2)\n"), ("b.py", "async def h(q):\n    z = q + 5\n    return q\n"), ("bad.py", "def ("), ("pyproject.toml", '[project.gui-scripts]\nw = "m:w"'), ("x/pyproject.toml", "broken ="), ("none", None)]
+    df = spark.createDataFrame(sources, "path string, content string")
+    shapes = {(r["path"], r["line"]): r["shape"] for r in python_code.statement_shapes(df).collect()}
+    assert shapes["a.py", 2] == shapes["b.py", 2] and shapes["a.py", 3] != shapes["b.py", 3] and len(shapes) == 4
+    assert got(python_code.launch_targets(df)) == [("pyproject.toml", "w", "m:w")]
+
+
+def test_module_files(spark):
+    files_ = spark.createDataFrame([("src/lib.rs",), ("src/a/mod.rs",), ("src/a/b.rs",), ("tests/a.rs",)], "path string")
+    uses = spark.createDataFrame([("src/lib.rs", "self::a::X"), ("src/a/mod.rs", "self::b"), ("src/a/b.rs", "super::b::c"), ("src/a/b.rs", "crate::zz"), ("src/a/b.rs", "std::fs"), ("src/a/b.rs", "super::super::x")], "file string, used string")
+    want = {"self::a::X": "src/a/mod.rs", "self::b": "src/a/b.rs", "super::b::c": "src/a/b.rs", "crate::zz": None, "std::fs": None}
+    found = {r["used"]: r["target"] for r in paths.module_files(uses, files_).collect()}
+    assert {k: found[k] for k in want} == want
+
+
+def test_write_runs_and_source_state(spark, tmp_path):
+    line = lambda x: spark.createDataFrame([(x,)], "value string")
+    for value, mode in (("1", "append"), ("2", "append")):
+        files.write_runs(line(value), str(tmp_path / "t"), mode)
+    assert got(spark.read.text(str(tmp_path / "t"))) == [("1",), ("2",)]
+    files.write_runs(line("3"), str(tmp_path / "t"), "replace")
+    assert got(spark.read.text(str(tmp_path / "t"))) == [("3",)]
+    state = lambda rows: got(files.source_state(spark.createDataFrame(rows, "path string, text string")), "branch", "commit")
+    assert state([(".git/HEAD", "abc\n")]) == [(None, "abc")] and state([(".git/HEAD", "ref: refs/heads/x/y\n"), (".git/refs/heads/x/y", "d\n")]) == [("x/y", "d")]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], NODE)
     for df in (sqlshape.fingerprints(empty), sqlshape.column_refs(empty), sqlshape.joins(empty), restrictions.necessary(empty)):
