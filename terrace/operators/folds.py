@@ -35,3 +35,10 @@ def collapse(restrictions: DataFrame, domain: list[str], key: str) -> DataFrame:
     side = F.when(F.col("unknown"), "unknown").when(smaller, "in").otherwise("not_in")
     members = F.when(F.col("unknown"), F.lit("")).when(smaller, F.array_join("allowed", ",")).otherwise(F.array_join("excluded", ","))
     return r.filter(F.col("unknown") | (F.size("excluded") > 0)).select(key, side.alias("side"), members.alias("members"))
+
+
+def either(left: DataFrame, right: DataFrame, key: str, member: str) -> DataFrame:
+    """key, members: what one of two sides (key, member) permits; a key that a side says nothing of is not restricted and has no row."""
+    both = left.select(key).distinct().join(right.select(key).distinct(), key)
+    rows = left.select(key, member).unionByName(right.select(key, member)).distinct().join(both, key, "left_semi")
+    return rows.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias("members"))

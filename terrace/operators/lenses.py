@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrace.catalog import Catalog
-from terrace.functions.semantics import filled, fragment
+from terrace.functions.semantics import filled, fragment, tokens
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -111,3 +111,27 @@ def plugin_findings(plugins: dict[str, Callable[[Catalog], DataFrame]], cat: Cat
         except Exception as problem:  # noqa: BLE001 - any failure of a plug-in is its answer
             frames.append(cat.spark.range(1).select(F.lit(name).alias("plugin"), F.lit(f"failed: {type(problem).__name__}").alias("subject")))
     return union_all(frames)
+
+
+def rows_per_file(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """file, tbl, n: how many rows each file has in each table (rows, file column)."""
+    tagged = [df.select(F.col(file).cast("long").alias("file"), F.lit(name).alias("tbl")) for name, (df, file) in tables.items()]
+    return union_all(tagged).groupBy("file", "tbl").agg(F.count(F.lit(1)).alias("n"))
+
+
+def filled_cells(df: DataFrame, where: Column, columns: tuple[str, ...]) -> DataFrame:
+    """column_name, cell of the rows that a test picks, one row per filled cell; only the named columns are read."""
+    pairs = ", ".join(f"'{c}', string(`{c}`)" for c in columns)
+    return df.filter(where).select(F.expr(f"stack({len(columns)}, {pairs}) AS (column_name, cell)")).filter(filled("cell"))
+
+
+def word_hits(cat: Catalog, places: list[tuple[str, str, str]], words: tuple[str, ...]) -> DataFrame:
+    """table_name, row_key, hits: rows of the places (table, key, column) that hold one of the words, and how often; each text is cut into words once."""
+    cells = union_all([cat[n].select(F.lit(n).alias("table_name"), F.col(k).alias("row_key"), F.explode(tokens(c)).alias("token")) for n, k, c in places])
+    return cells.filter(F.col("token").isin(*words)).groupBy("table_name", "row_key").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def run_totals(files: DataFrame, mapped: Column, error: Column) -> DataFrame:
+    """files, mapped, unmapped, exit_code of a run: the exit code is the largest error of any file, 0 without one."""
+    worst = F.coalesce(F.max(F.coalesce(error, F.lit(0))), F.lit(0)).cast("long")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.count_if(mapped).alias("mapped"), F.count_if(~mapped).alias("unmapped"), worst.alias("exit_code"))

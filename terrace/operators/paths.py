@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrace.functions.semantics import fragment
+from terrace.functions.semantics import fragment, glob_match
 
 #: What marks a lower-cased path, with a slash before it, as test code.
 TEST_PATH = r"/tests?/|\.tests/|_test\.|/test_|\.spec\.|\.test\.|tests\.cs$"
@@ -96,3 +98,8 @@ def module_files(uses: DataFrame, files: DataFrame) -> DataFrame:
     known = files.filter("path LIKE 'src/%.rs'").select("path", F.regexp_replace(F.regexp_replace("path", r"(/mod)?\.rs$", ""), "^src/", "").alias("m"))
     best = cand.join(known, "m").groupBy("file", "used").agg(F.max_by("path", "n").alias("target"))
     return uses.select("file", "used").distinct().join(best, ["file", "used"], "left")
+
+
+def unclaimed(df: DataFrame, path: str, globs: tuple[str, ...]) -> DataFrame:
+    """Rows whose path no glob matches; few globs are one test in place."""
+    return reduce(lambda rows, g: rows.filter(~glob_match(path, g)), globs, df)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrace.session import cut
+
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """path, change, old_hash, new_hash of entries (path, kind, hash) that differ."""
@@ -70,3 +74,31 @@ def reuse_hash(entries: DataFrame, stored: DataFrame) -> DataFrame:
     s = stored.select("path", F.col("size").alias("_s"), F.col("mtime").alias("_m"), F.col("hash").alias("_h"), F.col("created").alias("_c"))
     keep = (F.col("size") == F.col("_s")) & (F.col("mtime") == F.col("_m")) & (F.col("mtime") < F.col("_c"))
     return entries.join(s, "path", "left").select("path", F.when(keep, F.col("_h")).alias("hash"))
+
+
+def merkle(files: DataFrame) -> DataFrame:
+    """path, hash of every folder of a tree of files (path, hash), '' for the root: each from its children, deepest first.
+
+    One aggregation per level of folders; only the depth of the tree reaches the driver.
+    """
+    rows = files.select("path", "hash", F.size(F.split("path", "/")).alias("_d"))
+    deepest = rows.agg(F.max("_d")).first()[0] or 0
+    parent, name = F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.substring_index("path", "/", -1)
+    folders: list[DataFrame] = []
+    for depth in range(deepest, 0, -1):
+        here = rows.filter(F.col("_d") == depth).select("path", "hash")
+        here = here.unionByName(folders[-1]) if folders else here
+        rolled = rolled_hash(here.select(parent.alias("up"), name.alias("name"), "hash"), "up", "name", "hash")
+        folders.append(cut(rolled.select(F.col("up").alias("path"), "hash")))
+    return reduce(DataFrame.unionByName, folders) if folders else rows.select("path", "hash").limit(0)
+
+
+def to_reread(moved: DataFrame, deps: DataFrame) -> DataFrame:
+    """node: the moved nodes and what depends on them directly (deps: src depends on dst)."""
+    hit = deps.join(moved.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
+    return hit.union(moved.select("node")).distinct()
+
+
+def freshness(changes: DataFrame) -> DataFrame:
+    """state, n, first: how many paths (path, state) are in each state and the first of them."""
+    return changes.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))

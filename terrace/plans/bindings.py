@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from terrace.catalog import TABLES, Catalog
-from terrace.functions.semantics import clip, content_hash, glob_match, head, lenient_double, number_key, quoted, tail, tokens
-from terrace.operators import code, folds, fulltext, gate, graph, indexes, lenses, links, nodes, overlap, routes, similar, snapshot, stats
+from terrace.functions.semantics import clip, content_hash, glob_match, head, lenient_double, number_key, quoted, tail
+from terrace.operators import code, folds, fulltext, gate, graph, indexes, lenses, links, nodes, overlap, paths, routes, similar, snapshot, stats
 
 Query = Callable[[Catalog], DataFrame]
 _registry: dict[str, Query] = {}
@@ -360,9 +360,7 @@ def fulltext_snippet(t: Catalog) -> DataFrame:
 
 @query
 def row_index_lookup(t: Catalog) -> DataFrame:
-    places = [("pages", "page_id", "url"), ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text")]
-    cells = lenses.union_all([t[n].select(F.lit(n).alias("table_name"), F.col(k).alias("row_key"), F.explode(tokens(c)).alias("token")) for n, k, c in places])
-    return cells.filter("token IN ('the', 'en')").groupBy("table_name", "row_key").agg(F.count(F.lit(1)).alias("hits"))
+    return lenses.word_hits(t, [("pages", "page_id", "url"), ("conversations", "conv_id", "text"), ("benchmark", "item_id", "text")], ("the", "en"))
 
 
 # --- routes and overlaps -----------------------------------------------------------------------
@@ -461,11 +459,9 @@ def changed_paths(t: Catalog) -> DataFrame:
 
 @query
 def merkle_rollup(t: Catalog) -> DataFrame:
-    leaf = t["customer"].select(F.col("c_nationkey").alias("up"), F.col("c_name").alias("name"), F.sha2(F.col("c_mktsegment"), 256).alias("h"))
-    nation = snapshot.rolled_hash(leaf, "up", "name", "h").join(t["nation"], F.col("up") == F.col("n_nationkey"))
-    region = snapshot.rolled_hash(nation.select(F.col("n_regionkey").alias("up"), F.col("n_name").alias("name"), F.col("hash").alias("h")), "up", "name", "h").join(t["region"], F.col("up") == F.col("r_regionkey"))
-    root = snapshot.rolled_hash(region.select(F.lit("/").alias("up"), F.col("r_name").alias("name"), F.col("hash").alias("h")), "up", "name", "h")
-    return nation.select(F.col("n_name").alias("path"), "hash").union(region.select("r_name", "hash")).union(root.select("up", "hash"))
+    held = t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    folders = snapshot.merkle(held.select(F.concat_ws("/", "r_name", "n_name", "c_name").alias("path"), F.sha2(F.col("c_mktsegment"), 256).alias("hash")))
+    return folders.select(F.when(F.col("path") == "", "/").otherwise(F.substring_index("path", "/", -1)).alias("path"), "hash")
 
 
 @query
@@ -687,8 +683,7 @@ def gate_chain(t: Catalog) -> DataFrame:
 @query
 def unclaimed_paths(t: Catalog) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "^[a-z]+://[^/]+", "")
-    claimed = [glob_match("p", g) for g in ("/en/**", "/de/*.html", "/f?/*")]
-    return t["pages"].select("page_id", path.alias("p")).filter(~(claimed[0] | claimed[1] | claimed[2])).select("page_id", F.col("p").alias("path"))
+    return paths.unclaimed(t["pages"].select("page_id", path.alias("path")), "path", ("/en/**", "/de/*.html", "/f?/*"))
 
 
 @query
@@ -700,15 +695,12 @@ def reused_hashes(t: Catalog) -> DataFrame:
 
 @query
 def file_table_counts(t: Catalog) -> DataFrame:
-    tagged = [t[n].select(F.col(c).cast("long").alias("file"), F.lit(n).alias("tbl")) for n, c in (("customer", "c_nationkey"), ("supplier", "s_nationkey"), ("nation", "n_nationkey"))]
-    return lenses.union_all(tagged).groupBy("file", "tbl").agg(F.count(F.lit(1)).alias("n"))
+    return lenses.rows_per_file({"customer": (t["customer"], "c_nationkey"), "supplier": (t["supplier"], "s_nationkey"), "nation": (t["nation"], "n_nationkey")})
 
 
 @query
 def id_lookup(t: Catalog) -> DataFrame:
-    row = t["orders"].filter("o_orderkey = 7")
-    pairs = ", ".join(f"'{c}', string({c})" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
-    return row.select(F.expr(f"stack(4, {pairs}) AS (column_name, cell)")).filter("cell IS NOT NULL AND cell <> ''")
+    return lenses.filled_cells(t["orders"], F.col("o_orderkey") == 7, ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
 
 
 @query
@@ -718,26 +710,25 @@ def rebased_baseline(t: Catalog) -> DataFrame:
 
 @query
 def run_totals(t: Catalog) -> DataFrame:
-    return t["documents"].join(t["labels"], "doc_id", "left").agg(F.count(F.lit(1)).alias("files"), F.count("quality").alias("mapped"), F.count_if(F.col("quality").isNull()).alias("unmapped"), F.coalesce(F.max(F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)), F.lit(0)).cast("long").alias("exit_code"))
+    files = t["documents"].join(t["labels"], "doc_id", "left")
+    return lenses.run_totals(files, F.col("quality").isNotNull(), F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1))
 
 
 @query
 def freshness(t: Catalog) -> DataFrame:
-    return state_diff(t).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"))
+    return snapshot.freshness(state_diff(t))
 
 
 @query
 def dependents_reread(t: Catalog) -> DataFrame:
-    g = trade_graph(t)
-    return g.filter("dst IN (1, 2, 3)").select(F.col("src").alias("node")).union(t["nation"].filter("n_nationkey IN (1, 2, 3)").select(F.col("n_nationkey").cast("long"))).distinct()
+    moved = t["nation"].filter("n_nationkey IN (1, 2, 3)").select(F.col("n_nationkey").cast("long").alias("node"))
+    return snapshot.to_reread(moved, trade_graph(t))
 
 
 @query
 def disjunction(t: Catalog) -> DataFrame:
-    """Either side's restriction; where one side says nothing, nothing is restricted."""
-    side = lambda k: t["orders"].filter(f"o_orderkey % 3 = {k}").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias(f"s{k}"))
-    both = side(0).join(side(1), "o_custkey")
-    return both.select("o_custkey", F.array_join(F.sort_array(F.array_union("s0", "s1")), ",").alias("members"))
+    side = lambda k: t["orders"].filter(f"o_orderkey % 3 = {k}")
+    return folds.either(side(0), side(1), "o_custkey", "o_orderpriority")
 
 
 # --- indexes -----------------------------------------------------------------------------------

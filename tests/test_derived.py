@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from terrace.functions import semantics
-from terrace.operators import appgraph, binding, correlated, declared, graph, indexes, paths, refresh, restrictions, routes, sqlshape
+from terrace.operators import appgraph, binding, correlated, declared, folds, graph, indexes, paths, refresh, restrictions, routes, snapshot, sqlshape
 from terrace.sources import documents, files, python_code
 
 
@@ -281,6 +281,19 @@ def test_write_runs_and_source_state(spark, tmp_path):
     assert state([(".git/HEAD", "abc\n")]) == [(None, "abc")] and state([(".git/HEAD", "ref: refs/heads/x/y\n"), (".git/refs/heads/x/y", "d\n")]) == [("x/y", "d")]
 
 
+def test_merkle_at_several_depths(spark):
+    tree = lambda rows: {r["path"]: r["hash"] for r in snapshot.merkle(spark.createDataFrame(rows, "path string, hash string")).collect()}
+    a = tree([("top.md", "1"), ("a/x", "2"), ("a/b/c/y", "3"), ("d/z", "4")])
+    b = tree([("top.md", "1"), ("a/x", "2"), ("a/b/c/y", "changed"), ("d/z", "4")])
+    assert set(a) == {"", "a", "a/b", "a/b/c", "d"} and {k for k in a if a[k] != b[k]} == {"", "a", "a/b", "a/b/c"}
+    assert tree([]) == {}
+
+
+def test_either_side(spark):
+    side = lambda rows: spark.createDataFrame(rows, "k string, m string")
+    assert got(folds.either(side([("x", "b"), ("x", "a"), ("y", "a")]), side([("x", "c"), ("x", "a"), ("z", "q")]), "k", "m"), "k", "members") == [("x", "a,b,c")]
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], NODE)
     for df in (sqlshape.fingerprints(empty), sqlshape.column_refs(empty), sqlshape.joins(empty), restrictions.necessary(empty)):
