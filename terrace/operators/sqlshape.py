@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The node kinds that are clauses of a statement.
 CLAUSES = ("cte", "where", "groupby", "having", "orderby", "join", "top", "limit", "offset", "distinct", "union", "except", "intersect", "subquery", "values", "output", "over")
+#: The node kinds that hold sources of their own.
+QUERIES = ("query", "subquery")
 #: The clauses a column's role is named by.
 ROLES = ("select", "where", "on", "groupby", "having", "orderby", "set", "insert", "output", "over")
 
@@ -79,25 +81,41 @@ def column_refs(nodes: DataFrame) -> DataFrame:
 
     A qualifier is an alias or table name of the nearest query around the column that has one; a
     column without one belongs to its query's only source, and to none ('') where there are several.
-    The role is the nearest clause above, `window` anywhere in an OVER. Joins are per statement, with
-    containment as the residual.
+    The role is the nearest clause above, `window` anywhere in an OVER. Gathers one statement's nodes
+    at a time, nothing larger, in one shuffle (those without an owner count as one statement). Nothing is
+    joined: the planner takes a statement's nodes for one row and would broadcast large sides.
     """
-    queries = nodes.filter("kind IN ('query', 'subquery')").select("owner", F.col("n").alias("q"), F.col("last").alias("_e"))
-    tables = nodes.filter("kind = 'table'").join(_children(nodes, "alias", F.min_by("value", "n").alias("alias")), ["owner", "n"], "left")
-    inside = (F.col("q") < F.col("n")) & (F.col("n") <= F.col("_e"))
-    sources = tables.join(queries, "owner").filter(inside).groupBy("owner", "n").agg(F.max("q").alias("q"), F.first("value").alias("name"), F.first("alias").alias("alias"))
-    only = sources.groupBy("owner", "q").agg(F.when(F.count(F.lit(1)) == 1, F.min("name")).alias("_only"))
-    spelled = sources.select("owner", "q", "name", F.explode(F.array_compact(F.array(F.lower("alias"), F.lower("name")))).alias("_k"))
-    spelled = spelled.groupBy("owner", "q", "_k").agg(F.min("name").alias("_named"))
-    columns = nodes.filter("kind = 'column'").select("owner", "n", F.col("value").alias("column"))
-    columns = columns.join(_children(nodes, "qualifier", F.lower(F.min_by("value", "n")).alias("_k")), ["owner", "n"], "left")
-    around = columns.join(queries, "owner").filter(inside).join(spelled, ["owner", "q", "_k"], "left").join(only, ["owner", "q"], "left")
-    nearest = around.groupBy("owner", "n").agg(F.max_by("_only", "q").alias("_u"), F.max_by("_named", F.when(F.col("_named").isNotNull(), F.col("q"))).alias("_n"))
-    above = nodes.filter(F.col("kind").isin(*ROLES)).select("owner", F.col("n").alias("q"), F.col("last").alias("_e"), F.col("kind").alias("_role"))
-    roles = columns.join(above, "owner").filter(inside).groupBy("owner", "n").agg(F.max_by("_role", "q").alias("_r"), F.max(F.col("_role") == "over").alias("_o"))
-    role = F.when(F.col("_o"), "window").when(F.col("_r") == "on", "join").otherwise(F.coalesce("_r", F.lit("")))
-    name = F.coalesce(F.when(F.col("_k").isNull(), F.col("_u")).otherwise(F.col("_n")), F.lit(""))
-    return columns.join(nearest, ["owner", "n"], "left").join(roles, ["owner", "n"], "left").select("owner", "n", "column", name.alias("name"), role.alias("role"))
+    gathered = {"_q": (QUERIES, ("n", "last")), "_t": (("table",), ("n", "value")), "_a": (("alias",), ("parent", "n", "value")), "_k": (("qualifier",), ("parent", "n", "value")), "_r": (ROLES, ("n", "last", "kind"))}
+    sets = [F.collect_set(F.when(F.col("kind").isin(*kinds), F.struct(*columns))).alias(name) for name, (kinds, columns) in gathered.items()]
+    columns = F.collect_list(F.when(F.col("kind") == "column", F.struct("n", "value"))).alias("_c")
+    used = {"column", *(kind for kinds, _ in gathered.values() for kind in kinds)}
+    rows = nodes.filter(F.col("kind").isin(*sorted(used))).groupBy("owner").agg(*sets, columns)
+
+    def around(name: str, n: Column) -> Column:
+        return F.filter(name, lambda x: (x["n"] < n) & (n <= x["last"]))
+
+    def child(name: str, n: Column) -> Column:
+        """Lower-cased value of the first child."""
+        return F.lower(F.array_min(F.transform(F.filter(name, lambda x: x["parent"] == n), lambda x: F.struct(x["n"].alias("n"), x["value"].alias("value"))))["value"])
+
+    def placed(t: Column) -> Column:
+        return F.struct(t["n"].alias("n"), t["value"].alias("name"), child("_a", t["n"]).alias("alias"), F.array_max(around("_q", t["n"])).alias("q"))
+
+    def seen(c: Column) -> Column:
+        return F.struct(c["n"].alias("n"), c["value"].alias("column"), child("_k", c["n"]).alias("k"), F.array_max(around("_q", c["n"]))["n"].alias("q"), around("_r", c["n"]).alias("r"))
+
+    def resolved(c: Column) -> Column:
+        own = F.transform(F.filter("_s", lambda s: s["q"]["n"] == c["q"]), lambda s: s["n"])
+        only = F.when(F.size(F.array_distinct(own)) == 1, F.array_min(F.transform(F.filter("_s", lambda s: s["q"]["n"] == c["q"]), lambda s: s["name"])))
+        spelled = F.filter("_s", lambda s: s["name"].isNotNull() & ((s["alias"] == c["k"]) | (F.lower(s["name"]) == c["k"])) & (s["q"]["n"] < c["n"]) & (c["n"] <= s["q"]["last"]))
+        named = F.array_min(F.transform(spelled, lambda s: F.struct((-s["q"]["n"]).alias("q"), s["name"].alias("name"))))["name"]
+        nearest = F.array_max(c["r"])["kind"]
+        role = F.when(F.exists(c["r"], lambda r: r["kind"] == "over"), "window").when(nearest == "on", "join").otherwise(F.coalesce(nearest, F.lit("")))
+        name = F.coalesce(F.when(c["k"].isNull(), only).otherwise(named), F.lit(""))
+        return F.struct(c["n"].alias("n"), c["column"].alias("column"), name.alias("name"), role.alias("role"))
+
+    rows = rows.withColumn("_s", F.filter(F.transform("_t", placed), lambda s: s["q"].isNotNull()))
+    return rows.select("owner", F.inline(F.transform(F.transform("_c", seen), resolved)))
 
 
 def resolve_objects(names: DataFrame, objects: DataFrame, allowed: DataFrame | None = None, default: str = "") -> DataFrame:

@@ -72,6 +72,50 @@ def test_columns_of_nested_queries(spark):
     assert got(sqlshape.column_refs(spark.createDataFrame(rows, NODE)), "column", "name", "role") == [("a", "Inner", "where"), ("b", "Outer", "where"), ("c", "", "where"), ("d", "", "where")]
 
 
+def test_columns_broadcast_nothing(spark):
+    """Parts of the nodes look small to the planner at any size, so none may be joined; a statement's rows meet in one shuffle."""
+    rows = [(owner, 0, None, 0, 0, "select", None, 2, 1) for owner in (1, 1, None)] + [(owner, 1, 0, 0, 1, "column", "a", 2, 1) for owner in (1, 1, 2, None)]
+    df = sqlshape.column_refs(spark.createDataFrame(rows, NODE))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert got(df, "owner", "role") == [(1, "select"), (1, "select"), (2, ""), (None, "select")]
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.sampled_from(["query", "subquery", "table", "alias", "qualifier", "column", "where", "on", "over"]), st.sampled_from(["a", "A", "b", None])), min_size=8, max_size=24))
+@settings(max_examples=8, deadline=None)
+def test_columns_against_walking_up(spark, picks):
+    """Any tree in preorder, each node under the last one or one of its ancestors."""
+    tree, path = [["query", None, None, 0]], [0]
+    for up, kind, value in picks:
+        del path[max(1, len(path) - up % 4) :]
+        tree.append([kind, value, path[-1], len(tree)])
+        path.append(len(tree) - 1)
+        for n in path:
+            tree[n][3] = len(tree) - 1
+
+    def above(n):
+        while (n := tree[n][2]) is not None:
+            yield n
+
+    def first(n, kind):
+        return next(((v or "").lower() or None for k, v, p, _ in tree if p == n and k == kind), None)
+
+    def query(n):
+        return next((x for x in above(n) if tree[x][0] in ("query", "subquery")), None)
+
+    want, sources = [], [(query(n), v, first(n, "alias")) for n, (k, v, *_) in enumerate(tree) if k == "table"]
+    for n, (kind, value, *_) in enumerate(tree):
+        if kind == "column":
+            key, own = first(n, "qualifier"), [v for q, v, _ in sources if q == query(n)]
+            named = [(-q, v) for q, v, a in sources if v and q in above(n) and key in (a, v.lower())]
+            name = (own[0] or "" if len(own) == 1 else "") if key is None else min(named)[1] if named else ""
+            clauses = [tree[x][0] for x in above(n) if tree[x][0] in ("where", "on", "over")]
+            role = "window" if "over" in clauses else {"on": "join"}.get(clauses[0], clauses[0]) if clauses else ""
+            want.append((n, value, name, role))
+    df = spark.createDataFrame([(7, n, p, 0, 0, k, v, last, 1) for n, (k, v, p, last) in enumerate(tree)], NODE)
+    assert got(sqlshape.column_refs(df), "n", "column", "name", "role") == sorted(want, key=str)
+
+
 def test_comparisons(spark):
     rows = [("g1", "E", "d", "===", "A", False, False), ("g2", "E", "d", "!==", "A", False, False), ("g3", "E", "d", "!==", "A", False, True), ("g4", "E", "d", "<", "A", False, False), ("g5", "E", "d", "===", None, True, False), ("g6", "E", "d", "===", None, False, False)]
     df = spark.createDataFrame(rows, "gate string, enum string, dim string, op string, member string, is_null boolean, negated boolean")
